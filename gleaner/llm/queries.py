@@ -22,10 +22,46 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, radius=2).select("doc_id", "fingerprint", "component_id")
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleaner.llm.mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleaner.llm.packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"), length=2048)
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleaner.llm.quality import COUNTS, assess
+
+    found = assess(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return found.select("doc_id", *COUNTS, "base_failed", "kept")
+
+
+def op6_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleaner.llm.pii import KINDS, pseudonymise
+
+    return pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", *(f"n_{k}" for k in KINDS))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
     return {
         "op1_suffix_array_dedup": op1_suffix_array_dedup,
+        "op2_source_mixing": op2_source_mixing,
+        "op4_best_fit_packing": op4_best_fit_packing,
+        "op5_quality_rules": op5_quality_rules,
+        "op6_pii_pseudonyms": op6_pii_pseudonyms,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
+        "pipeline": pipeline,
     }
 
 
