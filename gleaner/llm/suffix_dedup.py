@@ -17,7 +17,7 @@ Digits are dealt as hashes. The last comparison of any two windows is by 128 bit
 and their offset; a 64-bit hash is only ever used to drop what is unique.
 
 Skew: group sizes are counted with map-side partial aggregates, and members meet their group's count in a plain
-equi-join, which adaptive execution splits; no task gathers a group. Texts are shuffled once, into a bucketed table
+equi-join of two written tables, which adaptive execution splits; no task gathers a group. Texts are shuffled once, into a bucketed table
 in the shared folder that every later pass joins without moving it.
 """
 
@@ -36,7 +36,7 @@ from gleaner.llm.common import partitions, shared_dir, written
 
 ANCHOR = 32
 #: Bytes of text hashed at once; a longer document is hashed alone.
-BATCH = 1 << 21
+BATCH = 1 << 20
 _SEED = 0x5EED
 _B1, _B2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F  # odd, so they have inverses modulo 2**64
 _U = np.uint64
@@ -279,7 +279,7 @@ def remove_repeats(docs: DataFrame, depth: int = 200, widths: tuple[int, ...] =
     key = ["k", "doc_id"]
 
     digits = docs.select("bytes", *key).mapInArrow(_first_digits(depth), "h long, n long, k long, doc_id long")
-    twice = digits.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
+    twice = written(digits.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "twice")
     tied = digits.join(twice, "h", "left_semi").groupBy(*key).agg(F.collect_set("h").alias("tied"))
 
     n, table = partitions(spark), f"gleaner_texts_{uuid.uuid4().hex}"
@@ -297,7 +297,7 @@ def remove_repeats(docs: DataFrame, depth: int = 200, widths: tuple[int, ...] =
         marks.append(again.select(*key, (F.col("a") - F.col("hi")).alias("s"), (F.col("a") - F.col("lo") + depth).alias("e")))
         if not width:
             break
-        several = classes.groupBy("c").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("c")
+        several = written(classes.groupBy("c").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("c"), "several")
         reps = classes.join(several, "c", "left_semi").select("rep.*").groupBy(*key).agg(F.collect_list(F.struct("a", "lo", "hi")).alias("nodes"))
         nodes = texts.select("bytes", *key).join(reps, key).select("bytes", *key, "nodes").mapInArrow(_narrower(width, depth), NODE)
     found = marks[0]
