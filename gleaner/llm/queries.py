@@ -47,6 +47,31 @@ def op6_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", *(f"n_{k}" for k in KINDS))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleaner.llm.toxicity import classify
+
+    return classify(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleaner.llm.embedding_dedup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+def op9_hidden_markov_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleaner.llm.language_model import score
+
+    return score(_table(spark, sf_dir, "documents"))
+
+
+def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleaner.llm.warc import archive
+
+    found = archive(_table(spark, sf_dir, "pages"), least=0)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -57,10 +82,14 @@ def queries():
     return {
         "op1_suffix_array_dedup": op1_suffix_array_dedup,
         "op2_source_mixing": op2_source_mixing,
+        "op3_toxicity": op3_toxicity,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_quality_rules": op5_quality_rules,
         "op6_pii_pseudonyms": op6_pii_pseudonyms,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
+        "op8_embedding_near_dedup": op8_embedding_near_dedup,
+        "op9_hidden_markov_scores": op9_hidden_markov_scores,
+        "op10_warc_archives": op10_warc_archives,
         "pipeline": pipeline,
     }
 
