@@ -1,15 +1,610 @@
-"""Registry of the engine's own queries and their SQL oracles."""
+"""The engine's own queries over the test tables, each beside the SQL that a database would answer it with.
+
+Every query runs over its whole tables; a limit is there only where it is the operator (a page, a top list).
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gleaner.functions import coerce as co
+from gleaner.functions import scalar as sc
+from gleaner.functions import text as tx
+from gleaner.operators import dedup, export, results
+from gleaner.operators import transform as tr
+from gleaner.operators.dataset import Dataset, Field, infer_fields
+from gleaner.plans import intent
+from gleaner.sources import jobspec
+from gleaner.sources.extract import Plan, diagnose, extract_pages
+from gleaner.sources.providers import HtmlProvider
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _dataset(spark: SparkSession, sf_dir: str, name: str, key: str, types: dict[str, str] | None = None, only: list[str] | None = None) -> Dataset:
+    df = table(spark, sf_dir, name)
+    fields = [Field(c, (types or {}).get(c, "text")) for c in only or df.columns]
+    return Dataset.of(name, name, df, key, fields)
+
+
+# -- projection, filter, sort, union --------------------------------------------------
+
+
+@query("select cast(c_mktsegment as varchar) as c_mktsegment, c_name as customer, cast(c_custkey as varchar) as c_custkey from customer")
+def q_select_rename(spark, sf_dir):
+    d = _dataset(spark, sf_dir, "customer", "c_custkey")
+    return d.select_fields(["c_mktsegment", "c_name", "c_custkey", "no_such_field"]).rename_field("c_name", "customer").values()
+
+
+@query("""select cast(p_partkey as varchar) as p_partkey, p_name, p_brand from part
+    where contains(lower(p_name), 'ring') or contains(lower(p_brand), 'ring') or contains(cast(p_partkey as varchar), 'ring')""")
+def q_search_any(spark, sf_dir):
+    return _dataset(spark, sf_dir, "part", "p_partkey", only=["p_partkey", "p_name", "p_brand"]).search("RING").values()
+
+
+@query("select cast(p_partkey as varchar) as p_partkey, p_name, p_brand from part where contains(lower(p_brand), 'brand#1')")
+def q_search_field(spark, sf_dir):
+    return _dataset(spark, sf_dir, "part", "p_partkey", only=["p_partkey", "p_name", "p_brand"]).search("brand#1", "p_brand").values()
+
+
+@query("""select cast(c_custkey as varchar) as c_custkey, c_mktsegment from customer where c_mktsegment = 'BUILDING'""")
+def q_filter(spark, sf_dir):
+    return _dataset(spark, sf_dir, "customer", "c_custkey", only=["c_custkey", "c_mktsegment"]).filter(F.col("c_mktsegment") == "BUILDING").values()
+
+
+@query("select cast(o_orderkey as varchar) as o_orderkey from orders order by o_totalprice desc, o_orderkey desc limit 50 offset 100")
+def q_sort_numeric_page(spark, sf_dir):
+    d = _dataset(spark, sf_dir, "orders", "o_orderkey", {"o_totalprice": "currency"}, ["o_orderkey", "o_totalprice"])
+    return d.page(100, 50, sort="o_totalprice", descending=True).select("o_orderkey")
+
+
+@query("select cast(c_custkey as varchar) as c_custkey, c_name from customer where contains(lower(c_mktsegment), 'machin') order by cast(c_custkey as bigint) limit 25 offset 50")
+def q_page_of_search(spark, sf_dir):
+    d = _dataset(spark, sf_dir, "customer", "c_custkey", only=["c_custkey", "c_name", "c_mktsegment"])
+    return d.search("MACHIN", "c_mktsegment").page(50, 25).select("c_custkey", "c_name")
+
+
+@query("select cast(s_suppkey as varchar) as s_suppkey, row_number() over (order by lower(s_name), s_suppkey) - 1 as place from supplier")
+def q_sort_text(spark, sf_dir):
+    from gleaner.operators.dataset import dense_positions
+
+    d = _dataset(spark, sf_dir, "supplier", "s_suppkey", only=["s_suppkey", "s_name"])
+    rows = d.df.select("s_suppkey", F.lower("s_name").alias("l"), F.col("_pos").alias("p"))
+    return dense_positions(rows, "l", "p").select("s_suppkey", F.col("_pos").alias("place"))
+
+
+def _labelled(spark, sf_dir) -> Dataset:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return Dataset.of("labelled", "labelled", docs.select("doc_id").join(labels, "doc_id", "left"), "doc_id", [Field("quality", "number"), Field("toxic", "number")])
+
+
+@query("select cast(quality as varchar) as quality, cast(toxic as varchar) as toxic from documents join labels using (doc_id) where quality is not null or toxic is not null")
+def q_remove_empty_rows(spark, sf_dir):
+    return _labelled(spark, sf_dir).remove_empty_rows().values()
+
+
+@query("""select 'quality' as field, count(*) - count(quality) as missing from documents left join labels using (doc_id)
+    union all select 'toxic', count(*) - count(toxic) from documents left join labels using (doc_id)""")
+def q_missing_counts(spark, sf_dir):
+    return _labelled(spark, sf_dir).missing_counts()
+
+
+@query("""select count(*) as records, 2 as fields, count(*) - count(quality) as missing_quality, count(*) - count(toxic) as missing_toxic,
+    count(*) - count(coalesce(quality, toxic)) as empty_rows from documents left join labels using (doc_id)""")
+def q_stats(spark, sf_dir):
+    s = _labelled(spark, sf_dir).stats()
+    return s.select("records", "fields", F.col("missing")["quality"].alias("missing_quality"), F.col("missing")["toxic"].alias("missing_toxic"), "empty_rows")
+
+
+@query("""select c_name as name, cast(c_nationkey as varchar) as nation, c_mktsegment as segment, '' as supplies, c_custkey as place from customer
+    union all select s_name, cast(s_nationkey as varchar), '', cast(s_suppkey as varchar), s_suppkey + 1 + (select max(c_custkey) from customer) from supplier""")
+def q_merge_union(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"))
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("supplies"))
+    left = Dataset.of("c", "customers", c, "c_custkey", [Field("name"), Field("nation"), Field("segment")])
+    right = Dataset.of("s", "suppliers", s, "s_suppkey", [Field("name"), Field("nation"), Field("supplies")])
+    both = left.merge(right, "parties")
+    return both.df.select(*both.cells(), F.col("_pos").alias("place"))
+
+
+@query("""select key as field, dense_rank() over (order by first) - 1 as place from (
+    select unnest(json_keys(props)) as key, min(event_id) as first from events where props is not null group by 1)""")
+def q_schema_infer(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", F.from_json("props", "map<string,string>").alias("cells"))
+    found = infer_fields(rows, "cells", "event_id")
+    return spark.createDataFrame([(f.name, i) for i, f in enumerate(found)], "field string, place long")
+
+
+@query("select doc_id, concat('documents-', cast(doc_id + 1 as varchar)) as record_id, '' as source_url, 0 as changed from documents")
+def q_dataset_of(spark, sf_dir):
+    d = _dataset(spark, sf_dir, "documents", "doc_id", only=["lang", "source"])
+    return d.df.select(F.col("_pos").alias("doc_id"), F.col("_id").alias("record_id"), F.col("_source_url").alias("source_url"), F.size("_raw").alias("changed"))
+
+
+# -- transforms ------------------------------------------------------------------------
+
+
+@query("select doc_id, trim(concat('  ', text, ' '), ' ') as text from documents")
+def q_trim(spark, sf_dir):
+    df = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("  "), "text", F.lit(" ")).alias("text"))
+    d = Dataset.of("d", "d", df, "doc_id", [Field("text")])
+    return tr.trim_whitespace()(d).df.select(F.col("_pos").alias("doc_id"), "text")
+
+
+@query(r"select doc_id, trim(regexp_replace(text, '\s+', ' ', 'g'), ' ') as text from documents")
+def q_collapse_whitespace(spark, sf_dir):
+    d = _dataset(spark, sf_dir, "documents", "doc_id", only=["text"])
+    return tr.normalize_whitespace()(d).df.select(F.col("_pos").alias("doc_id"), "text")
+
+
+@query("select c_custkey, concat('customer', cast(c_custkey as varchar), '@mail.example.com') as email, 'not-an-address' as other from customer")
+def q_email_normalize(spark, sf_dir):
+    df = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit(" Customer"), F.col("c_custkey").cast("string"), F.lit("@Mail.Example.COM ")).alias("email"), F.lit("not-an-address").alias("other"))
+    d = tr.normalize_email()(Dataset.of("c", "c", df, "c_custkey", [Field("email", "email"), Field("other", "email")]))
+    return d.df.select(F.col("_pos").alias("c_custkey"), "email", "other")
+
+
+@query(r"""select doc_id, regexp_extract(lower(text), '[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,}') as email from documents
+    where regexp_matches(lower(text), '[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,}')""")
+def q_email_extract(spark, sf_dir):
+    df = table(spark, sf_dir, "documents").where(F.lower("text").rlike(r"[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,}"))
+    return df.select("doc_id", co.coerce("text", "email").alias("email"))
+
+
+@query("""select c_custkey, concat('+880', lpad(cast(c_custkey as varchar), 10, '0')) as phone, 'call us' as other from customer""")
+def q_phone_normalize(spark, sf_dir):
+    n = F.lpad(F.col("c_custkey").cast("string"), 10, "0")
+    phone = F.concat(F.lit(" +880 "), F.substring(n, 1, 4), F.lit("-"), F.substring(n, 5, 6))
+    df = table(spark, sf_dir, "customer").select("c_custkey", phone.alias("phone"), F.lit("call us").alias("other"))
+    d = tr.normalize_phone()(Dataset.of("c", "c", df, "c_custkey", [Field("phone", "phone"), Field("other", "phone")]))
+    return d.df.select(F.col("_pos").alias("c_custkey"), "phone", "other")
+
+
+@query(r"select page_id, regexp_replace(split_part(url, '#', 1), '/+$', '') as url from pages")
+def q_url_normalize(spark, sf_dir):
+    d = tr.normalize_url()(_dataset(spark, sf_dir, "pages", "page_id", {"url": "url"}, ["url"]))
+    return d.df.select(F.col("_pos").alias("page_id"), "url")
+
+
+@query(r"""select page_id, regexp_replace(lower(trim(split_part(url, '#', 1))), '/$', '') as url_key, lower(regexp_replace(split_part(url, '#', 1), '/+$', '')) as page_key,
+    lower(regexp_extract(url, '(?i)\.([a-z0-9]{2,5})(?:\?|#|$)', 1)) as ext from pages""")
+def q_url_keys(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", sc.url_key("url").alias("url_key"), sc.page_key("url").alias("page_key"), sc.extension("url").alias("ext"))
+
+
+@query("""select page_id, url as unwrapped, concat('q=', replace(url, ' ', '%20')) as plain from pages""")
+def q_url_unwrap(spark, sf_dir):
+    wrapped = F.concat(F.lit("//index.example/l/?uddg="), sc.url_encode("url"), F.lit("&rut=1"))
+    return table(spark, sf_dir, "pages").select("page_id", sc.unwrap_redirect(wrapped).alias("unwrapped"), F.concat(F.lit("q="), sc.unwrap_redirect("url")).alias("plain"))
+
+
+@query("""select p_partkey, cast(p_retailprice as varchar) as price, cast(p_partkey as varchar) as number, '' as none from part""")
+def q_number_coerce(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    return p.select(
+        "p_partkey", co.coerce(F.concat(F.lit("৳ "), F.col("p_retailprice").cast("string"), F.lit(" each")), "currency").alias("price"),
+        co.coerce(F.concat(F.lit("no. "), F.format_number("p_partkey", 0)), "number").alias("number"), co.coerce(F.lit("none at all"), "number").alias("none"),
+    )
+
+
+@query("""select event_id, case when event_type in ('view', 'click') then 'true' else 'false' end as flag from events""")
+def q_boolean_coerce(spark, sf_dir):
+    word = F.when(F.col("event_type") == "view", " In  Stock ").when(F.col("event_type") == "click", "anything").otherwise("OUT of stock")
+    return table(spark, sf_dir, "events").select("event_id", co.coerce(word, "boolean").alias("flag"))
+
+
+@query("select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as a, strftime(o_orderdate, '%Y-%m-%d') as b, strftime(o_orderdate, '%Y-%m-%d') as c, strftime(o_orderdate, '%Y-%m-%d') as d from orders")
+def q_date_coerce(spark, sf_dir):
+    o, form = table(spark, sf_dir, "orders"), lambda p: co.coerce(F.date_format("o_orderdate", p), "date")
+    return o.select("o_orderkey", form("dd/MM/yyyy").alias("a"), form("d MMMM yyyy").alias("b"), form("MMM d, yyyy").alias("c"), form("'on' yyyy-MM-dd 'at' HH:mm").alias("d"))
+
+
+@query("select n_nationkey, translate(concat('০১২৩৪৫৬৭৮৯ ٠١٢٣٤٥٦٧٨٩ ', n_name), '০১২৩৪৫৬৭৮৯٠١٢٣٤٥٦٧٨٩', '01234567890123456789') as digits from nation")
+def q_digits(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    return n.select("n_nationkey", tx.digits(F.concat(F.lit(f"{tx.BENGALI} {tx.ARABIC_INDIC} "), "n_name")).alias("digits"))
+
+
+@query("""select p_partkey, list_aggregate(list_transform(string_split(p_name, ' '), lambda w: concat(upper(w[1]), lower(w[2:]))), 'string_agg', ' ') as title,
+    upper(p_name) as upper_name, lower(p_type) as lower_type from part""")
+def q_change_case(spark, sf_dir):
+    d = _dataset(spark, sf_dir, "part", "p_partkey", only=["p_name", "p_type"])
+    d = d.having(d.df.withColumn("title", F.col("p_name")), [*d.fields, Field("title")])
+    d = tr.run(d, [tr.change_case("title", ["title"]), tr.change_case("upper", ["p_name"]), tr.change_case("lower", ["p_type"])])
+    return d.df.select(F.col("_pos").alias("p_partkey"), "title", F.col("p_name").alias("upper_name"), F.col("p_type").alias("lower_type"))
+
+
+@query("select p_partkey, concat_ws(' / ', p_name, p_brand) as merged, p_type from part")
+def q_merge_fields(spark, sf_dir):
+    df = table(spark, sf_dir, "part").withColumn("nothing", F.lit(" "))
+    d = Dataset.of("p", "p", df, "p_partkey", [Field("p_name"), Field("nothing"), Field("p_brand"), Field("p_type")])
+    d = tr.merge_fields(["p_name", "nothing", "p_brand"], "merged", " / ", drop_sources=True)(d)
+    return d.df.select(F.col("_pos").alias("p_partkey"), "merged", "p_type")
+
+
+@query("select p_partkey, split_part(p_name, ' ', 1) as first, split_part(p_name, ' ', 2) as second, split_part(p_name, ' ', 3) as third from part")
+def q_split_field(spark, sf_dir):
+    d = tr.split_field("p_name", ["first", "second", "third"], " ")(_dataset(spark, sf_dir, "part", "p_partkey", only=["p_name"]))
+    return d.df.select(F.col("_pos").alias("p_partkey"), "first", "second", "third")
+
+
+@query(r"""select 0 as step, 'normalize_whitespace' as id, sum(case when trim(regexp_replace(text, '\s+', ' ', 'g'), ' ') <> text then 1 else 0 end) as cells_changed, 0 as rows_removed from documents
+    union all select 1, 'case_lower', sum(case when lower(lang) <> lang then 1 else 0 end), 0 from documents
+    union all select 2, 'remove_empty_rows', 0, 0 from documents having count(*) > 0""")
+def q_pipeline_report(spark, sf_dir):
+    d = _dataset(spark, sf_dir, "documents", "doc_id", only=["text", "lang"])
+    _, steps = tr.report(d, [tr.normalize_whitespace(), tr.change_case("lower", ["lang"]), tr.remove_empty_rows()])
+    return steps.select("step", "id", "cells_changed", "rows_removed")
+
+
+@query(r"""select doc_id, text <> trim(regexp_replace(text, '\s+', ' ', 'g'), ' ') as modified, text as raw from documents""")
+def q_raw_history(spark, sf_dir):
+    d = tr.normalize_whitespace()(_dataset(spark, sf_dir, "documents", "doc_id", only=["text"]))
+    return d.df.select(F.col("_pos").alias("doc_id"), d.was_modified("text").alias("modified"), d.raw_of("text").alias("raw"))
+
+
+@query(r"""select page_id, regexp_replace(split_part(url, '#', 1), '/+$', '') as url, trim(regexp_replace(concat('  Page ', cast(page_id as varchar)), '\s+', ' ', 'g'), ' ') as name,
+    cast(page_id as varchar) as number from pages""")
+def q_standard_cleanup(spark, sf_dir):
+    df = table(spark, sf_dir, "pages").select("page_id", "url", F.concat(F.lit("  Page   "), F.col("page_id").cast("string")).alias("name"), F.concat(F.lit("$"), F.format_number("page_id", 0)).alias("number"))
+    d = tr.run(Dataset.of("p", "p", df, "page_id", [Field("url", "url"), Field("name"), Field("number", "currency")]), tr.standard_cleanup())
+    return d.df.select(F.col("_pos").alias("page_id"), "url", "name", "number")
+
+
+# -- dedup and similarity ----------------------------------------------------------------
+
+_NORM = r"regexp_replace(lower(trim(text, ' ' || chr(9) || chr(10) || chr(13))), '\s+', ' ', 'g')"
+
+
+@query(f"""select doc_id, concat('documents-', cast(first + 1 as varchar)) as duplicate_of from (
+    select doc_id, min(doc_id) over (partition by lang, {_NORM}) as first from documents) where doc_id > first""")
+def q_dedup_exact(spark, sf_dir):
+    d = _dataset(spark, sf_dir, "documents", "doc_id", only=["lang", "text"])
+    return dedup.exact_only(d, ["lang", "text"]).select(F.col("_pos").alias("doc_id"), "duplicate_of")
+
+
+@query("select c_custkey, case when c_custkey = first then 'UNIQUE' else 'EXACT' end as verdict from (select c_custkey, min(c_custkey) over (partition by c_mktsegment, c_nationkey) as first from customer)")
+def q_dedup_strict(spark, sf_dir):
+    d = _dataset(spark, sf_dir, "customer", "c_custkey", {"c_nationkey": "number"}, ["c_mktsegment", "c_nationkey"])
+    return dedup.analyze(d, ["c_mktsegment", "c_nationkey"], 1.0).select(F.col("_pos").alias("c_custkey"), "verdict")
+
+
+@query("""select count(*) filter (where k = 1) as "unique", count(*) filter (where k > 1) as exact, 0 as likely,
+    concat(count(*) filter (where k = 1), ' unique, ', count(*) filter (where k > 1), ' exact duplicates') as summary
+    from (select row_number() over (partition by c_mktsegment, c_nationkey order by c_custkey) as k from customer)""")
+def q_dedup_summary(spark, sf_dir):
+    d = _dataset(spark, sf_dir, "customer", "c_custkey", {"c_nationkey": "number"}, ["c_mktsegment", "c_nationkey"])
+    return dedup.summary(dedup.analyze(d, ["c_mktsegment", "c_nationkey"], 1.0))
+
+
+@query()
+def q_dedup_likely(spark, sf_dir):
+    """Near copies in a table of names and types; held against the sequential rule in tests."""
+    d = _dataset(spark, sf_dir, "part", "p_partkey", only=["p_name", "p_brand", "p_type"])
+    return dedup.analyze(d, ["p_name", "p_brand", "p_type"], dedup.BALANCED).select(F.col("_pos").alias("p_partkey"), "verdict", "duplicate_of", F.round("score", 6).alias("score"))
+
+
+_GRAMS = "list_distinct(list_transform(range(1, length({0}) + 2), lambda i: substr('  ' || {0} || ' ', i, 3)))"
+
+
+@query(f"""with n as (select distinct p_name as name from part), g as (select name, {_GRAMS.format('name')} as grams from n)
+    select a.name as a, b.name as b, round(len(list_intersect(a.grams, b.grams)) / (len(a.grams) + len(b.grams) - len(list_intersect(a.grams, b.grams))), 6) as score
+    from g a join g b on a.name < b.name where len(list_intersect(a.grams, b.grams)) / (len(a.grams) + len(b.grams) - len(list_intersect(a.grams, b.grams))) >= 0.4""")
+def q_trigram_pairs(spark, sf_dir):
+    """Distinct names that share a trigram, by overlap: an equi-join on trigrams, no cross join."""
+    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
+    grams = names.withColumn("grams", sc.trigrams("name"))
+    one = grams.select("name", F.explode("grams").alias("gram"))
+    shared = one.alias("a").join(one.alias("b"), "gram").where("a.name < b.name").groupBy(F.col("a.name").alias("a"), F.col("b.name").alias("b")).agg(F.count(F.lit(1)).alias("both"))
+    size = grams.select("name", F.size("grams").alias("n"))
+    pairs = shared.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
+    score = F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
+    return pairs.where(score >= 0.4).select("a", "b", F.round(score, 6).alias("score"))
+
+
+_TOKENS = (
+    "list_filter(list_distinct(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+')), lambda w: length(w) > 2 and w not in "
+    "('the','and','for','with','official','video','audio','hd','full','new','free','download','watch','online'))"
+)
+
+
+@query(f"""with t as (select item_id, {_TOKENS.format('text')} as t from benchmark)
+    select a.item_id as item_id, round(len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))), 6) as score from t a join t b on b.item_id = a.item_id + 1""")
+def q_token_jaccard(spark, sf_dir):
+    """Each passage and the next."""
+    b = table(spark, sf_dir, "benchmark")
+    after = b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("other"))
+    return b.join(after, "item_id").select("item_id", F.round(sc.token_similarity("text", "other"), 6).alias("score"))
+
+
+@query("""select b.vec_id as vec_id, round(list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])), 5) as score
+    from embeddings b, (select embedding from embeddings order by vec_id limit 1) a order by list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])) desc, vec_id limit 20""")
+def q_cosine_topk(spark, sf_dir):
+    """The twenty vectors nearest to the first: a scan with a top list, no shuffle of vectors."""
+    e = table(spark, sf_dir, "embeddings")
+    first = e.orderBy("vec_id").select("embedding").first()["embedding"]
+    score = sc.cosine("embedding", F.array(*[F.lit(float(x)) for x in first]))
+    return e.select("vec_id", score.alias("s")).orderBy(F.desc("s"), "vec_id").limit(20).select("vec_id", F.round("s", 5).alias("score"))
+
+
+@query()
+def q_semantic_dedup(spark, sf_dir):
+    """Lists of results, one for each label, without those that mean the same; held against a plain loop in tests."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.slice("embedding", 1, 64).alias("embedding"))
+    r = _results(e.select(F.col("vec_id").alias("_pos"), "label", "embedding"), {"title": F.concat(F.lit("vector "), F.col("_pos").cast("string"))}, ["label", "embedding"])
+    return results.drop_same_meaning(r, ("label",), "embedding").select("label", F.col("_pos").alias("vec_id"), "title")
+
+
+def _results(df: DataFrame, given: dict, also: list[str] | None = None) -> DataFrame:
+    """df's rows as search results: the given columns, all others null."""
+    kinds = dict(x.strip().rsplit(" ", 1) for x in results.SCHEMA.replace("map<string,string>", "map").split(","))
+    cells = [
+        (given[n] if n in given else F.create_map().cast("map<string,string>") if k == "map" else F.lit(None).cast(k)).alias(n) for n, k in kinds.items() if n != "_pos"
+    ]
+    return df.select(*cells, F.col("_pos"), *(also or []))
+
+
+def _pages_as_results(spark, sf_dir) -> DataFrame:
+    p = table(spark, sf_dir, "pages").withColumn("_pos", F.col("page_id"))
+    direct = F.when(F.col("page_id") % 3 == 0, F.col("url"))
+    # copies of a page's address with a slash or a fragment are the same result
+    both = p.select("_pos", "url").union(p.select((F.col("_pos") + 1_000_000_000).alias("_pos"), F.concat(sc.clean_url("url"), F.lit("/#x")).alias("url")))
+    both = both.join(p.select("page_id", "html"), F.col("page_id") == F.col("_pos") % 1_000_000_000)
+    title = F.regexp_extract("html", r"<title>([^<]*)</title>", 1)
+    return _results(both, {
+        "title": title, "url": F.col("url"), "kind": F.when(F.col("page_id") % 2 == 0, "web").otherwise("news"), "provider": F.lit("pages"),
+        "direct_url": F.when(F.col("_pos") >= 1_000_000_000, direct), "format": F.when(F.col("page_id") % 5 == 0, "PDF"), "snippet": F.lit(""),
+    })
+
+
+_RESULT_ROWS = r"""with r as (select page_id as pos, url, null as direct_url from pages union all
+    select page_id + 1000000000, concat(regexp_replace(split_part(url, '#', 1), '/+$', ''), '/#x'), case when page_id % 3 = 0 then concat(regexp_replace(split_part(url, '#', 1), '/+$', ''), '/#x') end from pages),
+    k as (select pos, url, direct_url, regexp_replace(lower(trim(split_part(url, '#', 1))), '/$', '') as key from r)
+"""
+
+
+@query(_RESULT_ROWS + """select min(pos) as place, arg_min(url, pos + case when direct_url is null then 10000000000 else 0 end) as url,
+    arg_min(direct_url is not null, pos + case when direct_url is null then 10000000000 else 0 end) as downloadable from k group by key""")
+def q_result_dedup(spark, sf_dir):
+    kept = results.drop_repeats(_pages_as_results(spark, sf_dir))
+    return kept.select(F.col("_pos").alias("place"), "url", results.is_downloadable().alias("downloadable"))
+
+
+@query(r"""select page_id, row_number() over (order by case when page_id % 7 = 0 then 1 else 0 end desc, case when page_id % 5 = 0 then 1 else 0 end desc,
+    case when page_id % 2 = 0 then 1 else 0 end desc, page_id) as rank from pages qualify rank <= 40""")
+def q_rank_results(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").withColumn("_pos", F.col("page_id"))
+    r = _results(p, {
+        "title": F.lit("nothing in common"), "url": F.col("url"), "kind": F.when(F.col("page_id") % 2 == 0, "document").otherwise("web"),
+        "direct_url": F.when(F.col("page_id") % 7 == 0, F.col("url")), "format": F.when(F.col("page_id") % 5 == 0, "PDF"),
+    }).withColumn("qid", F.lit(1))
+    q = spark.createDataFrame([(1, "document", ["pdf"], "annual report", 40)], "qid int, kind string, formats array<string>, subject string, limit int")
+    return results.rank_each(r, q).select(F.col("_pos").alias("page_id"), "rank")
+
+
+@query("""select item_id, len(list_intersect(['and', 'the', 'that'], regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'))) as overlap from benchmark""")
+def q_title_overlap(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", sc.title_overlap("text", F.lit("the that and The of")).alias("overlap"))
+
+
+# -- pages -----------------------------------------------------------------------------
+
+
+@query("select page_id, 0 as _row, trim(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&'), '&quot;', '\"')) as title from pages")
+def q_html_title(spark, sf_dir):
+    plan = Plan.of({"title": "title"})
+    return extract_pages(table(spark, sf_dir, "pages"), plan)
+
+
+@query("""select page_id, i - 1 as _row, replace(replace(links[i], '&amp;', '&'), '&quot;', '"') as text from (
+    select page_id, regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a>', 1) as links, unnest(range(1, len(regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a>', 1)) + 1)) as i from pages)""")
+def q_html_links(spark, sf_dir):
+    return extract_pages(table(spark, sf_dir, "pages"), Plan.of({"container": "nav ul > li", "text": "a"}))
+
+
+@query("""select page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) as lang, regexp_extract(html, 'charset="([^"]*)"', 1) as charset from pages""")
+def q_html_attr(spark, sf_dir):
+    return extract_pages(table(spark, sf_dir, "pages"), Plan.of({"lang": "html@lang", "charset": "meta[charset]@charset"})).drop("_row")
+
+
+@query("""select page_id, concat(regexp_extract(url, '^(https?://[^/?#]+)', 1), replace(regexp_extract(html, '<li><a href="([^"]*)"', 1), '&amp;', '&')) as first_link from pages
+    where regexp_matches(html, '<li><a href="/[^"]*"')""")
+def q_html_absolute_link(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").where(F.col("html").rlike('<li><a href="/[^"]*"'))
+    return extract_pages(pages, Plan.of({"first_link": "nav li:nth-of-type(1) a@href"})).drop("_row")
+
+
+@query("""select 'heading' as field, count(*) filter (where contains(html, '<h1>')) as filled, 0 as containers, false as dead from pages
+    union all select 'nothing', 0, 0, false from pages having count(*) > 0""")
+def q_html_diagnostics(spark, sf_dir):
+    return diagnose(table(spark, sf_dir, "pages"), Plan.of({"heading": "article h1", "nothing": ".no-such-class"})).select("field", "filled", "containers", "dead")
+
+
+_JOB = """{"spec_version": 1, "name": "Pages", "source": {"url": "https://example.com/"}, "extract": {"fields": [
+    {"name": "title", "selector": "title", "required": true}, {"name": "heading", "selector": "article h1"},
+    {"name": "link", "selector": "nav a@href", "type": "url"}, {"name": "lang", "selector": "html@lang"},
+    {"name": "year", "selector": "footer", "type": "number", "regex": "(\\\\d{4})", "default": "none"}]}}"""
+
+
+@query("""select page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) as lang,
+    trim(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&'), '&quot;', '"')) as title from pages
+    where trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) <> ''""")
+def q_job_run(spark, sf_dir):
+    return jobspec.run(jobspec.parse(_JOB), table(spark, sf_dir, "pages")).select("page_id", "lang", "title")
+
+
+@query("""select page_id * 1000000 as place, url, regexp_extract(html, '<html lang="([^"]*)"', 1) as lang from pages where trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) <> ''""")
+def q_html_provider(spark, sf_dir):
+    """A source described by selectors: fields that results do not have go to their map of extras."""
+    p = HtmlProvider("pages", "Pages", ("web",), "https://example.com/?q={query}&p={page}", "html", {"title": "title", "lang": "@lang"})
+    r = p.results(table(spark, sf_dir, "pages"))
+    return r.select(F.col("_pos").alias("place"), "url", F.col("extra")["lang"].alias("lang"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages to a cleaned dataset: extract, coerce, clean, and drop pages whose title came before."""
+    spec = jobspec.parse(_JOB)
+    d = jobspec.to_dataset(spec, jobspec.run(spec, table(spark, sf_dir, "pages")), "page_id")
+    d = tr.run(d, tr.standard_cleanup())
+    repeats = dedup.exact_only(d, ["title"]).select("_id")
+    return d.remove(repeats).df.select(F.col("_pos").alias("page_id"), "title", "heading", "link", "lang", "year")
+
+
+@query()
+def q_pages_to_dataset(spark, sf_dir):
+    return flagship(spark, sf_dir)
+
+
+# -- sizes, intents ---------------------------------------------------------------------
+
+
+@query("""select l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(l_quantity as bigint) * 1048576 as mb, cast(floor(l_quantity) * 1024 as bigint) as kb from lineitem""")
+def q_size_parse(spark, sf_dir):
+    whole = F.col("l_quantity").cast("long").cast("string")
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", sc.parse_size(F.concat(F.lit("about "), whole, F.lit(" MB"))).alias("mb"), sc.parse_size(F.concat(whole, F.lit(".0kib"))).alias("kb")
+    )
+
+
+@query("""select l_orderkey, l_linenumber, l_partkey, l_suppkey, printf('%.1f GB', l_quantity) as size, concat(cast(cast(l_quantity as bigint) as varchar), ' B') as small from lineitem""")
+def q_human_size(spark, sf_dir):
+    n = F.col("l_quantity").cast("long")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", sc.human_size(n * 1024**3).alias("size"), sc.human_size(n).alias("small"))
+
+
+@query("""select c_custkey, 'product' as kind, 'search' as action, cast(c_custkey % 1000 + 1 as integer) as count, 'shop.example.com' as site, 'csv' as export_format, 0.95 as confidence,
+    concat('product list ', lower(c_mktsegment)) as subject from customer""")
+def q_intent_operators(spark, sf_dir):
+    raw = F.concat(F.lit("find "), (F.col("c_custkey") % 1000 + 1).cast("string"), F.lit(" items of product list "), F.lower("c_mktsegment"), F.lit(" from shop.example.com as CSV kind:product"))
+    parsed = intent.parse(table(spark, sf_dir, "customer").select("c_custkey", raw.alias("raw")))
+    return parsed.select("c_custkey", "kind", "action", "count", "site", "export_format", F.when(F.col("confidence") == 1.0, 0.95).otherwise(0.0).alias("confidence"), "subject")
+
+
+@query("""select page_id, 'web' as kind, 'scrape' as action, url, 0.95 as confidence from pages
+    where not regexp_matches(lower(url), '\\.(mp3|pdf|zip|csv|js|ts|py|go|rs|c|ai)($|[?#])')""")
+def q_intent_urls(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").where(~F.lower("url").rlike(r"\.(mp3|pdf|zip|csv|js|ts|py|go|rs|c|ai)($|[?#])"))
+    parsed = intent.parse(pages.select("page_id", F.concat(F.lit("please get "), "url").alias("raw")))
+    return parsed.select("page_id", "kind", "action", "url", "confidence")
+
+
+@query()
+def q_intent_batch(spark, sf_dir):
+    """What kind of thing each conversation's turns ask for; cases are held against a table in tests."""
+    parsed = intent.parse(table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("raw")))
+    return parsed.select("conv_id", "turn", "kind", "count", "confidence", intent.limit().alias("limit"))
+
+
+# -- exports ------------------------------------------------------------------------------
+
+
+def _suppliers(spark, sf_dir) -> Dataset:
+    df = table(spark, sf_dir, "supplier").select(
+        "s_suppkey", F.concat(F.lit("=Name, \""), "s_name", F.lit("\" | 'x' <b>")).alias("name"), F.concat("s_nationkey", F.lit(".0")).alias("nation"), F.lit(" ").alias("none"), F.lit("true").alias("flag")
+    )
+    return Dataset.of("s", "Suppliers", df, "s_suppkey", [Field("name"), Field("nation", "number"), Field("none"), Field("flag", "boolean")])
+
+
+def _exported(spark, sf_dir, kind: str) -> DataFrame:
+    lines = export.render(export.Request(_suppliers(spark, sf_dir), kind)).lines
+    return lines.select(F.col("_pos").alias("s_suppkey"), "line")
+
+
+_NAME = """'=Name, "' || s_name || '" | ''x'' <b>'"""
+
+
+@query(f"""select s_suppkey, '"' || replace({_NAME}, '"', '""') || '",' || cast(s_nationkey as varchar) || '.0,,true' || chr(13) || chr(10) as line from supplier""")
+def q_export_csv(spark, sf_dir):
+    return _exported(spark, sf_dir, "csv")
+
+
+@query(f"""select s_suppkey, '"' || replace({_NAME}, '"', '""') || '"' || chr(9) || cast(s_nationkey as varchar) || '.0' || chr(9) || chr(9) || 'true' || chr(13) || chr(10) as line from supplier""")
+def q_export_tsv(spark, sf_dir):
+    return _exported(spark, sf_dir, "tsv")
+
+
+@query(f"""select s_suppkey, '    {{"name":"' || replace({_NAME}, '"', '\\"') || '","nation":' || cast(s_nationkey as varchar) || ',"none":null,"flag":true}}' as line from supplier""")
+def q_export_json(spark, sf_dir):
+    return _exported(spark, sf_dir, "json")
+
+
+@query(f"""select s_suppkey, '{{"name":"' || replace({_NAME}, '"', '\\"') || '","nation":' || cast(s_nationkey as varchar) || ',"none":null,"flag":true}}' || chr(10) as line from supplier""")
+def q_export_ndjson(spark, sf_dir):
+    return _exported(spark, sf_dir, "ndjson")
+
+
+@query(f"""select s_suppkey, '  - name: "' || replace({_NAME}, '"', '\\"') || '"' || chr(10) || '    nation: ' || cast(s_nationkey as varchar) || '.0' || chr(10) || '    none: ""' || chr(10) || '    flag: "true"' || chr(10) as line from supplier""")
+def q_export_yaml(spark, sf_dir):
+    return _exported(spark, sf_dir, "yaml")
+
+
+@query(f"""select s_suppkey, '| ' || replace({_NAME}, '|', '\\|') || ' | ' || cast(s_nationkey as varchar) || '.0 |  | true |' || chr(10) as line from supplier""")
+def q_export_markdown(spark, sf_dir):
+    return _exported(spark, sf_dir, "md")
+
+
+@query(f"""select s_suppkey, '<tr><td>' || replace(replace(replace({_NAME}, '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '</td><td>' || cast(s_nationkey as varchar) || '.0</td><td class="empty"></td><td>true</td></tr>' || chr(10) as line from supplier""")
+def q_export_html(spark, sf_dir):
+    return _exported(spark, sf_dir, "html")
+
+
+@query(f"""select s_suppkey, 'INSERT INTO "records" ("name", "nation", "none", "flag") VALUES (''' || replace({_NAME}, '''', '''''') || ''', ' || cast(s_nationkey as varchar) || '.0, NULL, ''true'');' || chr(10) as line from supplier""")
+def q_export_sql(spark, sf_dir):
+    return _exported(spark, sf_dir, "sql")
+
+
+# -- stored tables ------------------------------------------------------------------------
+
+
+@query("""select o_custkey as id, count(*) as records, max(o_orderdate) as updated_at from orders group by o_custkey order by updated_at desc, id limit 30""")
+def q_summaries_newest(spark, sf_dir):
+    """Orders as records of datasets, one for each customer: counts beside the newest, from no payload column."""
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count(F.lit(1)).alias("records"), F.max("o_orderdate").alias("updated_at"))
+    return o.orderBy(F.desc("updated_at"), "id").limit(30)
+
 
-def queries():
-    return {}
+@query("""select count(*) as total, 500 + 50 < count(*) as has_more, case when 500 + 50 < count(*) then 550 end as next_offset from orders""")
+def q_page_summary(spark, sf_dir):
+    offset, limit = 500, 50
+    n = F.count(F.lit(1))
+    return table(spark, sf_dir, "orders").agg(n.alias("total"), (F.lit(offset + limit) < n).alias("has_more"), F.when(F.lit(offset + limit) < n, F.lit(offset + limit)).alias("next_offset"))
 
 
-def oracle_sql():
-    return {}
+@query("""select event_id, event_type from events where event_type in ('view', 'click', 'error') and value < 10""")
+def q_status_interrupted(spark, sf_dir):
+    """Runs whose state is one of the active ones and which have no end: events stand for runs."""
+    runs = table(spark, sf_dir, "events").withColumn("finished_at", F.when(F.col("value") >= 10, F.col("ts")))
+    return runs.where(F.col("event_type").isin("view", "click", "error") & F.col("finished_at").isNull()).select("event_id", "event_type")
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+@query("""select cast(c_custkey as varchar) as c_custkey from customer where c_custkey % 3 <> 0""")
+def q_delete_records(spark, sf_dir):
+    d = _dataset(spark, sf_dir, "customer", "c_custkey", only=["c_custkey"])
+    gone = d.df.where(F.col("_pos") % 3 == 0).select("_id")
+    return d.remove(gone).values()
