@@ -201,8 +201,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000, calibrate: i
     ``most_terms`` with most toxic documents are used. A term has least_docs toxic documents, and log odds of least_odds.
     """
     labels = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    order = F.xxhash64("doc_id")
-    picked = labels.withColumn("order", order).orderBy("order", "doc_id").limit(sample)
+    labels = labels.withColumn("order", F.xxhash64("doc_id"))
+    # the least hashes: first about as many as wanted by a cutoff, so that no task or driver sorts all labels
+    share = min(1.0, (1.1 * sample + 100) / max(1, labels.count()))
+    few = labels if share == 1.0 else labels.where(F.col("order") < int((2 * share - 1) * (1 << 63)))
+    picked = few.orderBy("order", "doc_id").limit(sample)
     known = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")  # at most sample rows
     sizes = picked.agg(F.count_if(F.col("toxic") == 1).alias("n1"), F.count_if(F.col("toxic") == 0).alias("n0")).first()
     n1, n0 = sizes["n1"], sizes["n0"]
