@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import components, written
+from gleaner.llm.common import components, partitions, written
 
 CHUNK = 1 << 16
 
@@ -95,7 +95,9 @@ def _refined(index: DataFrame, radius: int, crowd: int) -> DataFrame:
 
 def links(fps: DataFrame, radius: int = 2, crowd: int = 512) -> DataFrame:
     """Pairs (a, b), a < b, of distinct fingerprints of fps (fp) that differ in 1 to radius bits; every such pair, once."""
-    index = written(_refined(_index(fps.select("fp").distinct(), radius), radius, crowd), "variants")
+    # distinct fingerprints are few bytes, but each gives many variants: spread them over all tasks first
+    fps = fps.select("fp").distinct().repartition(partitions(fps.sparkSession), "fp")
+    index = written(_refined(_index(fps, radius), radius, crowd), "variants")
     by = ["tag", "key", "part"]
     left = index.where("side = 0").select(*by, F.col("fp").alias("a"))
     right = index.where("side = 1").select(*by, F.col("fp").alias("b"))
