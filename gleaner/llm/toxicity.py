@@ -9,7 +9,7 @@ found, the heaviest at each word, less those inside an exception phrase, for eac
 logistic function of the rate's logarithm.
 
 Lexicon, exceptions and the two parameters of the score are learned from labelled documents: a term is a word start
-(or word) found in many toxic and few other documents, weighed by the log odds; an exception is a term with the word
+(or word) found in many toxic and few other documents, weighed by the log odds less what chance may have added; an exception is a term with the word
 before or after it that others have and toxic documents lack.
 """
 
@@ -139,9 +139,14 @@ def _counted(batches):
             )
 
 
+def sure_odds(a: int, b: int, n1: int, n0: int) -> float:
+    """Log odds of a in n1 toxic against b in n0 other documents, less 1.5 standard errors."""
+    return math.log((a + 0.5) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1)) - 1.5 * math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+
+
 def _selected(rows: list, n1: int, n0: int, most: int) -> dict[str, float]:
     """Weights of the terms worth having: of nested starts with the same toxic documents the longest, of starts that add nothing none."""
-    weight = {r["term"]: math.log((r["n1"] + 0.5) / (n1 + 1)) - math.log((r["n0"] + 0.5) / (n0 + 1)) for r in rows}
+    weight = {r["term"]: sure_odds(r["n1"], r["n0"], n1, n0) for r in rows}
     toxic = {r["term"]: r["n1"] for r in rows}
     chosen: dict[str, float] = {}
     for t in sorted(weight, key=lambda t: (-toxic[t], -len(t), t)):
@@ -157,6 +162,42 @@ def _selected(rows: list, n1: int, n0: int, most: int) -> dict[str, float]:
     return chosen
 
 
+def _excused(weak: dict[str, float], exceptions: tuple[str, ...], texts: list[str], toxic: list[int], least_odds: float) -> dict[str, float]:
+    """Of terms that too many other texts have, those that are sure enough where exceptions do not count."""
+    a, seen = Lexicon(weak, exceptions).automaton(), {0: Counter(), 1: Counter()}
+    if not weak:
+        return {}
+    for text, y in zip(texts, toxic, strict=True):
+        folded, at, excused = fold(text), [], []
+        for end, (n, w) in a.iter(folded):
+            (excused if w is None else at).append((end - n + 1, end))
+        seen[y].update({folded[s : e + 1] for s, e in at if not any(x <= s < z for x, z in excused)})
+    n1 = sum(toxic)
+    sure = {t: sure_odds(seen[1][t], seen[0][t], n1, len(toxic) - n1) for t in weak}
+    return {t: w for t, w in sure.items() if w >= least_odds}
+
+
+def _covering(terms: dict[str, float], texts: list[str], need: int = 3, least: int = 2) -> dict[str, float]:
+    """The terms, heaviest first, without which some least toxic texts would have fewer than need of them.
+
+    Copies of a toxic text make any of its words look toxic; but those texts have heavier terms already.
+    """
+    a = Lexicon(terms).automaton()
+    if not len(a):
+        return terms
+    having: dict[str, set[int]] = {}
+    for i, text in enumerate(texts):
+        folded = fold(text)
+        for end, (n, _) in a.iter(folded):
+            having.setdefault(folded[end - n + 1 : end + 1], set()).add(i)
+    covered, kept = Counter(), {}
+    for t in sorted(having, key=lambda t: (-terms[t], t)):
+        if sum(covered[i] < need for i in having[t]) >= least:
+            kept[t] = terms[t]
+            covered.update(having[t])
+    return kept
+
+
 def _exceptions(texts: list[str], toxic: list[int], terms: dict[str, float]) -> tuple[str, ...]:
     """Pairs of a term's word with a neighbour that three or more other documents have and no toxic one."""
     a, seen = Lexicon(terms).automaton(), {0: Counter(), 1: Counter()}
@@ -197,8 +238,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000, calibrate: i
     """A lexicon from docs (doc_id, text) and labels (doc_id, toxic).
 
     Bounds, all parameters: terms are counted on at most ``sample`` labelled documents, those with the least hash;
-    the score is calibrated, and exceptions are looked for, on the first ``calibrate`` of them; of the terms, the
-    ``most_terms`` with most toxic documents are used. A term has least_docs toxic documents, and log odds of least_odds.
+    the score is calibrated, exceptions are looked for and superfluous terms dropped on the first ``calibrate`` of them; of the terms, the
+    ``most_terms`` with most toxic documents are used. A term has least_docs toxic
+    documents, or four and 0.4 % of all toxic ones if those are more, and log odds of least_odds less 1.5 standard errors.
     """
     labels = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     labels = labels.withColumn("order", F.xxhash64("doc_id"))
@@ -210,11 +252,16 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000, calibrate: i
     sizes = picked.agg(F.count_if(F.col("toxic") == 1).alias("n1"), F.count_if(F.col("toxic") == 0).alias("n0")).first()
     n1, n0 = sizes["n1"], sizes["n0"]
     counts = known.select("text", "toxic").mapInArrow(_counted, "term string, n1 long, n0 long").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-    odds = F.log((F.col("n1") + 0.5) / (n1 + 1)) - F.log((F.col("n0") + 0.5) / (n0 + 1))
-    rows = counts.where((F.col("n1") >= least_docs) & (odds >= least_odds)).orderBy(F.desc("n1"), F.desc(F.length("term")), "term").limit(20 * most_terms).collect()
+    a, b = F.col("n1") + 0.5, F.col("n0") + 0.5
+    odds = F.log(a / (n1 + 1)) - F.log(b / (n0 + 1)) - 1.5 * F.sqrt(1 / a + 1 / b)
+    # terms of a twentieth of the toxic documents may be less sure: exceptions may explain the others that have them
+    rows = counts.where((F.col("n1") >= max(least_docs, 4 + n1 // 250)) & ((odds >= least_odds) | (odds >= least_odds / 2) & (F.col("n1") >= n1 / 20))).orderBy(F.desc("n1"), F.desc(F.length("term")), "term").limit(20 * most_terms).collect()
     terms = _selected(rows, n1, n0, most_terms)
     some = known.join(F.broadcast(picked.orderBy("order", "doc_id").limit(calibrate).select("doc_id")), "doc_id", "left_semi").select("doc_id", "text", "toxic").orderBy("doc_id").limit(calibrate).collect()
     texts, toxic = [r["text"] for r in some], [r["toxic"] for r in some]
+    weak = {t: w for t, w in terms.items() if w < least_odds}
+    terms = {t: w for t, w in terms.items() if t not in weak} | _excused(weak, _exceptions(texts, toxic, weak), texts, toxic, least_odds)
+    terms = _covering(terms, [t for t, y in zip(texts, toxic, strict=True) if y])
     lexicon = Lexicon(terms, _exceptions(texts, toxic, terms))
     a = lexicon.automaton()
     if 0 < sum(toxic) < len(toxic):
