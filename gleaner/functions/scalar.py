@@ -78,7 +78,7 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     a, b = tx.col(a), tx.col(b)
     norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     found = F.when((F.size(a) == F.size(b)) & (F.size(a) > 0) & (norms > 0), dot(a, b) / norms)
-    return F.coalesce(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), found)), F.lit(0.0))
+    return F.when(found.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), found))).otherwise(F.lit(0.0))
 
 
 def normalize(a: Column | str) -> Column:

@@ -85,7 +85,7 @@ def _better(a: pd.Series, b: pd.Series) -> pd.Series:
     return a if len(a["title"]) >= len(b["title"]) else b
 
 
-def _semantic(by: list[str], column: str | None, threshold: float, names: list[str]):
+def _semantic(column: str | None, threshold: float, names: list[str]):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         kept: list[pd.Series] = []
         tokens: list[frozenset] = []
@@ -124,7 +124,5 @@ def drop_same_meaning(results: DataFrame, by: tuple[str, ...] = (), column: str
     A repeat replaces the kept result, at its place, where it is of more use: downloadable, larger, longer title.
     """
     names = results.columns
-    rows = results.withColumn("_tokens", sc.tokens(fingerprint()))
-    keys = list(by) or [F.lit(0)]
-    schema = results.schema
-    return rows.groupBy(*keys).applyInPandas(_semantic(list(by), column, threshold, names), schema)
+    rows = results.withColumn("_tokens", sc.tokens(fingerprint())).withColumn("_list", F.lit(0))
+    return rows.groupBy(*(by or ("_list",))).applyInPandas(_semantic(column, threshold, names), results.schema)

@@ -81,6 +81,7 @@ class Node:
             elif item.tag not in ("script", "style") or item is self:
                 if item.tag in BLOCK:
                     put(" ")
+                    stack.append(" ")
                 stack.extend(item.children[::-1])
         return "".join(out).strip(" ")
 
@@ -212,7 +213,7 @@ def _inside(s: str, at: int) -> tuple[str, int]:
 @lru_cache(maxsize=1024)
 def compile_selector(selector: str) -> tuple[tuple[_Compound, ...], ...]:
     """A selector's alternatives, each a chain of compounds."""
-    s, i, groups, chain, tests, joint = selector.strip(), 0, [], [], [], ""
+    s, i, groups, chain, tests, joint, open_ = selector.strip(), 0, [], [], [], "", False
     if not s:
         raise SelectorError("empty selector")
 
@@ -225,8 +226,9 @@ def compile_selector(selector: str) -> tuple[tuple[_Compound, ...], ...]:
     while i < len(s):
         if m := re.match(r"\s*([>+~,])\s*|\s+", s[i:]):
             flush()
-            if not chain and m[1] != ">":
+            if open_ or not chain and m[1] != ">":
                 raise SelectorError(f"nothing before {m[0]!r}: {selector}")
+            open_ = m[1] is not None
             joint = m[1] or " "
             if joint == ",":
                 groups.append(tuple(chain))
@@ -236,7 +238,7 @@ def compile_selector(selector: str) -> tuple[tuple[_Compound, ...], ...]:
         m = _PART.match(s, i)
         if not m or m["tag"] and tests:
             raise SelectorError(f"cannot read {s[i:]!r}")
-        i = m.end()
+        i, open_ = m.end(), False
         if m["tag"]:
             tests.append(_Test("tag", m["tag"].lower()))
         elif m["cls"]:
@@ -263,7 +265,7 @@ def compile_selector(selector: str) -> tuple[tuple[_Compound, ...], ...]:
             else:
                 raise SelectorError(f"unknown :{name}")
     flush()
-    if not chain:
+    if open_ or not chain:
         raise SelectorError(f"nothing after the last joint: {selector}")
     return (*groups, tuple(chain))
 
