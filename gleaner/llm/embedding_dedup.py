@@ -54,12 +54,12 @@ def _codes(width: float, projections: int, tables: int, seed: int):
                 a, b = planes[dim]
                 cells = np.floor((x @ a + b) / width).astype(np.int64).view(np.uint64).reshape(len(at), tables, projections)
                 h = np.zeros((len(at), tables), np.uint64)
-                for j in range(projections):  # a bucket is known by a 64-bit hash of its cells
+                for j in range(projections):  # a bucket is known by a 32-bit hash of its cells: others that share it cost a comparison
                     h = (h ^ cells[:, :, j]) * mixer[j]
                     h ^= h >> np.uint64(29)
-                for i, row in zip(at, h.view(np.int64), strict=True):
+                for i, row in zip(at, (h >> np.uint64(32)).astype(np.uint32).view(np.int32), strict=True):
                     out[i] = row
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int64()))], [*batch.schema.names, "codes"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))], [*batch.schema.names, "codes"])
 
     return run
 
@@ -88,7 +88,7 @@ def _compare(rows: list[dict], threshold: float) -> tuple[np.ndarray, list[tuple
     if not np.isfinite(norm).all() or norm.min() < 1e-150:
         x = x / np.abs(x).max(axis=1, keepdims=True)
         norm = np.linalg.norm(x, axis=1)
-    codes, m, t = np.array([r["codes"] for r in rows], np.int64), np.array([r["m"] for r in rows], np.int64), rows[0]["t"]
+    codes, m, t = np.array([r["codes"] for r in rows], np.int32), np.array([r["m"] for r in rows], np.int64), rows[0]["t"]
     part = np.array([r["part"] for r in rows], np.int64)
     apart = part.min() != part.max()
     links, forest, edges = np.zeros(len(rows), np.int64), _Forest(len(rows)), []
@@ -153,7 +153,9 @@ def near_duplicates(
     missed with probability below 0.0002, nearer pairs more rarely.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
+    # single precision is carried as such, and compared in double
+    kind = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("embedding"), F.col("label").cast("string").alias("label"))
     e = F.col("embedding")
     sound = F.coalesce(
         F.col("label").isNotNull() & (F.size(e) > 0) & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0),
@@ -165,7 +167,7 @@ def near_duplicates(
     classes = classes.withColumn("v", F.coalesce("least", "h"))
     classes = written(classes, "classes")
     coded = classes.select("label", "embedding", "v", "m").mapInArrow(
-        _codes(width, projections, tables, seed), "label string, embedding array<double>, v long, m long, codes array<bigint>"
+        _codes(width, projections, tables, seed), f"label string, embedding array<{kind}>, v long, m long, codes array<int>"
     )
     coded = written(coded.withColumn("dim", F.size("embedding")), "codes")
     bucket = ["label", "dim", "t", "b"]
