@@ -7,6 +7,7 @@ stage's docs. All but the last return the columns of documents. Counted as part
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gleaner.llm.common import written
 from gleaner.llm.mixing import mixed
@@ -27,8 +28,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group; of repeated rows one stays."""
     groups = near_duplicates(docs.select("doc_id", "text"), shingle=3, radius=2)
-    first = groups.where("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(first, docs.doc_id.eqNullSafe(first.doc_id), "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    known = F.coalesce(F.col("doc_id"), F.lit(-1)).alias("_id")  # one key for both steps, so texts are shuffled once
+    first = groups.where("doc_id <=> component_id").select(known).distinct()
+    return docs.select("*", known).join(first, "_id", "left_semi").dropDuplicates(["_id"]).select(*COLUMNS)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
