@@ -90,7 +90,7 @@ def _compare(rows: list[dict], threshold: float) -> tuple[np.ndarray, list[tuple
         norm = np.linalg.norm(x, axis=1)
     codes, m, t = np.array([r["codes"] for r in rows], np.int32), np.array([r["m"] for r in rows], np.int64), rows[0]["t"]
     part = np.array([r["part"] for r in rows], np.int64)
-    apart = part.min() != part.max()
+    apart = rows[0]["part_a"] != rows[0]["part_b"]  # two parts meet here, and each part meets itself elsewhere
     links, forest, edges = np.zeros(len(rows), np.int64), _Forest(len(rows)), []
     for at in range(0, len(rows), 512):
         cos = (x[at : at + 512] @ x.T) / (norm[at : at + 512, None] * norm)
