@@ -118,3 +118,13 @@ def title_overlap(title: Column | str, subject: Column | str) -> Column:
     """How many of the subject's words of three letters or more the title has."""
     want = F.array_distinct(F.filter(F.split(F.lower(tx.col(subject)), " "), lambda w: F.length(w) > 2))
     return F.size(F.array_intersect(want, F.split(F.lower(tx.col(title)), r"[^\p{L}\p{N}]+")))
+
+
+def encode_map(c: Column | str) -> Column:
+    """A map of strings as JSON; a null map as an empty object."""
+    return F.coalesce(F.to_json(tx.col(c)), F.lit("{}"))
+
+
+def decode_map(c: Column | str) -> Column:
+    """A map of strings from JSON; empty where it is none."""
+    return F.coalesce(F.from_json(tx.col(c), "map<string,string>", {"mode": "PERMISSIVE"}), F.create_map().cast("map<string,string>"))

@@ -147,6 +147,11 @@ class Dataset:
             found = found | F.contains(F.lower(F.col(f"`{n}`")), q)
         return self.filter(found)
 
+    def search_blob(self, pattern: str) -> Dataset:
+        """Rows whose fields, in lower case and joined by spaces, have the pattern somewhere; % and _ in it are wildcards, and it may span fields. search() is the plain one."""
+        blob = F.concat_ws(" ", *[F.lower(c) for c in self.cells()])
+        return self.filter(blob.like(f"%{pattern.lower()}%"))
+
     def remove_empty_rows(self) -> Dataset:
         return self.filter(~self.empty_row())
 

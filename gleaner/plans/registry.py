@@ -78,6 +78,18 @@ def q_filter(spark, sf_dir):
     return _dataset(spark, sf_dir, "customer", "c_custkey", only=["c_custkey", "c_mktsegment"]).filter(F.col("c_mktsegment") == "BUILDING").values()
 
 
+@query("select cast(p_partkey as varchar) as p_partkey from part where lower(concat_ws(' ', cast(p_partkey as varchar), p_name, p_brand)) like '%r_ng brand#1%'")
+def q_search_blob(spark, sf_dir):
+    return _dataset(spark, sf_dir, "part", "p_partkey", only=["p_partkey", "p_name", "p_brand"]).search_blob("R_NG Brand#1").select_fields(["p_partkey"]).values()
+
+
+@query("select event_id, json_extract_string(props, '$.k') as k, 1 as n from events where props is not null")
+def q_map_json(spark, sf_dir):
+    e = table(spark, sf_dir, "events").where("props is not null").select("event_id", sc.decode_map("props").alias("m"))
+    again = e.select("event_id", sc.decode_map(sc.encode_map("m")).alias("m"))
+    return again.select("event_id", F.col("m")["k"].alias("k"), F.size("m").alias("n"))
+
+
 @query("select cast(o_orderkey as varchar) as o_orderkey from orders order by o_totalprice desc, o_orderkey desc limit 50 offset 100")
 def q_sort_numeric_page(spark, sf_dir):
     d = _dataset(spark, sf_dir, "orders", "o_orderkey", {"o_totalprice": "currency"}, ["o_orderkey", "o_totalprice"])

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from urllib.parse import urljoin, urlsplit
 
@@ -160,3 +160,22 @@ def explain(plan: Plan, counts: dict[str, tuple[int, int]], containers: int, siz
         m, n = counts.get(name, (0, 0))
         lines.append(f"  {name} ({selector}@{take}): {m} elements, {n} values{'' if n else ', EMPTY'}")
     return "\n".join(lines)
+
+
+def suggested(html: str, fields: list[str], model: Callable[[str, list[str]], dict[str, str]], url: str = "") -> dict[str, str]:
+    """Selectors that a model suggests for the fields of a page, those alone that give a value on that page; nothing if the model fails."""
+    try:
+        found = model(html, fields)
+    except Exception:
+        return {}
+    kept: dict[str, str] = {}
+    container = {"container": found["container"]} if isinstance(found.get("container"), str) else {}
+    for name, selector in found.items():
+        if name in fields and isinstance(selector, str) and selector.strip():
+            try:
+                rows, _, _ = extract(html, Plan.of(container | {name: selector}), url)
+            except ValueError:
+                continue
+            if rows:
+                kept[name] = selector
+    return kept | (container if kept else {})

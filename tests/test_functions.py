@@ -69,3 +69,18 @@ def test_similarities(spark):
     assert [round(r[0], 4) for r in df.select(sc.trigram_similarity("a", "b")).collect()] == [0.6842, 0.0, 0.0]
     df = spark.createDataFrame([("The Blue Song official", "blue song (HD)"), ("a b", "a b"), ("one two", "two three")], "a string, b string")
     assert [round(r[0], 4) for r in df.select(sc.token_similarity("a", "b")).collect()] == [1.0, 0.0, 0.3333]
+
+
+def test_maps_as_json(spark):
+    df = spark.createDataFrame([({"a": 'q"', "b": ""},), (None,)], "m map<string,string>")
+    got = df.select(sc.encode_map("m").alias("j")).select("j", sc.decode_map("j").alias("m")).collect()
+    assert got[0].m == {"a": 'q"', "b": ""} and got[1].j == "{}" and got[1].m == {}
+    assert spark.createDataFrame([("no json",)], "j string").select(sc.decode_map("j")).first()[0] == {}
+
+
+def test_scratch_tables_are_swept(spark):
+    from gleaner.functions import storage
+
+    storage.sweep(spark)
+    df = storage.written(spark.range(5), "t")
+    assert df.count() == 5 and storage.sweep(spark) == 1 and storage.sweep(spark) == 0

@@ -163,3 +163,27 @@ def test_registry_and_search(spark):
     r.unregister("bad")
     assert r.all() == [good] and intent.plan(spark, "news", r).fallback == []
     assert r.search_all(spark, SearchQuery("x", frozenset(("audio",)), 1), fetch).count() == 1 and r.search_all(spark, SearchQuery("x", frozenset(("geo",))), fetch).count() == 0
+
+
+def fetch_fake(url, form):
+    page = int(url.rsplit("=", 1)[1])
+    return "" if page == 3 else f"<div class=r><b>T{page}</b><a href='/x{page}'>l</a><i>e</i></div><div class=r></div>"
+
+
+def test_data_source(spark):
+    import json
+
+    from gleaner.sources.datasource import ProviderSource
+
+    spark.dataSource.register(ProviderSource)
+    provider = {"id": "p", "search_url": "https://p.example/?q={query}&p={page}", "container": ".r", "fields": {"title": "b", "url": "a@href", "note": "i"}}
+    df = spark.read.format("gleaner_results").option("provider", json.dumps(provider)).option("fetch", "tests.test_search:fetch_fake").option("query", "a b").option("pages", 3).load()
+    assert [tuple(r) for r in df.orderBy("page").collect()] == [(i, 0, "p", "web", f"T{i}", f"https://p.example/x{i}", "", {"note": "e"}) for i in (1, 2)]
+
+
+def test_suggested_selectors():
+    from gleaner.sources.extract import suggested
+
+    model = lambda html, fields: {"title": "h1", "price": ".none", "bad": "p[", "other": "p"}
+    assert suggested("<h1>x</h1><p>y</p>", ["title", "price", "bad"], model) == {"title": "h1"}
+    assert suggested("<h1>x</h1>", ["title"], lambda h, f: 1 / 0) == {}
