@@ -2,31 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word is a maximal run of characters other than space, tab, newline, vertical tab, form feed and return.
-WORD = r"[^\x20\x09-\x0D]+"
-
+from gleaner.functions.storage import scratch, shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where none is set, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="gleaner-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+__all__ = ["WORD", "components", "crc_mod", "partitions", "scratch", "shared_dir", "written"]
 
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet into the shared folder and read it back with the same schema."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: A word is a maximal run of characters other than space, tab, newline, vertical tab, form feed and return.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def partitions(spark: SparkSession) -> int:

@@ -24,7 +24,6 @@ in the shared folder that every later pass joins without moving it.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import partitions, shared_dir, written
+from gleaner.llm.common import partitions, scratch, written
 
 ANCHOR = 32
 #: Bytes of text hashed at once; a longer document is hashed alone.
@@ -282,9 +281,10 @@ def remove_repeats(docs: DataFrame, depth: int = 200, widths: tuple[int, ...] =
     twice = written(digits.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "twice")
     tied = digits.join(twice, "h", "left_semi").groupBy(*key).agg(F.collect_set("h").alias("tied"))
 
-    n, table = partitions(spark), f"gleaner_texts_{uuid.uuid4().hex}"
+    n, path = partitions(spark), scratch(spark, "texts")
+    table = f"gleaner_{path.rsplit('-', 1)[1]}"
     held = docs.join(tied, key).repartition(n, *key)
-    held.write.bucketBy(n, *key).option("path", f"{shared_dir(spark)}/{table}").format("parquet").saveAsTable(table)
+    held.write.bucketBy(n, *key).option("path", path).format("parquet").saveAsTable(table)
     texts = spark.table(table)
 
     nodes = texts.select("bytes", *key, "tied").mapInArrow(_tied_anchors(depth), NODE)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import shared_dir, written
+from gleaner.llm.common import scratch, written
 
 # Fields of the header lines of both ARC versions, and their version blocks' numbers.
 ARC_FIELDS = {
@@ -230,6 +230,6 @@ def archive(pages: DataFrame, least: int = 0, path: str | None = None) -> DataFr
     A null html is an empty payload; a null url an empty address; rows with one page_id are separate captures; a
     null page_id never wins while a copy has one; other columns are ignored; an empty table gives no rows.
     """
-    path = path or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    path = path or scratch(pages.sparkSession, "warc")
     convert(pages, path, least)
     return read_back(pages.sparkSession, path)
