@@ -95,4 +95,6 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    from gleaner.llm import oracle
+
+    return oracle.oracle_sql()
