@@ -95,8 +95,9 @@ def _refined(index: DataFrame, radius: int, crowd: int) -> DataFrame:
 
 def links(fps: DataFrame, radius: int = 2, crowd: int = 512) -> DataFrame:
     """Pairs (a, b), a < b, of distinct fingerprints of fps (fp) that differ in 1 to radius bits; every such pair, once."""
-    # distinct fingerprints are few bytes, but each gives many variants: spread them over all tasks first
-    fps = fps.select("fp").distinct().repartition(partitions(fps.sparkSession), "fp")
+    # distinct fingerprints are few bytes, but each gives many variants: spread them over all tasks first; by a hash,
+    # as dealt by fp alone they would keep the few partitions that adaptive execution made of them
+    fps = fps.select("fp").distinct().repartition(partitions(fps.sparkSession), F.xxhash64("fp"))
     index = written(_refined(_index(fps, radius), radius, crowd), "variants")
     by = ["tag", "key", "part"]
     left = index.where("side = 0").select(*by, F.col("fp").alias("a"))
