@@ -131,7 +131,6 @@ def _counted(batches):
         counts = {0: Counter(), 1: Counter()}
         for text, y in zip(batch.column("text"), batch.column("toxic"), strict=True):
             counts[y.as_py()].update(_candidates(set(fold(text.as_py()).split())))
-        # a term that no toxic document of the batch has, and few others, cannot matter to terms that are toxic
         terms = list(counts[0] | counts[1])
         if terms:
             yield pa.RecordBatch.from_arrays(
@@ -234,11 +233,12 @@ def _fitted(rates: list[float], toxic: list[int]) -> tuple[float, float]:
     return b, max(s, 0.0)
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000, calibrate: int = 4_000, most_terms: int = 2_000, least_docs: int = 5, least_odds: float = 2.0) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000, calibrate: int = 4_000, longest: int = 100_000, most_terms: int = 2_000, least_docs: int = 5, least_odds: float = 2.0) -> Lexicon:
     """A lexicon from docs (doc_id, text) and labels (doc_id, toxic).
 
     Bounds, all parameters: terms are counted on at most ``sample`` labelled documents, those with the least hash;
-    the score is calibrated, exceptions are looked for and superfluous terms dropped on the first ``calibrate`` of them; of the terms, the
+    the score is calibrated, exceptions are looked for and superfluous terms dropped on the first ``calibrate``
+    of them, which come to the driver, so none of more than ``longest`` characters is among these; of the terms, the
     ``most_terms`` with most toxic documents are used. A term has least_docs toxic
     documents, or four and 0.4 % of all toxic ones if those are more, and log odds of least_odds less 1.5 standard errors.
     """
@@ -257,7 +257,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000, calibrate: i
     # terms of a twentieth of the toxic documents may be less sure: exceptions may explain the others that have them
     rows = counts.where((F.col("n1") >= max(least_docs, 4 + n1 // 250)) & ((odds >= least_odds) | (odds >= least_odds / 2) & (F.col("n1") >= n1 / 20))).orderBy(F.desc("n1"), F.desc(F.length("term")), "term").limit(20 * most_terms).collect()
     terms = _selected(rows, n1, n0, most_terms)
-    some = known.join(F.broadcast(picked.orderBy("order", "doc_id").limit(calibrate).select("doc_id")), "doc_id", "left_semi").select("doc_id", "text", "toxic").orderBy("doc_id").limit(calibrate).collect()
+    some = known.join(F.broadcast(picked.orderBy("order", "doc_id").limit(calibrate).select("doc_id")), "doc_id", "left_semi").where(F.length("text") <= longest)
+    some = some.select("doc_id", "text", "toxic").orderBy("doc_id").limit(calibrate).collect()
     texts, toxic = [r["text"] for r in some], [r["toxic"] for r in some]
     weak = {t: w for t, w in terms.items() if w < least_odds}
     terms = {t: w for t, w in terms.items() if t not in weak} | _excused(weak, _exceptions(texts, toxic, weak), texts, toxic, least_odds)
