@@ -18,15 +18,21 @@ import re
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 10
 #: For tests and examples only; pass a secret of your own.
 EXAMPLE_KEY = b"gleaner example key"
+KEY_SETTING = "spark.gleaner.pii.key"
 KINDS = ("email", "card", "account", "phone", "ip", "secret", "date", "national_id")
 
 
+def session_key(spark: SparkSession) -> bytes:
+    """The key that the session sets, at most 64 bytes of UTF-8; else the example key."""
+    return (spark.conf.get(KEY_SETTING, None) or EXAMPLE_KEY.decode()).encode()[:64]
+
+
 def _round(key: bytes, tweak: bytes, i: int, value: int, modulus: int) -> int:
     data = tweak + bytes([i]) + value.to_bytes((value.bit_length() + 7) // 8 or 1, "little")
     return int.from_bytes(hashlib.blake2b(data, key=key, digest_size=32).digest(), "little") % modulus

@@ -42,9 +42,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from gleaner.llm.pii import KINDS, pseudonymise
+    from gleaner.llm.pii import KINDS, pseudonymise, session_key
 
-    return pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", *(f"n_{k}" for k in KINDS))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonymise(docs, session_key(spark)).select("doc_id", "text", *(f"n_{k}" for k in KINDS))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
