@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import written
 from gleaner.llm.mixing import mixed
 from gleaner.llm.packing import pack
-from gleaner.llm.pii import pseudonymise
+from gleaner.llm.pii import pseudonymise, session_key
 from gleaner.llm.quality import keep_good
 from gleaner.llm.simhash import near_duplicates
 
@@ -35,7 +35,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced."""
-    return pseudonymise(docs.select(*COLUMNS)).select(*COLUMNS)
+    return pseudonymise(docs.select(*COLUMNS), session_key(spark)).select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
