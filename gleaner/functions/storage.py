@@ -32,6 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _PATHS: list[str] = []
+_TABLES: list[str] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -40,9 +41,18 @@ def scratch(spark: SparkSession, name: str) -> str:
     return _PATHS[-1]
 
 
+def scratch_table(spark: SparkSession, name: str) -> tuple[str, str]:
+    """A new table name and its path in the shared folder, for bucketed tables, which need a catalog; sweep() will drop it."""
+    path = scratch(spark, name)
+    _TABLES.append(f"gleaner_{name}_{path.rsplit('-', 1)[1]}")
+    return _TABLES[-1], path
+
+
 def sweep(spark: SparkSession) -> int:
     """Remove all tables this process has written to the shared folder, once no DataFrame needs them; how many there were."""
     n = len(_PATHS)
+    while _TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop()}")
     while _PATHS:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_PATHS.pop())
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
