@@ -31,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import partitions, scratch, written
+from gleaner.functions.storage import scratch_table
+from gleaner.llm.common import partitions, written
 
 ANCHOR = 32
 #: Bytes of text hashed at once; a longer document is hashed alone.
@@ -281,8 +282,7 @@ def remove_repeats(docs: DataFrame, depth: int = 200, widths: tuple[int, ...] =
     twice = written(digits.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "twice")
     tied = digits.join(twice, "h", "left_semi").groupBy(*key).agg(F.collect_set("h").alias("tied"))
 
-    n, path = partitions(spark), scratch(spark, "texts")
-    table = f"gleaner_{path.rsplit('-', 1)[1]}"
+    n, (table, path) = partitions(spark), scratch_table(spark, "texts")
     held = docs.join(tied, key).repartition(n, *key)
     held.write.bucketBy(n, *key).option("path", path).format("parquet").saveAsTable(table)
     texts = spark.table(table)
