@@ -85,14 +85,18 @@ class Buffer:
         self.bytes = np.frombuffer(b"".join(texts), np.uint8)
         self.n = len(self.bytes)
         _POWERS.upto(self.n)
-        self.prefix = []
-        for table, up in zip(_POWERS.table, _POWERS.up, strict=True):
+        self.known: dict[int, np.ndarray] = {}
+
+    def prefix(self, which: int) -> np.ndarray:
+        """Prefix hashes in one of the two bases, made when first asked for."""
+        if which not in self.known:
             p = np.zeros(self.n + 1, np.uint64)
-            np.cumsum(table[self.bytes] * up[: self.n], out=p[1:])
-            self.prefix.append(p)
+            np.cumsum(_POWERS.table[which][self.bytes] * _POWERS.up[which][: self.n], out=p[1:])
+            self.known[which] = p
+        return self.known[which]
 
     def hash(self, which: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        p = self.prefix[which]
+        p = self.prefix(which)
         return (p[end] - p[start]) * _POWERS.down[which][start]
 
     def anchors(self, depth: int) -> tuple[np.ndarray, ...]:
@@ -101,7 +105,7 @@ class Buffer:
         if self.n < depth:
             return none
         w, m, bits = depth - ANCHOR + 1, self.n - ANCHOR + 1, 32  # the same in every buffer, or the choice would differ
-        p = self.prefix[0]
+        p = self.prefix(0)
         h = _mix((p[ANCHOR:] - p[:-ANCHOR]) * _POWERS.down[0][:m])
         low = _U((1 << bits) - 1)
         v = (h & ~low) | np.arange(m, dtype=np.uint64)  # least hash, then leftmost
