@@ -58,15 +58,16 @@ def date(c: Column) -> Column:
     A whole cell is tried as these forms in order: year-month-day, d/m/y, m/d/y, d-m-y with two digits each, day month
     year and month day, year in English names or their first three letters, y/m/d, y.m.d.
     """
-    t = tx.collapse(tx.digits(c))
+    return tx.let(tx.collapse(tx.digits(c)), _date_of)
 
+
+def _date_of(t: Column) -> Column:
     def whole(pattern: str, order: str) -> Column:
         part = {x: F.regexp_extract(t, pattern, i + 1).try_cast("int") for i, x in enumerate(order)}
         return F.when(t.rlike(pattern), _iso(part["y"], part["m"], part["d"], True))
 
     def named(pattern: str, names: tuple[str, ...], name_at: int, day_at: int) -> Column:
-        name = F.regexp_extract(t, pattern, name_at)
-        month = F.coalesce(*[F.when(name == n, F.lit(i + 1)) for i, n in enumerate(names)])
+        month = F.array_position(F.array(*map(F.lit, names)), F.regexp_extract(t, pattern, name_at)).cast("int")  # 0 where it is no name
         return F.when(t.rlike(pattern), _iso(F.regexp_extract(t, pattern, 3).try_cast("int"), month, F.regexp_extract(t, pattern, day_at).try_cast("int"), True))
 
     short = tuple(m[:3] for m in MONTHS)

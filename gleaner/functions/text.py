@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,3 +48,8 @@ def text_or_empty(c: Column | str) -> Column:
 
 def before_hash(c: Column | str) -> Column:
     return F.substring_index(col(c), "#", 1)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
