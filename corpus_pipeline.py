@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import written
+from gleaner.llm.jaccard import near_copies
 from gleaner.llm.mixing import mixed
 from gleaner.llm.packing import pack
 from gleaner.llm.pii import pseudonymise, session_key
 from gleaner.llm.quality import keep_good
-from gleaner.llm.simhash import near_duplicates
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -26,10 +26,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group; of repeated rows one stays."""
-    groups = near_duplicates(docs.select("doc_id", "text"), shingle=3, radius=2)
+    """The document with the smallest doc_id of each group of texts linked at 0.8 or more (Jaccard of five-word shingles); of repeated rows one stays."""
     known = F.coalesce(F.col("doc_id"), F.lit(-1)).alias("_id")  # one key for both steps, so texts are shuffled once
-    first = groups.where("doc_id <=> component_id").select(known).distinct()
+    groups = near_copies(docs.select("text", known), ["_id"])
+    first = groups.groupBy("component").agg(F.min("_id").alias("_id")).select("_id").distinct()
     return docs.select("*", known).join(first, "_id", "left_semi").dropDuplicates(["_id"]).select(*COLUMNS)
 
 
