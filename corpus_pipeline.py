@@ -26,11 +26,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of texts linked at 0.8 or more (Jaccard of five-word shingles); of repeated rows one stays."""
-    known = F.coalesce(F.col("doc_id"), F.lit(-1)).alias("_id")  # one key for both steps, so texts are shuffled once
-    groups = near_copies(docs.select("text", known), ["_id"])
-    first = groups.groupBy("component").agg(F.min("_id").alias("_id")).select("_id").distinct()
-    return docs.select("*", known).join(first, "_id", "left_semi").dropDuplicates(["_id"]).select(*COLUMNS)
+    """One row of each group of texts linked at 0.8 or more (Jaccard of five-word shingles): the smallest doc_id's, null after all others.
+
+    Rows are told apart by all their columns, never by doc_id alone: texts that are not alike stay, whether their ids are null or equal.
+    """
+    docs = docs.select(*COLUMNS)
+    row = [F.xxhash64(*[F.lit(i), *COLUMNS]).alias(k) for i, k in enumerate(("_k", "_l"))]  # 128 bits of the row
+    groups = near_copies(docs.select("doc_id", "text", *row), ["doc_id", "_k", "_l"])
+    first = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k", "_l")).alias("m")).select("m._k", "m._l")
+    return docs.select("*", *row).join(first, ["_k", "_l"], "left_semi").dropDuplicates(["_k", "_l"]).select(*COLUMNS)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -75,6 +75,14 @@ def test_stage_keeps_the_first_of_each_group(spark):
     assert {r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, df, "").collect()} == want
 
 
+def test_null_and_equal_ids_in_the_stage(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (-1, a + " z"), (9, d), (-1, b + " y q r s t u v w x z k l m n"), (None, None)]
+    df = spark.createDataFrame([(i, t, "en", "web", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.simhash_near_dedup(spark, df, "").collect()), key=str)
+    assert got == sorted([(None, b), (7, c), (7, d), (-1, a + " z"), rows[7], (None, None)], key=str)
+
+
 def test_pairs_at_the_limit_share_a_key():
     rng = random.Random(6)
     for _ in range(200):
