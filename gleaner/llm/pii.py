@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 10
+#: Digits permuted as one number.
+BLOCK = 2048
 #: For tests and examples only; pass a secret of your own.
 EXAMPLE_KEY = b"gleaner example key"
 KEY_SETTING = "spark.gleaner.pii.key"
@@ -35,7 +37,12 @@ def session_key(spark: SparkSession) -> bytes:
 
 def _round(key: bytes, tweak: bytes, i: int, value: int, modulus: int) -> int:
     data = tweak + bytes([i]) + value.to_bytes((value.bit_length() + 7) // 8 or 1, "little")
-    return int.from_bytes(hashlib.blake2b(data, key=key, digest_size=32).digest(), "little") % modulus
+    if modulus >> 256:  # one digest would leave the upper digits of a longer half as they are
+        more = range(modulus.bit_length() // 512 + 2)
+        digest = b"".join(hashlib.blake2b(j.to_bytes(4, "little") + data, key=key).digest() for j in more)
+    else:
+        digest = hashlib.blake2b(data, key=key, digest_size=32).digest()
+    return int.from_bytes(digest, "little") % modulus
 
 
 def feistel(value: int, low: int, high: int, key: bytes, tweak: bytes, back: bool = False) -> int:
@@ -55,6 +62,13 @@ def permute_digits(digits: str, radix: int, key: bytes, tweak: str, back: bool =
     n, names = len(digits), "0123456789abcdefghijklmnopqrstuvwxyz"
     if not n:
         return digits
+    if n > BLOCK:  # in blocks, each keyed by the pseudonym of the one before
+        parts, last = [], f"{tweak}/{n}"
+        for at in range(0, n, BLOCK):
+            given = digits[at : at + BLOCK]
+            parts.append(permute_digits(given, radix, key, last, back))
+            last = f"{tweak}/{n}/{hashlib.blake2b((last + (given if back else parts[-1])).encode(), digest_size=16).hexdigest()}"
+        return "".join(parts)
     u = n // 2
     x = feistel(int(digits, radix), radix**u, radix ** (n - u), key, f"{tweak}/{radix}/{n}".encode(), back)
     out = []
@@ -168,15 +182,15 @@ def _letters(text: str, key: bytes, tweak: str, back: bool) -> str:
 
 
 _EMAIL = re.compile(r"(?<![\w.+-])([\w.+-]++)@((?:[\w-]++\.)+[A-Za-z]{2,})")
-_HEX = re.compile(r"(?<![0-9A-Za-z])(?=[0-9A-Fa-f]*[0-9])(?=[0-9A-Fa-f]*[A-Fa-f])[0-9A-Fa-f]{32,128}(?![0-9A-Za-z])")
-_NAMED = re.compile(r"""(?i)\b(token|secret|password|passwd|api[_-]?key|access[_-]?key)(["']?\s{0,3}[=:]\s{0,3}["']?)([A-Za-z0-9_/+.-]{8,200})""")
+_HEX = re.compile(r"(?<![0-9A-Za-z])(?=[0-9A-Fa-f]*[0-9])(?=[0-9A-Fa-f]*[A-Fa-f])[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])")
+_NAMED = re.compile(r"""(?i)\b(token|secret|password|passwd|api[_-]?key|access[_-]?key)(["']?\s{0,3}[=:]\s{0,3}["']?)([A-Za-z0-9_/+.-]{8,}+)""")
 _KEYED = re.compile(r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk[-_](?:live_|test_)?[0-9A-Za-z]{20,})(?![0-9A-Za-z])")
 _IP = re.compile(r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d.]*\d)")
 _DATE = re.compile(r"(?<![\d/.-])(?:(?P<ymd>\d{4}([-/.])\d{2}\2\d{2})|\d{2}([-/.])\d{2}\3\d{4})(?![\d/-]|\.\d)")
 _DIGIT = re.compile(r"[0-9]")
 _DIGITS = re.compile(
     r"(?<![\w.])(?:"
-    r"\d{3}-\d{2}-\d{4}|\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5}"  # national ids, cards, accounts
+    r"\d{3}-\d{2}-\d{4}|\d{13,}+|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5}"  # national ids, cards, accounts
     r"|(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}|\d{3}[ .-]\d{3}[ .-]\d{4}"  # phones
     r"|\d{9,12})(?!\w|[.-]\d)"
 )

@@ -72,3 +72,16 @@ def test_dataframe(spark):
     assert got[3].text == "plain" and got[5].text.endswith(".example.com") and got[5].n_chars == len(got[5].text)
     assert set(got[0].asDict()) == {"doc_id", "text", "lang", "n_chars", *(f"n_{k}" for k in KINDS)}
     assert pseudonymise(df.limit(0)).count() == 0
+
+
+def test_long_values_are_replaced_whole():
+    rng = random.Random(12)
+    for n in (120, 201, 2100, 9000):
+        for form, names in (("token={}", "abcdefghijklmnopqrstuvwxyz"), ("{}", "0123456789abcdef"), ("{}", "0123456789")):
+            value = "".join(rng.choice(names) for _ in range(n))
+            text = f"see {form.format(value)} here"
+            new, found = pseudonyms(text)
+            assert sum(found.values()) == 1 and len(new) == len(text) and pseudonyms(new, back=True)[0] == text
+            at = text.index(value)
+            same = [a == b for a, b in zip(value, new[at : at + n])]
+            assert new[:at] == text[:at] and all(sum(same[i : i + 40]) < 20 for i in range(0, n - 39, 20))
