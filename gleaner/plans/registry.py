@@ -369,7 +369,7 @@ def q_cosine_topk(spark, sf_dir):
 @query()
 def q_semantic_dedup(spark, sf_dir):
     """Lists of results, one for each label, without those that mean the same; held against a plain loop in tests."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.slice("embedding", 1, 64).alias("embedding"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
     r = _results(e.select(F.col("vec_id").alias("_pos"), "label", "embedding"), {"title": F.concat(F.lit("vector "), F.col("_pos").cast("string"))}, ["label", "embedding"])
     return results.drop_same_meaning(r, ("label",), "embedding").select("label", F.col("_pos").alias("vec_id"), "title")
 

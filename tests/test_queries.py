@@ -49,3 +49,11 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_semantic_dedup_compares_whole_vectors(spark, tmp_path):
+    from gleaner.plans import registry
+
+    rows = [(1, 0, [1.0] * 64 + [9.0] * 64), (2, 0, [1.0] * 64 + [-9.0] * 64)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert registry.queries()["q_semantic_dedup"](spark, str(tmp_path)).count() == 2
