@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import WORD, written
 
 WEIGHTS = (5, 2, 1)
+#: Characters of the table of sources up to which it goes to every task.
+BROADCAST = 4 << 20
 
 
 def targets(sizes: list[int], share: Fraction = Fraction(3, 2), weights: tuple[int, ...] = WEIGHTS, most: int = 2) -> list[Fraction]:
@@ -42,36 +44,46 @@ def targets(sizes: list[int], share: Fraction = Fraction(3, 2), weights: tuple[i
     return out
 
 
-def apportion(votes: list, seats: int, most: list[int] | None = None) -> list[int]:
-    """Sainte-Lague: seats by highest quotients votes / (2 n + 1), at most most[i] each; of equal quotients the earlier first.
+def _highest(votes: np.ndarray, seats: int, most: np.ndarray) -> np.ndarray:
+    """Seats by highest quotients votes / (2 n + 1), at most most[i] each; of equal quotients the earlier first. All in integers.
 
-    Starts from the rounded shares, which are the quotients' answer for some number of seats, and moves single seats.
+    The quotients above a divisor are counted for every party at once, and the divisor is halved into place: the least
+    one above which there are no more quotients than seats. What lies just below it is dealt singly.
     """
-    most = most or [seats] * len(votes)
-    seats = min(seats, sum(m for v, m in zip(votes, most, strict=True) if v > 0))
-    out, free, left = [0] * len(votes), [i for i, v in enumerate(votes) if v > 0], seats
-    while free and left > 0:
-        total = sum(votes[i] for i in free)
-        full = [i for i in free if math.floor(Fraction(left) * Fraction(votes[i]) / Fraction(total) + Fraction(1, 2)) >= most[i]]
-        for i in full or free:
-            out[i] = min(most[i], math.floor(Fraction(left) * Fraction(votes[i]) / Fraction(total) + Fraction(1, 2)))
-        if not full:
-            break
-        left -= sum(out[i] for i in full)
-        free = [i for i in free if i not in set(full)]
-    extra = seats - sum(out)
-    up = extra > 0
-    quotient = lambda i: (-Fraction(votes[i]) / (2 * out[i] + 1), i) if up else (Fraction(votes[i]) / (2 * out[i] - 1), -i)
-    heap = [quotient(i) for i, v in enumerate(votes) if v > 0 and (out[i] < most[i] if up else out[i] > 0)]
+    out, able = np.zeros(len(votes), votes.dtype), np.flatnonzero(votes > 0)
+    if not len(able) or seats <= 0:
+        return out
+    v, cap = votes[able], most[able]
+    if seats >= int(cap.sum()):
+        out[able] = cap
+        return out
+    unit = 1 << (64 if v.dtype == object else max(0, 61 - int(v.max()).bit_length()))
+    above = lambda d: np.minimum(cap, (v * unit + (d - 1)) // d // 2)  # noqa: E731  quotients above d / unit
+    low, high = 0, int(v.max()) * unit  # above(high) is none
+    while high - low > 1:
+        d = (low + high) // 2
+        low, high = (low, d) if int(above(d).sum()) <= seats else (d, high)
+    got = above(high)
+    near = np.flatnonzero((above(low) if low else cap) > got)
+    heap = [(-Fraction(int(v[i]), 2 * int(got[i]) + 1), int(i)) for i in near]
     heapq.heapify(heap)
-    for _ in range(abs(extra)):
-        i = abs(heapq.heappop(heap)[1])
-        out[i] += 1 if up else -1
-        if out[i] < most[i] if up else out[i] > 0:
-            heapq.heappush(heap, quotient(i))
+    for _ in range(seats - int(got.sum())):
+        i = heapq.heappop(heap)[1]
+        got[i] += 1
+        if got[i] < cap[i]:
+            heapq.heappush(heap, (-Fraction(int(v[i]), 2 * int(got[i]) + 1), i))
+    out[able] = got
     return out
 
 
+def apportion(votes: list, seats: int, most: list[int] | None = None) -> list[int]:
+    """Sainte-Lague: seats by highest quotients votes / (2 n + 1), at most most[i] each; of equal quotients the earlier first."""
+    votes = [Fraction(v) for v in votes]
+    scale = math.lcm(*(v.denominator for v in votes)) if votes else 1
+    whole = np.array([v.numerator * (scale // v.denominator) for v in votes], object)
+    return [int(x) for x in _highest(whole, seats, np.array([seats] * len(votes) if most is None else most, object))]
+
+
 def _quotas(block: int, most: int):
     """Sets each shard's blocks and quota, from one row for each shard of a source."""
 
@@ -79,25 +91,7 @@ def _quotas(block: int, most: int):
         pdf = pdf.sort_values("shard").reset_index(drop=True)
         size = pdf["words"].to_numpy(np.int64)
         n = np.maximum(np.rint(size / block).astype(np.int64), (size > 0).astype(np.int64))
-        seats, votes, limit = int(pdf["seats"].iloc[0]), size.astype(np.float64), most * n
-        # in floats and by arrays, as a source can have millions of shards: rounded shares, then the highest quotients
-        out = np.zeros(len(n), np.int64)
-        free, left = n > 0, min(seats, int(limit.sum()))
-        seats = left
-        while left > 0 and free.any():
-            part = np.floor(left * votes / votes[free].sum() + 0.5).astype(np.int64)
-            full = free & (part >= limit)
-            if not full.any():
-                out[free] = part[free]
-                break
-            out[full] = limit[full]
-            left -= int(limit[full].sum())
-            free &= ~full
-        while (extra := seats - int(out.sum())) != 0:
-            able = np.flatnonzero(out < limit) if extra > 0 else np.flatnonzero(out > 0)
-            q = votes[able] / (2 * out[able] + 1) if extra > 0 else -votes[able] / (2 * out[able] - 1)
-            out[able[np.argsort(-q, kind="stable")[: abs(extra)]]] += 1 if extra > 0 else -1
-        return pdf.assign(blocks=n, quota=out)[["sid", "shard", "blocks", "quota"]]
+        return pdf.assign(blocks=n, quota=_highest(size, int(pdf["seats"].iloc[0]), most * n))[["sid", "shard", "blocks", "quota"]]
 
     return run
 
@@ -106,7 +100,7 @@ def _chosen(seed: int):
     """Words that a shard's documents give: whole passes, and the spans of words in blocks taken once more."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["order", "doc_id", "size", "k"]).reset_index(drop=True)
+        pdf = pdf.sort_values(["order", "doc_id", "size", "k", "copy"]).reset_index(drop=True)
         size, n, quota = pdf["size"].to_numpy(np.int64), int(pdf["blocks"].iloc[0]), int(pdf["quota"].iloc[0])
         end = np.cumsum(size)
         start, total = end - size, int(end[-1])
@@ -141,9 +135,11 @@ def mix(
 
     Returns doc_id, k (a hash of the row's id and text), size, source, source_size, target, taken (words, repeats
     counted, at most ``most`` times size), passes (whole copies) and spans (word ranges taken once more). Blocks are
-    of ``block`` words, or fewer where the whole table is small. Sources are ordered by code point, null last; null texts and texts without words
-    have size 0 and give nothing; a null doc_id stays null; repeated rows are separate documents; an empty table
-    gives no rows. Reruns over the same rows agree, however they are partitioned.
+    of about ``block`` words. Sources are ordered by code point, null last; null texts and texts without words
+    have size 0 and give nothing; a null doc_id stays null; repeated rows are separate documents, numbered and dealt
+    to shards one by one; a text of any length is one row of its shard; other columns are ignored; an empty table
+    gives no rows. Reruns over the same rows agree, however they are partitioned: equal hashes (order) go by
+    doc_id, size, k and copy, and rows equal in all of these are equal rows.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -153,7 +149,6 @@ def mix(
     sums.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [r["words"] for r in sums]
     want = targets(sizes, share, weights, most)
-    block = max(1, min(block, sum(sizes) // 20_000))
     seats = apportion(want, round(sum(want) / block))
     # seats of a source that is taken whole: all its blocks, each as often as it may be
     seats = [s if t < most * z else 2 * most * (z + 1) for s, t, z in zip(seats, want, sizes, strict=True)]
@@ -162,8 +157,11 @@ def mix(
         [(r["source"], i, r["words"], float(t), s, c) for i, (r, t, s, c) in enumerate(zip(sums, want, seats, shards, strict=True))],
         "source string, sid long, source_size long, target double, seats long, shards long",
     )
-    rows = rows.join(F.broadcast(by_source) if len(sums) < 100_000 else by_source, rows.source.eqNullSafe(by_source.source)).drop(by_source.source)
-    rows = rows.withColumn("order", F.xxhash64(F.lit(seed), "doc_id", "k")).withColumn("shard", F.pmod(F.xxhash64("order"), "shards"))
+    small = sum(len(r["source"] or "") + 64 for r in sums) < BROADCAST
+    rows = rows.groupBy("doc_id", "k", "source", "size").agg(F.count(F.lit(1)).alias("copies"))
+    rows = rows.join(F.broadcast(by_source) if small else by_source, rows.source.eqNullSafe(by_source.source)).drop(by_source.source)
+    rows = rows.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+    rows = rows.withColumn("order", F.xxhash64(F.lit(seed), "doc_id", "k", "copy")).withColumn("shard", F.pmod(F.xxhash64("order"), "shards"))
     quotas = rows.groupBy("sid", "shard").agg(F.sum("size").alias("words"), F.first("seats").alias("seats"))
     quotas = quotas.groupBy("sid").applyInPandas(_quotas(block, most), "sid long, shard long, blocks long, quota long")
     return rows.join(quotas, ["sid", "shard"]).groupBy("sid", "shard").applyInPandas(_chosen(seed), MIX)

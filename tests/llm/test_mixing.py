@@ -3,11 +3,12 @@ import re
 from collections import defaultdict
 from fractions import Fraction
 
+import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from gleaner.llm.common import WORD
-from gleaner.llm.mixing import apportion, mix, mixed, targets
+from gleaner.llm.mixing import _quotas, apportion, mix, mixed, targets
 
 SCHEMA = "doc_id long, text string, source string, n_chars long"
 
@@ -29,6 +30,40 @@ def test_apportion_is_highest_quotients(votes, seats, data):
     assert not last or not following or min(last) >= max(following)
 
 
+def quotients(votes, seats, most):
+    """One seat at a time to the highest quotient, of equals the first."""
+    out = [0] * len(votes)
+    for _ in range(seats):
+        able = [i for i in range(len(votes)) if out[i] < most[i] and votes[i]]
+        if able:
+            out[max(able, key=lambda i: (Fraction(votes[i], 2 * out[i] + 1), -i))] += 1
+    return out
+
+
+@settings(max_examples=2000, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 60), st.integers(0, 9)), min_size=1, max_size=7), st.integers(0, 60), st.integers(1, 97))
+def test_apportion_is_the_plain_rule(parties, seats, part):
+    votes, most = [Fraction(v, part) for v, _ in parties], [m for _, m in parties]
+    assert apportion(votes, seats, most) == quotients(votes, seats, most)
+
+
+@settings(max_examples=2000, deadline=None)
+@given(st.lists(st.integers(0, 300), min_size=1, max_size=9), st.integers(0, 80), st.integers(1, 40))
+def test_quotas_are_highest_quotients(words, seats, block):
+    got = _quotas(block, 2)(pd.DataFrame({"sid": 0, "shard": range(len(words)), "words": words, "seats": seats}))
+    blocks = [max(round(w / block), int(w > 0)) for w in words]
+    assert got["blocks"].tolist() == blocks
+    assert got["quota"].tolist() == quotients(words, seats, [2 * b for b in blocks])
+
+
+def test_quotas_of_large_and_equal_shards():
+    big = [3 * 10**12, 10**12, 10**12 + 1, 7]
+    got = _quotas(10**9, 2)(pd.DataFrame({"sid": 0, "shard": range(4), "words": big, "seats": 2001}))
+    assert got["quota"].tolist() == quotients(big, 2001, [6000, 2000, 2000, 2])
+    same = _quotas(32, 2)(pd.DataFrame({"sid": 0, "shard": range(1000), "words": 1 << 20, "seats": 33_554}))
+    assert same["quota"].tolist() == [34] * 554 + [33] * 446
+
+
 @given(st.lists(st.integers(0, 1000), min_size=1, max_size=12))
 def test_targets(sizes):
     t = targets(sizes)
@@ -43,7 +78,8 @@ def corpus(n=400):
     for i in range(n):
         words = [f"w{rng.randint(0, 99)}" for _ in range(rng.choice([0, 1, 5, 40, 300]))]
         rows.append((i, "\n ".join(words), rng.choice(["a", "a", "a", "b", "c", "é", None]), 7))
-    return rows + [(500, None, "a", 0), (501, "", "z", 0), (None, "one two", "b", 7), rows[3], rows[3]]
+    long = " ".join(f"w{i % 100}" for i in range(30_000))
+    return rows + [(500, None, "a", 0), (501, "", "z", 0), (None, "one two", "b", 7), *[rows[3]] * 30, (502, long, "c", 7), (503, long, "c", 7)]
 
 
 def test_mix(spark):
