@@ -9,16 +9,50 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from gleaner.llm.packing import best_fit, cut, encoder, pack
+from gleaner.llm.packing import agreeing, best_fit, cut, encoder, pack
 
 HF = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-HF.encode_special_tokens = True
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=60))
 def test_same_ids_as_tokenizers(text):
-    assert encoder()(text).tolist() == HF.encode(text, add_special_tokens=False).ids
+    for t in (text, f"{text}<|endoftext|>{text}"):
+        assert encoder(added=agreeing())(t).tolist() == encoder()(t).tolist() == HF.encode(t, add_special_tokens=False).ids
+
+
+def test_added_token():
+    assert encoder(added=agreeing())("a <|endoftext|> b").tolist() == [64, 220, 50256, 275]
+    assert dict(agreeing()) == {"<|endoftext|>": 50256}
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_best_fit_is_the_plain_rule(rule):
+    rng = random.Random(4)
+    lengths, capacity, w = sorted((rng.randint(1, 100) for _ in range(300)), reverse=True), (100, 4, 9000), (1.0, 0.05, 0.05)
+    lengths = [n for n in lengths if n * n <= capacity[2]]
+    bins, want = [], []  # residuals; (bin, offset) by going through all bins
+    for n in lengths:
+        need, best = (n, 1, n * n), None
+        for b, room in enumerate(bins):
+            left = [r - x for r, x in zip(room, need)]
+            if min(left) >= 0:
+                score = sum(k * (x / c) ** 2 for k, x, c in zip(w, left, capacity)) if rule == "norm" else -sum(k * x * r / c / c for k, x, r, c in zip(w, need, room, capacity))
+                if best is None or score < best[0] - 1e-12:
+                    best = (score, b)
+        if best is None:
+            bins.append(list(capacity))
+        b = best[1] if best else len(bins) - 1
+        want.append((tuple(bins[b]), n))
+        bins[b] = [r - x for r, x in zip(bins[b], need)]
+    at, offset = best_fit(np.array(lengths), capacity, rule=rule)
+    # of equally good sequences either may be taken: what each piece finds is the same, and so is their number
+    rooms, got = {}, []
+    for n, b in zip(lengths, at.tolist()):
+        room = rooms.setdefault(b, list(capacity))
+        got.append((tuple(room), n))
+        rooms[b] = [r - x for r, x in zip(room, (n, 1, n * n))]
+    assert got == want and len(rooms) == len(bins)
 
 
 def test_cut():
@@ -45,8 +79,8 @@ def test_best_fit_keeps_every_capacity(rule):
 def test_pack(spark):
     rng = random.Random(3)
     rows = [(i, " ".join(f"wörd{rng.randint(0, 999)}" for _ in range(rng.choice([0, 1, 9, 60, 200, 1500])))) for i in range(250)]
-    rows += [(900, None), (901, ""), (902, "<|endoftext|>"), (None, "x y"), rows[0], rows[0]]
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as piece", "2 as length", "3 as shard").repartition(5)
+    rows += [(900, None), (901, ""), (902, "a <|endoftext|> b"), (None, "x y"), *[rows[0]] * 40, (903, "very long text " * 40_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as piece", "2 as length", "3 as shard", "4 as ids_crc32", "5 as sequence_id", "6 as copy").repartition(5)
     for shard_tokens in (1 << 22, 20_000):
         got = pack(df, length=512, shard_tokens=shard_tokens).collect()
         want = []
