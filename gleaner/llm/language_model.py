@@ -2,7 +2,7 @@
 
 A word is seen as a symbol: the commonest words are symbols of their own, the others fall into classes by their last
 three bytes. The model is P(word | state) = P(symbol | state) * P(word | symbol). The chain of states and
-P(symbol | state) are learned by Baum-Welch: each round, every partition runs forward-backward over its training texts
+P(symbol | state) are learned by Baum-Welch: each round, every partition runs forward-backward over its whole training texts
 and adds up expected counts, which are summed by groupBy; only the sums, as many as the model has parameters, come to
 the driver. P(word | symbol) is the smoothed share of the word in its class, from counts over all training texts.
 
@@ -238,10 +238,15 @@ class Chain:
                 out[i] = total
         return out
 
-    def expected(self, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-        """Expected counts of starts, moves and emissions by forward-backward over the sequences, longest first, and their log likelihood."""
+    def expected(self, sequences: list[np.ndarray], first: np.ndarray | None = None, last: np.ndarray | None = None, moved: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Expected counts of starts, moves and emissions by forward-backward over the sequences, longest first, and their log likelihood.
+
+        first: state probabilities at each sequence's first time (the chain's start unless given), or, where moved, one time before it. last: for each
+        sequence what follows it weighs its last states by, up to a factor.
+        """
         lens = np.array([len(s) for s in sequences])
         steps, n, k = int(lens[0]), len(lens), len(self.start)
+        first = np.tile(self.start, (n, 1)) if first is None else first
         at = np.zeros((steps, n), np.int64)
         for i, s in enumerate(sequences):
             at[: len(s), i] = s
@@ -249,10 +254,13 @@ class Chain:
         alpha, scale = np.zeros((steps, n, k)), np.ones((steps, n))
         for t in range(steps):
             m = active[t]
-            a = (alpha[t - 1, :m] @ self.move if t else np.tile(self.start, (m, 1))) * self.emit[at[t, :m]]
+            before = alpha[t - 1, :m] if t else first[:m]
+            a = (before @ self.move if t or moved else before) * self.emit[at[t, :m]]
             scale[t, :m] = a.sum(axis=1)
             alpha[t, :m] = a / scale[t, :m, None]
         beta, moves = np.ones((n, k)), np.zeros((k, k))
+        if last is not None:
+            beta = last / (alpha[lens - 1, np.arange(n)] * last).sum(axis=1, keepdims=True)
         for t in range(steps - 1, -1, -1):
             m = active[t]
             if t < steps - 1 and active[t + 1]:
@@ -260,11 +268,48 @@ class Chain:
                 ahead = self.emit[at[t + 1, :r]] * beta[:r] / scale[t + 1, :r, None]
                 moves += alpha[t, :r].T @ ahead
                 beta[:r] = ahead @ self.move.T
+            if not t and moved:
+                moves += first.T @ (self.emit[at[0]] * beta / scale[0, :, None])
             alpha[t, :m] *= beta[:m]
         inside = np.arange(steps)[:, None] < lens
         gamma, symbols = alpha[inside], at[inside]
         emits = np.stack([np.bincount(symbols, gamma[:, s], len(self.emit)) for s in range(k)], axis=1)
-        return alpha[0].sum(axis=0), moves * self.move, emits, float(np.log(scale).sum())
+        return np.zeros(k) if moved else alpha[0].sum(axis=0), moves * self.move, emits, float(np.log(scale).sum())
+
+    def expected_long(self, s: np.ndarray) -> Iterator[tuple]:
+        """Expected counts of one long sequence, whole: what its stretches make of every state is chained both ways, then they run side by side."""
+        k = len(self.start)
+        parts = [s[b : b + STRETCH] for b in range(STRETCH, len(s), STRETCH)]
+        ends, weights = np.zeros((len(parts), k, k)), np.zeros((len(parts), k))
+        for b in range(0, len(parts), 256):
+            some = parts[b : b + 256]
+            a, log = self.forward([p for p in some for _ in range(k)], np.tile(np.eye(k), (len(some), 1)), moved=True)
+            log = log.reshape(-1, k)
+            ends[b : b + 256], weights[b : b + 256] = a.reshape(-1, k, k), np.exp(log - log.max(axis=1, keepdims=True))
+        before, after = np.zeros((len(parts), k)), np.ones((len(parts) + 1, k))
+        v = self.forward([s[:STRETCH]], self.start[None])[0][0]
+        for p in range(len(parts)):
+            before[p] = v
+            w = v * weights[p]
+            v = w @ ends[p] / w.sum()
+        for p in range(len(parts) - 1, -1, -1):
+            x = weights[p] * (ends[p] @ after[p + 1])
+            after[p] = x / x.max()
+        yield self.expected([s[:STRETCH]], self.start[None], after[:1])
+        for b in range(0, len(parts), 1024):
+            yield self.expected(parts[b : b + 1024], before[b : b + 1024], after[b + 1 : b + 1025], moved=True)
+
+    def expectations(self, sequences: list[np.ndarray]) -> Iterator[tuple]:
+        """Expected counts of whole sequences, in groups of like length whose padded times fit in memory."""
+        short = sorted((s for s in sequences if len(s) <= LONG), key=len, reverse=True)
+        at = 0
+        while at < len(short):
+            n = max(1, min(1024, len(short) - at, 400_000 // max(1, len(short[at]))))
+            yield self.expected(short[at : at + n])
+            at += n
+        for s in sequences:
+            if len(s) > LONG:
+                yield from self.expected_long(s)
 
 
 def _sequences(batches, end: int) -> Iterator[tuple[list[np.ndarray], pa.RecordBatch]]:
@@ -272,15 +317,13 @@ def _sequences(batches, end: int) -> Iterator[tuple[list[np.ndarray], pa.RecordB
         yield [np.append(np.frombuffer(b.as_py() or b"", np.uint16), np.uint16(end)) for b in batch.column("symbols")], batch
 
 
-def _expectations(chain: Chain, end: int, length: int = 256):
-    """Expected counts as rows (i, x): starts, then moves, then emissions. Longer texts are run in stretches."""
+def _expectations(chain: Chain, end: int):
+    """Expected counts as rows (i, x): starts, then moves, then emissions. Every text is one sequence."""
 
     def run(batches):
-        k, found = len(chain.start), None
+        found = None
         for sequences, _ in _sequences(batches, end):
-            parts = sorted((s[b : b + length] for s in sequences for b in range(0, len(s), length)), key=len, reverse=True)
-            for i in range(0, len(parts), 1024):
-                starts, moves, emits, log = chain.expected(parts[i : i + 1024])
+            for starts, moves, emits, log in chain.expectations(sequences):
                 one = np.r_[starts, moves.ravel(), emits.ravel(), log]
                 found = one if found is None else found + one
         if found is not None:
@@ -363,15 +406,13 @@ def score(docs: DataFrame, folds: int = 10, held: int = 0, common: int = 100_000
     encoded = written(docs.mapInArrow(_encoded(words), ENCODED), "encoded")
     chain, _ = train(encoded.where(~F.col("held_out")), words.n_symbols, states, rounds, seed)
     scored = encoded.drop("rare").mapInArrow(_scored(chain, words.n_symbols - 1), "doc_id long, k long, held_out boolean, n_tokens long, known long, base double, inside double, chain double")
-    # a row without words marks each copy of a text, as equal texts share a key
-    mark = F.struct(F.lit(0).cast("long").alias("w"), F.lit(0).alias("n"))
-    rare = encoded.select("k", F.coalesce("doc_id", F.lit(-1)).alias("id"), F.explode(F.concat("rare", F.array(mark))).alias("x")).select("k", "id", "x.*")
-    rare = rare.join(counts.select("w", "c"), "w", "left")
+    name = F.coalesce("doc_id", F.lit(-1)).alias("id")
+    rare = encoded.select("k", name, F.explode("rare").alias("x")).select("k", "id", "x.*").join(counts.select("w", "c"), "w", "left")
     c = F.coalesce("c", F.lit(0))
-    rare = rare.groupBy("k", "id").agg(
-        F.sum(F.col("n") * F.log10(c + 0.1)).alias("log"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("seen"), F.count_if(F.col("n") == 0).alias("copies")
-    )
-    rare = written(rare, "rare")
+    rare = rare.select("k", "id", (F.col("n") * F.log10(c + 0.1)).alias("log"), F.when(c > 0, F.col("n")).otherwise(0).alias("seen"), F.lit(0).alias("copies"))
+    # a row for each copy of a text, as equal texts share a key; they meet no word's key
+    rare = rare.union(encoded.select("k", name, F.lit(0.0).alias("log"), F.lit(0).alias("seen"), F.lit(1).alias("copies")))
+    rare = written(rare.groupBy("k", "id").agg(F.sum("log").alias("log"), F.sum("seen").alias("seen"), F.sum("copies").alias("copies")), "rare")
     v = scored.withColumn("id", F.coalesce("doc_id", F.lit(-1))).join(rare, ["k", "id"])
     tail, log = (math.log10(ends + 0.1), math.log10(words.total + 0.1 * (words.distinct + 1)))
     extra = F.col("log") / F.col("copies")

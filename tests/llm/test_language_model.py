@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 
+from gleaner.llm import language_model as lm
 from gleaner.llm.language_model import Chain, score
 
 
@@ -49,6 +50,76 @@ def test_expected_counts_by_all_paths():
     assert np.allclose(starts, s2) and np.allclose(moves, m2) and np.allclose(emits, e2) and abs(log - l2) < 1e-9
 
 
+def plain_expected(chain, s):
+    """Forward-backward over one sequence, a state at a time, scaled by each time's sum."""
+    k, n = len(chain.start), len(s)
+    alpha, beta, scale = [[0.0] * k for _ in s], [[1.0] * k for _ in s], [0.0] * n
+    for t in range(n):
+        for j in range(k):
+            before = chain.start[j] if t == 0 else sum(alpha[t - 1][i] * chain.move[i, j] for i in range(k))
+            alpha[t][j] = before * chain.emit[s[t], j]
+        scale[t] = sum(alpha[t])
+        alpha[t] = [a / scale[t] for a in alpha[t]]
+    for t in range(n - 2, -1, -1):
+        beta[t] = [sum(chain.move[i, j] * chain.emit[s[t + 1], j] * beta[t + 1][j] for j in range(k)) / scale[t + 1] for i in range(k)]
+    starts = np.array([a * b for a, b in zip(alpha[0], beta[0])])
+    moves, emits = np.zeros((k, k)), np.zeros_like(chain.emit)
+    for t in range(n):
+        for i in range(k):
+            emits[s[t], i] += alpha[t][i] * beta[t][i]
+            for j in range(k) if t else ():
+                moves[i, j] += alpha[t - 1][i] * chain.move[i, j] * chain.emit[s[t], j] * beta[t][j] / scale[t]
+    return starts, moves, emits, sum(map(math.log, scale))
+
+
+def test_expected_counts_of_whole_long_texts(monkeypatch):
+    chain, rng = Chain.random(3, 12, 9), np.random.default_rng(3)
+    sequences = [rng.integers(0, 12, n).astype(np.uint16) for n in (1000, 1, 300, 700, 2)]
+    want = [sum(x) for x in zip(*(plain_expected(chain, s) for s in sequences))]
+    for long, stretch in ((4096, 256), (200, 64), (299, 1)):
+        monkeypatch.setattr(lm, "LONG", long)
+        monkeypatch.setattr(lm, "STRETCH", stretch)
+        got = [sum(x) for x in zip(*chain.expectations(sequences))]
+        assert all(np.allclose(g, w, rtol=1e-9, atol=1e-9) for g, w in zip(got, want))
+
+
+def test_score_is_that_of_a_plain_model(spark):
+    """Counts, symbols, Baum-Welch rounds and forward probabilities, all over again in plain Python."""
+    rng = random.Random(7)
+    names = [f"{p}{i}{e}" for p in ("ba", "ku") for i in range(20) for e in ("", "er", "ing")]
+    rows = [(i, " ".join(names[min(119, int(rng.expovariate(0.05)))] for _ in range(rng.choice([0, 3, 40, 600])))) for i in range(40)] + [(77, None), (78, "never-seen ba1 ba1")]
+    rows.append(rows[3])
+    own, common, states, rounds = 12, 30, 3, 2
+    held = lambda d: zlib.crc32(str(d).encode()) % 10 == 0
+    texts = [(d, (t or "").split()) for d, t in rows]
+    counts = Counter(w for d, t in texts if not held(d) for w in t)
+    known = {w: tuple(int(x[0]) for x in lm._HASHER.words([w.encode()])[:2]) for w in {w for _, t in texts for w in t}}  # hash and class
+    ranked = sorted(counts, key=lambda w: (-counts[w], known[w][0]))[:own]
+    symbol = lambda w: ranked.index(w) if w in ranked else own + known[w][1]
+    size = own + lm.CLASSES + 1
+    inside, types = Counter(), Counter()
+    for w, c in counts.items():
+        if w not in ranked:
+            inside[known[w][1]] += c
+            types[known[w][1]] += 1
+    chain = Chain.random(states, size, 3)
+    for _ in range(rounds):
+        sums = [plain_expected(chain, [*map(symbol, t), size - 1]) for d, t in texts if not held(d)]
+        starts, moves, emits = (sum(x) + 0.01 for x in list(zip(*sums))[:3])
+        chain = Chain(starts / starts.sum(), moves / moves.sum(axis=1, keepdims=True), emits / emits.sum(axis=0))
+    want = []
+    for d, t in texts:
+        log = plain_expected(chain, [*map(symbol, t), size - 1])[3] / math.log(10)
+        for w in t:
+            if w not in ranked:
+                c = known[w][1]
+                log += math.log10((counts[w] + 0.1) / (inside[c] + 0.1 * (types[c] + 1)))
+        want.append((d, len(t) + 1, log))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((r.doc_id, r.n_tokens, r.score) for r in score(df, common=common, own=own, states=states, rounds=rounds).collect())
+    assert [g[:2] for g in got] == [w[:2] for w in sorted(want)] and np.allclose([g[2] for g in got], [w[2] for w in sorted(want)], rtol=1e-6)
+
+
 def test_score(spark):
     rng = random.Random(5)
     languages = [[f"{p}{i}" for i in range(150)] for p in ("ba", "ku", "Zö")]
