@@ -80,3 +80,26 @@ def test_no_labels_and_empty(spark):
     lexicon = learn(docs, none)
     assert lexicon.terms == {} and score(docs, lexicon).count() == 2 and score(docs.limit(0), lexicon).count() == 0
     assert docs.select(crc_mod(docs.doc_id, 3)).count() == 2
+
+
+def test_repeated_rows_and_long_texts_in_learning(spark):
+    rows, labels = corpus()
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    want = learn(docs, known)
+    assert want.terms and want.exceptions
+    # copies of a labelled row, of a label, and null labels and ids change nothing
+    more = docs.union(spark.createDataFrame([rows[4]] * 300 + [rows[7]] * 40 + [(None, "grobnik")] * 9, docs.schema))
+    again = known.union(spark.createDataFrame([labels[3]] * 50 + [(None, 1), (8, None)], known.schema))
+    got = learn(more.repartition(6), again)
+    assert got.terms == want.terms and got.exceptions == want.exceptions and abs(got.bias - want.bias) < 1e-9
+    # a term that only very long texts have is learned from them
+    long = [(7000 + i, "fine day " * 20_000 + "vexatrix") for i in range(40)] + [(7100 + i, "fine day " * 20_000) for i in range(40)]
+    got = learn(docs.union(spark.createDataFrame(long, docs.schema)), known.union(spark.createDataFrame([(d, int(d < 7100)) for d, _ in long], known.schema)))
+    assert any(t.startswith(" vexa") for t in got.terms)
+
+
+def test_neighbours_of_a_term():
+    from gleaner.llm.toxicity import _pairer
+
+    folded = fold("a" * 500 + "  idiot   " + "b" * 500 + " the idiot")
+    assert _pairer({" idiot": 1.0})(folded) == {f" {'a' * 500} idiot ", f" idiot {'b' * 500} ", " the idiot "}
