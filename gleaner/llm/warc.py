@@ -6,9 +6,12 @@ bytes themselves says where they end. The converter reads either version's lines
 that a crawler would have written: an identifier made from what identifies the capture, a timestamp in ISO form, the
 type, and SHA-1 digests. Of captures with equal payloads one is the response and the others revisit it.
 
-Archives are written by Spark's text sink: a row is a record but for its last two line ends, which are the sink's
-line separator. So any file system that Spark knows will do, and a task that is run twice leaves one file. They are
-read back as whole files and parsed by declared lengths.
+What a legacy file holds of a page fetched by HTTP starts with the response's own header; that header is kept, and the
+payload is what follows it. Where there is none, one is made.
+
+Archives are sequences of gzip members, one for each record. A task packs records into files by their bytes, and each
+file is one row of Spark's text sink. So any file system that Spark knows will do, and a task that is run twice leaves
+one file. Files are read back a member at a time, and parsed by declared lengths.
 """
 
 from __future__ import annotations
@@ -16,13 +19,16 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import BinaryIO
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import scratch, written
@@ -37,7 +43,7 @@ ARC_NAMES = {
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
 WARC = b"WARC/1.1"
-END = "\r\n\r\n"
+END = b"\r\n\r\n"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the public one for URLs
 
@@ -54,6 +60,7 @@ class Capture:
     mime: str
     payload: bytes
     status: str = "200"
+    head: bytes = b""  # the HTTP response's own header, its blank line included
 
 
 def _plain(value: str, empty: str = "-") -> str:
@@ -65,50 +72,54 @@ def arc_file(captures: list[Capture], version: int = 1, name: str = "legacy.arc"
     """An ARC file of that version."""
     body = f"{version} 0 gleaner\n{ARC_NAMES[version]}\n\n".encode()
     out = [_arc_line(Capture(f"filedesc://{name}", "0.0.0.0", "19960923142103", "text/plain", body), version, 0, name), body]
+    at = sum(map(len, out))
     for c in captures:
-        at = sum(map(len, out))
-        out += [_arc_line(c, version, at, name), c.payload, b"\n"]
+        new = [_arc_line(c, version, at, name), c.head, c.payload, b"\n"]
+        at += sum(map(len, new))
+        out += new
     return b"".join(out)
 
 
 def _arc_line(c: Capture, version: int, offset: int, name: str) -> bytes:
     fields = [_plain(c.url), c.ip, c.date, _plain(c.mime)]
     if version == 2:
-        fields += [c.status, base32_sha1(c.payload), "-", str(offset), name]
-    return (" ".join([*fields, str(len(c.payload))]) + "\n").encode()
+        fields += [c.status, base32_sha1(c.head + c.payload), "-", str(offset), name]
+    return (" ".join([*fields, str(len(c.head) + len(c.payload))]) + "\n").encode()
 
 
-def read_arc(data: bytes) -> Iterator[Capture]:
-    """The captures of an ARC file of either version, by its own version block and the lengths its lines declare."""
-    at, fields = 0, ARC_FIELDS[1]
-    while at < len(data):
-        if data[at : at + 1] in (b"\n", b"\r"):
-            at += 1
+_HTTP = re.compile(rb"HTTP/[0-9.]+ +([0-9]{3})[^\n]*\n(?:[^\r\n][^\n]*\n)*\r?\n")
+
+
+def read_arc(data: bytes | BinaryIO) -> Iterator[Capture]:
+    """The captures of an ARC file of either version, by its own version block and the lengths its lines declare; one is held at a time."""
+    file, fields, first = io.BytesIO(data) if isinstance(data, bytes) else data, ARC_FIELDS[1], True
+    while line := file.readline():
+        if not line.strip(b"\r\n"):
             continue
-        stop = data.index(b"\n", at)
-        values = data[at:stop].decode("utf-8", "replace").split(" ")
-        first = at == 0 or values[0].startswith("filedesc:")
-        if first:  # the version block's own line has the fields of the version it declares
-            n = int(values[-1])
-            version = int(data[stop + 1 : stop + 1 + n].split(b" ", 1)[0])
-            fields = ARC_FIELDS.get(version)
+        values = line.rstrip(b"\r\n").decode("utf-8", "replace").split(" ")
+        if not line.endswith(b"\n") or not values[-1].isdigit():
+            raise ValueError(f"no header line: {values}")
+        n = int(values[-1])
+        body = file.read(n)
+        if len(body) < n:
+            raise ValueError(f"{n} bytes declared, {len(body)} left: {values}")
+        if first or values[0].startswith("filedesc:"):  # the version block's own line has the fields of the version it declares
+            number = body.split(b" ", 1)[0]
+            fields, first = ARC_FIELDS.get(int(number) if number.isdigit() else 0), False
             if fields is None or len(values) != len(fields):
                 raise ValueError(f"not an ARC version block: {values}")
-            at = stop + 1 + n
             continue
         if len(values) != len(fields):
-            raise ValueError(f"{len(fields)} fields expected at {at}: {values}")
-        line = dict(zip(fields, values, strict=True))
-        n = int(line["length"])
-        if stop + 1 + n > len(data):
-            raise ValueError(f"{n} bytes declared at {at}, {len(data) - stop - 1} left")
-        url = "" if line["url"] == "-" else line["url"]
-        yield Capture(url, line["ip"], line["date"], line["mime"], data[stop + 1 : stop + 1 + n], line.get("status", "200"))
-        at = stop + 1 + n
+            raise ValueError(f"{len(fields)} fields expected: {values}")
+        of = dict(zip(fields, values, strict=True))
+        found = _HTTP.match(body)
+        head = found[0] if found else b""
+        status = of.get("status") or (found[1].decode() if found else "200")
+        yield Capture("" if of["url"] == "-" else of["url"], of["ip"], of["date"], of["mime"], body[len(head) :], status, head)
 
 
 def record_id(url: str, date: str, number: object) -> str:
-    """The same capture gets the same identifier, whoever converts it."""
+    """The same capture gets the same identifier, whoever converts it; equal rows are one capture."""
     return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{date} {number} {url}')}>"
 
 
@@ -117,7 +128,7 @@ def warc_record(c: Capture, number: object, refers_to: object = None, refers_url
     revisit = refers_to is not None
     day = f"{c.date[:4]}-{c.date[4:6]}-{c.date[6:8]}T{c.date[8:10]}:{c.date[10:12]}:{c.date[12:14]}Z"
     digest = base32_sha1(c.payload)
-    http = f"HTTP/1.1 {c.status} OK\r\nContent-Type: {c.mime}\r\nContent-Length: {len(c.payload)}\r\n\r\n".encode()
+    http = c.head or f"HTTP/1.1 {c.status} OK\r\nContent-Type: {c.mime}\r\nContent-Length: {len(c.payload)}\r\n\r\n".encode()
     block = http if revisit else http + c.payload
     head = [
         ("WARC-Type", "revisit" if revisit else "response"),
@@ -131,6 +142,7 @@ def warc_record(c: Capture, number: object, refers_to: object = None, refers_url
         ("Content-Length", str(len(block))),
         ("Gleaner-Number", str(number)),
         ("Gleaner-Payload-Length", str(len(c.payload))),
+        ("Gleaner-Head-Length", str(len(http))),
     ]
     if revisit:
         head += [("WARC-Profile", REVISIT), ("WARC-Refers-To", record_id(refers_url, refers_date, refers_to)), ("Gleaner-Refers-To", str(refers_to))]
@@ -149,7 +161,7 @@ def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         head = {k.lower(): v for k, v in head.items()}
         n = int(head["content-length"])
         block = data[stop + 4 : stop + 4 + n]
-        if len(block) != n or data[stop + 4 + n : stop + 8 + n] != END.encode():
+        if len(block) != n or data[stop + 4 + n : stop + 8 + n] != END:
             raise ValueError(f"the record at {at} is cut off")
         if head["warc-block-digest"] != f"sha1:{base32_sha1(block)}":
             raise ValueError(f"the record at {at} is damaged")
@@ -157,78 +169,163 @@ def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = stop + 8 + n
 
 
-def _converted(version_of):
-    """Rows to WARC records, through ARC files: what a row says goes in as its legacy form and comes out converted."""
+#: A gzip member that holds nothing ends each file: the text sink ends a row with a line separator, and this one is of the format.
+EMPTY = gzip.compress(b"", mtime=0)
 
-    def run(batches):
+
+def _members(data: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """What each gzip member of the data holds, one at a time."""
+    at = 0
+    while at < len(data):
+        inflate, out = zlib.decompressobj(31), []
+        while at < len(data) and not inflate.eof:
+            out.append(inflate.decompress(data[at : at + size]))
+            at = min(at + size, len(data))
+        if not inflate.eof:
+            raise ValueError("an archive is cut off")
+        at -= len(inflate.unused_data)
+        yield b"".join(out)
+
+
+def _files(records: Iterator[bytes], file_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Rows of whole files: records, compressed one by one, of about file_bytes together before compression; a larger record is a file of its own."""
+    held, n = [], 0
+    for record in records:
+        if held and n + len(record) > file_bytes:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.large_binary())], ["file"])
+            held, n = [], 0
+        held.append(gzip.compress(record + END, 6, mtime=0))
+        n += len(record)
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.large_binary())], ["file"])
+
+
+def _legacy(rows: list[tuple[dict, Capture]], version: int) -> Iterator[bytes]:
+    """WARC records of captures that go through an ARC file of that version: what a row says goes in in its legacy form and comes out converted."""
+    for (r, _), c in zip(rows, read_arc(arc_file([c for _, c in rows], version)), strict=True):
+        revisit = r["refers_to"] if r["refers_to"] is not None and r["refers_to"] != r["number"] else None
+        yield warc_record(c, r["number"], revisit, r["refers_url"] or "", r["refers_date"] or c.date)
+
+
+def _converted(file_bytes: int):
+    def captures(batches) -> Iterator[tuple[dict, Capture]]:
         for batch in batches:
-            records = []
-            for r in batch.to_pylist():
-                payload = r["payload"] or b""
-                version = version_of(r["number"])
-                given = Capture(r["url"] or "", "0.0.0.0", r["date"], "text/html", payload)
-                (c,) = read_arc(arc_file([given], version))
-                revisit = r["refers_to"] if r["refers_to"] is not None and r["refers_to"] != r["number"] else None
-                records.append(warc_record(c, r["number"], revisit, r["refers_url"] or "", r["date"]))
-            yield pa.RecordBatch.from_arrays([pa.array(records, pa.binary())], ["record"])
+            columns = {c: batch.column(c) for c in batch.schema.names}
+            for i in range(batch.num_rows):  # a row at a time, as a batch of large payloads is held once already
+                r = {c: x[i].as_py() for c, x in columns.items()}
+                yield r, Capture(r["url"] or "", r["ip"], r["date"], r["mime"], r["payload"] or b"", r["status"], r["head"] or b"")
 
-    return run
+    def records(batches) -> Iterator[bytes]:
+        held, n, version = [], 0, 1
+        for r, c in captures(batches):
+            held.append((r, c))
+            n += len(c.payload)
+            if n >= file_bytes // 4 or len(held) == 1000:
+                yield from _legacy(held, version)
+                held, n, version = [], 0, 3 - version
+        if held:
+            yield from _legacy(held, version)
 
+    return lambda batches: _files(records(batches), file_bytes)
 
-def convert(pages: DataFrame, path: str, least: int = 0, file_bytes: int = 16 << 20, date: str = "20240101000000") -> None:
-    """Write a gzipped WARC record for each row of pages (page_id, url, html) below path, in files of about file_bytes before compression.
 
-    The payload is html in UTF-8 (null: empty). Of rows with equal payloads of least bytes or more the one with the
-    largest page_id is a response, the others revisit it; smaller ones are responses. Texts meet the winners of
-    their digest in an equi-join of two written tables, which adaptive execution splits where a payload is very common.
+CAPTURES = "number string, url string, ip string, date string, mime string, status string, head binary, payload binary"
+
+
+def _write(captures: DataFrame, path: str, least: int, file_bytes: int) -> None:
+    """Captures as WARC files. Of equal payloads of least bytes or more those with the largest number are responses, and the others revisit one of them.
+
+    Payloads meet the winners of their digest in an equi-join with a written table, which adaptive execution splits
+    where a payload is very common.
     """
-    html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
-    rows = pages.select(F.col("page_id").cast("long").alias("number"), F.col("url").cast("string").alias("url"), html.alias("payload"))
     size = F.octet_length("payload")
     digest = F.when(size >= least, F.sha1("payload"))
-    winners = rows.select(digest.alias("digest"), size.alias("n"), "number", "url").where("digest is not null").groupBy("digest", "n")
-    winners = winners.agg(F.count(F.lit(1)).alias("copies"), F.max(F.struct("number", "url")).alias("w")).where("copies > 1")
-    winners = written(winners.select("digest", "n", F.col("w.number").alias("refers_to"), F.col("w.url").alias("refers_url")), "winners")
-    both = rows.withColumn("digest", digest).withColumn("n", size).join(winners, ["digest", "n"], "left")
-    both = both.select("number", "url", "payload", "refers_to", "refers_url", F.lit(date).alias("date"))
-    records = both.mapInArrow(_converted(lambda n: 1 + (n or 0) % 2), "record binary")
-    mean = rows.agg(F.avg(size)).first()[0] or 0
+    winners = captures.select(digest.alias("digest"), size.alias("n"), "number", "url", "date").where("digest is not null").groupBy("digest", "n")
+    winners = winners.agg(F.count(F.lit(1)).alias("copies"), F.max(F.struct("number", "url", "date")).alias("w")).where("copies > 1")
+    winners = written(winners.select("digest", "n", F.col("w.number").alias("refers_to"), F.col("w.url").alias("refers_url"), F.col("w.date").alias("refers_date")), "winners")
+    both = captures.withColumn("digest", digest).withColumn("n", size).join(winners, ["digest", "n"], "left").drop("digest", "n")
+    files = both.mapInArrow(_converted(file_bytes), "file binary")
     # cast to a string keeps the bytes, and the sink writes them as they are
-    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", END).option("compression", "gzip").option(
-        "maxRecordsPerFile", max(1, int(file_bytes / (mean + 1000)))
+    files.select(F.col("file").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY.decode("latin-1")).option(
+        "maxRecordsPerFile", 1
     ).text(path)
 
 
-READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, record_id string"
+def convert(pages: DataFrame, path: str, least: int = 0, file_bytes: int = 16 << 20, date: str = "20240101000000") -> None:
+    """Write a WARC record for each row of pages (page_id, url, html) below path, in files of about file_bytes before compression.
+
+    The payload is html in UTF-8 (null: empty), behind the header of an HTTP response. Of rows with equal payloads of
+    least bytes or more the one with the largest page_id is a response, the others revisit it; smaller ones are
+    responses. Rows that share the largest page_id are all responses.
+    """
+    html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
+    head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(html).cast("string"), F.lit("\r\n\r\n"))
+    _write(pages.select(
+        F.col("page_id").cast("long").alias("number"), F.col("url").cast("string").alias("url"), F.lit("0.0.0.0").alias("ip"), F.lit(date).alias("date"),
+        F.lit("text/html").alias("mime"), F.lit("200").alias("status"), head.cast("binary").alias("head"), html.alias("payload"),
+    ), path, least, file_bytes)
+
+
+def read_arcs(spark: SparkSession, path: str) -> DataFrame:
+    """The captures of the ARC files at or below path (.arc, or .arc.gz of one or more members): a row for each, numbered by file and place.
+
+    A file is read by one task, a capture at a time; files of over 2 GB, twenty times what crawlers wrote, are refused by the reader of whole files.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for name, data in zip(batch.column("path"), batch.column("content"), strict=True):
+                data, name = data.as_py(), name.as_py().rsplit("/", 1)[-1]
+                file = gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
+                for i, c in enumerate(read_arc(file)):
+                    row = (f"{name}#{i:010d}", c.url, c.ip, c.date, c.mime, c.status, c.head, c.payload)
+                    yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], [x.split()[0] for x in CAPTURES.split(", ")])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{arc,arc.gz}").load(path)
+    return files.select("path", "content").mapInArrow(run, CAPTURES)
+
+
+def convert_arcs(spark: SparkSession, path: str, out: str, least: int = 0, file_bytes: int = 16 << 20) -> None:
+    """Convert the ARC files at or below path to WARC files below out; captures with equal payloads revisit the one that is last by file and place."""
+    _write(read_arcs(spark, path), out, least, file_bytes)
+
 
+READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, record_id string, name string, date string"
+
+
+def read_back(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each record of the archives below path: page_id, payload_bytes, payload_digest, record_type, refers_to, url, record_id, name, date.
+
+    name is what the record was numbered by, and page_id and refers_to are such numbers, null where they are none.
+    """
 
-def read_back(spark, path: str) -> DataFrame:
-    """A row for each record of the archives below path: page_id, payload_bytes, payload_digest, record_type, refers_to, url, record_id."""
+    def row(head: dict[str, str], block: bytes) -> tuple:
+        payload = block[int(head["gleaner-head-length"]) :]
+        number = lambda x: int(x) if x is not None and re.fullmatch(r"-?[0-9]+", x) else None
+        n, digest = int(head["gleaner-payload-length"]), head["warc-payload-digest"].removeprefix("sha1:")
+        if head["warc-type"] == "response" and (len(payload) != n or base32_sha1(payload) != digest):
+            raise ValueError(f"the payload of {head['warc-record-id']} is damaged")
+        name = head["gleaner-number"]
+        return (number(name), n, digest, head["warc-type"], number(head.get("gleaner-refers-to")), head["warc-target-uri"], head["warc-record-id"], name, head["warc-date"])
 
     def run(batches):
+        names, kinds = zip(*(x.split() for x in READ.split(", ")), strict=True)
         for batch in batches:
             for data in batch.column("content"):
-                out = []
-                for head, block in read_warc(gzip.decompress(data.as_py())):
-                    payload = block.split(b"\r\n\r\n", 1)[1]
-                    number = lambda x: None if x in (None, "None") else int(x)
-                    n, digest = int(head["gleaner-payload-length"]), head["warc-payload-digest"].removeprefix("sha1:")
-                    if head["warc-type"] == "response" and (len(payload) != n or base32_sha1(payload) != digest):
-                        raise ValueError(f"the payload of {head['warc-record-id']} is damaged")
-                    out.append((number(head["gleaner-number"]), n, digest, head["warc-type"], number(head.get("gleaner-refers-to")), head["warc-target-uri"], head["warc-record-id"]))
+                out = [row(head, block) for member in _members(data.as_py()) for head, block in read_warc(member)]
                 if out:
-                    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in READ.split(", ")])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k == "long" else pa.string()) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], list(names))
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     return files.select("content").mapInArrow(run, READ)
 
 
 def archive(pages: DataFrame, least: int = 0, path: str | None = None) -> DataFrame:
     """Convert pages (page_id, url, html) to WARC files, in the shared folder unless a path is given, and read them back.
 
-    A null html is an empty payload; a null url an empty address; rows with one page_id are separate captures; a
-    null page_id never wins while a copy has one; other columns are ignored; an empty table gives no rows.
+    A null html is an empty payload; a null url an empty address; rows with one page_id are separate captures, and those
+    that share the largest of equal payloads are all responses; a null page_id never wins while a copy has one; a page
+    larger than a file is a file of its own; other columns are ignored; an empty table gives no rows.
     """
     path = path or scratch(pages.sparkSession, "warc")
     convert(pages, path, least)

@@ -1,10 +1,12 @@
 import hashlib
 import base64
+import gzip
 import random
+import zlib
 
 import pytest
 
-from gleaner.llm.warc import Capture, arc_file, archive, read_arc, read_warc, warc_record
+from gleaner.llm.warc import EMPTY, Capture, arc_file, archive, base32_sha1, convert_arcs, read_arc, read_back, read_warc, warc_record
 
 
 @pytest.mark.parametrize("version", [1, 2])
@@ -51,3 +53,72 @@ def test_archive(spark):
         got = [tuple(r)[:5] for r in archive(df, least).collect()]
         assert sorted(got, key=str) == sorted(want, key=str)
     assert archive(df.limit(0)).count() == 0
+
+
+OLD = b"""filedesc://old-crawl.arc 0.0.0.0 20000103110000 text/plain 72
+1 0 OldCrawler
+URL IP-address Archive-date Content-type Archive-length
+
+http://a.example/ 192.0.2.1 20000103110102 text/html 69
+HTTP/1.0 200 OK\r
+Server: old\r
+Content-Type: text/html\r
+\r
+<h1>one</h1>
+
+http://a.example/gone 192.0.2.1 20000103110103 text/html 44
+HTTP/1.0 404 Not Found\nServer: old\n\nnothing\n
+dns:a.example 192.0.2.9 20000103110104 text/dns 20
+a.example. A 192.0.2
+"""
+# a header of version 2 with the fields that version adds
+NEW = (
+    b"filedesc://new.arc 0.0.0.0 20020103110000 text/plain 200 - - 0 new.arc 117\n"
+    b"2 0 NewCrawler\nURL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length\n"
+    b"http://b.example/ 192.0.2.2 20020103110102 text/html 200 - - 200 new.arc 50\nHTTP/1.1 200 OK\r\nTransfer: x\r\n\r\n<h1>one</h1>\r\n\r\n\r\n\n"
+    b"http://b.example/plain 192.0.2.2 20020103110105 text/plain 200 - - 300 new.arc 12\n<h1>one</h1>\n"
+)
+
+
+def test_legacy_files_with_http_headers():
+    old = list(read_arc(OLD))
+    assert [(c.url, c.status, c.payload) for c in old] == [
+        ("http://a.example/", "200", b"<h1>one</h1>"), ("http://a.example/gone", "404", b"nothing\n"), ("dns:a.example", "200", b"a.example. A 192.0.2"),
+    ]
+    assert old[0].head.endswith(b"text/html\r\n\r\n") and old[1].head == b"HTTP/1.0 404 Not Found\nServer: old\n\n" and old[2].head == b""
+    new = list(read_arc(NEW))
+    assert [(c.url, c.status, c.payload) for c in new] == [("http://b.example/", "200", b"<h1>one</h1>\r\n\r\n\r\n"), ("http://b.example/plain", "200", b"<h1>one</h1>")]
+    ((h, block),) = read_warc(warc_record(old[0], 1) + b"\r\n\r\n")
+    assert block == old[0].head + b"<h1>one</h1>" and block.count(b"HTTP/") == 1
+    assert h["warc-payload-digest"] == f"sha1:{base32_sha1(b'<h1>one</h1>')}" and h["warc-block-digest"] == f"sha1:{base32_sha1(block)}"
+
+
+def test_convert_files_by_path(spark, tmp_path):
+    head = b"HTTP/1.1 200 OK\r\nServer: s\r\n\r\n"
+    one = [Capture(f"http://a/{i}", "192.0.2.1", f"2001010101010{i}", "text/html", b"<p>same</p>" if i < 3 else b"<p>%d</p>" % i, "200", head) for i in range(6)]
+    two = [Capture(f"http://b/{i}", "192.0.2.2", f"2002010101010{i}", "text/html", [b"<p>same</p>", b"", b"big" * 90_000][i], "200", b"" if i else head) for i in range(3)]
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    (tmp_path / "in" / "a.arc").write_bytes(arc_file(one, 1, "a.arc"))
+    data = arc_file(two, 2, "b.arc")
+    (tmp_path / "in" / "deep" / "b.arc.gz").write_bytes(gzip.compress(data[:100]) + gzip.compress(data[100:]))
+    (tmp_path / "in" / "notes.txt").write_text("no archive")
+    convert_arcs(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out", file_bytes=3000)
+    got = {r.url: r for r in read_back(spark, f"file://{tmp_path}/out").collect()}
+    assert set(got) == {c.url for c in one + two}
+    for c in one + two:
+        assert got[c.url].payload_bytes == len(c.payload) and got[c.url].payload_digest == base32_sha1(c.payload)
+        assert got[c.url].record_type == ("revisit" if c.payload == b"<p>same</p>" and c.url != "http://b/0" else "response")
+    files = sorted((tmp_path / "out").glob("part-*"))
+    assert len(files) > 2
+    for f in files:  # one gzip member for each record, and an empty one at the end
+        data, n = f.read_bytes(), 0
+        assert data.endswith(EMPTY)
+        while data:
+            d = zlib.decompressobj(31)
+            found = list(read_warc(d.decompress(data)))
+            assert d.eof and len(found) == (1 if d.unused_data else 0)
+            data = d.unused_data
+            n += len(found)
+        assert n
+    again = list(read_warc(b"".join(gzip.decompress(f.read_bytes()) for f in files)))
+    assert len(again) == 9 and all(b.count(b"HTTP/1.1") == 1 for _, b in again)
