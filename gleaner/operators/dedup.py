@@ -60,7 +60,7 @@ def similarity(a: Column, b: Column, grams_a: Column, grams_b: Column) -> Column
     return F.when(F.size(score) > 0, F.aggregate(score, F.lit(0.0), lambda s, x: s + x) / F.size(score)).otherwise(F.lit(0.0))
 
 
-def _edges(reps: DataFrame, threshold: float) -> DataFrame:
+def similar(reps: DataFrame, threshold: float) -> DataFrame:
     """a, b, score: pairs of rows with _pos a before b whose similarity reaches the threshold."""
     cells = reps.select("_pos", F.posexplode("grams").alias("c", "g")).where(F.size("g") > 0)
     grams = cells.select("_pos", "c", F.size("g").alias("size"), F.explode("g").alias("gram"))
@@ -109,7 +109,7 @@ def analyze(d: Dataset, keys: list[str] | None = None, threshold: float = BALANC
     rows = rows.join(rep_of, "key", "left").select("_id", "_pos", "n", F.coalesce("rep", "_pos").alias("rep"))
     grams = F.transform("n", lambda x: F.when(tx.is_blank(x), F.array().cast("array<string>")).otherwise(sc.trigrams(x)))
     reps = written(rows.where("_pos = rep").select("_pos", "_id", "n", grams.alias("grams")), "reps")
-    edges = written(_edges(reps, threshold), "edges")
+    edges = written(similar(reps, threshold), "edges")
     kept = written(_kept(reps, edges), "kept").withColumn("kept", F.lit(True))
     links = edges.select(F.col("a").alias("rep"), F.col("b").alias("to"), "score").unionByName(edges.select(F.col("b").alias("rep"), F.col("a").alias("to"), "score"))
     links = links.join(kept.select(F.col("_pos").alias("to")), "to", "left_semi")

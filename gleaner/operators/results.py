@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,6 +69,51 @@ def by_meaning(results: DataFrame, vector: list[float] | None, column: str = "em
     return results.withColumn("_score", score).orderBy(F.desc("_score"), "_pos").drop("_score")
 
 
+def nearest(rows: DataFrame, queries: DataFrame, id: str, column: str, k: int, block: int = 1024) -> DataFrame:
+    """The k rows nearest by cosine to each query, of all rows: query_id, the row's id, score, rank; the smaller id first among equals.
+
+    Queries and rows have a whole-number id and a vector. Both are packed into blocks of about ``block``, and every block of queries
+    meets every block of rows as a matrix product that keeps k a query; these are ranked in two steps, so no task
+    ranks all rows. Vectors that are null, zero or of another length than the query's have score 0.
+    """
+
+    def packed(df: DataFrame, name: str) -> DataFrame:
+        n = max(1, -(-df.count() // block))
+        return df.groupBy(F.pmod(F.xxhash64(id), F.lit(n)).alias(f"{name}_block")).agg(F.collect_list(F.struct(F.col(id).cast("long").alias("i"), F.col(column).cast("array<double>").alias("v"))).alias(name))
+
+    def unit(found: list) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
+        """All ids, and by length the places and unit vectors of those that have any."""
+        by: dict[int, list[int]] = {}
+        for at, x in enumerate(found):
+            by.setdefault(len(x["v"] or ()), []).append(at)
+        out = {}
+        for dim, places in by.items():
+            if dim:
+                v = np.array([found[at]["v"] for at in places], np.float64)
+                n = np.linalg.norm(v, axis=1, keepdims=True)
+                out[dim] = np.array(places), np.divide(v, n, out=np.zeros_like(v), where=n > 0)
+        return np.array([x["i"] for x in found], np.int64), out
+
+    def run(batches):
+        for batch in batches:
+            for a, b, at in zip(batch.column("q"), batch.column("r"), batch.column("r_block"), strict=True):
+                (qi, qs), (ri, rs) = unit(a.as_py()), unit(b.as_py())
+                cos = np.zeros((len(qi), len(ri)))
+                for dim in set(qs) & set(rs):
+                    cos[np.ix_(qs[dim][0], rs[dim][0])] = np.round(qs[dim][1] @ rs[dim][1].T, 12)
+                order = np.lexsort((np.broadcast_to(ri, cos.shape), -cos), axis=1)[:, :k]
+                n = order.shape[1]
+                columns = [np.repeat(qi, n), ri[order].ravel(), np.take_along_axis(cos, order, 1).ravel(), np.full(len(qi) * n, at.as_py())]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", id, "score", "part"])
+
+    both = packed(queries, "q").crossJoin(packed(rows, "r"))  # of blocks: a stated set of queries against all rows
+    found = both.repartition("q_block", "r_block").mapInArrow(run, f"query_id long, `{id}` long, score double, part long")
+    for by in (["query_id", F.pmod("part", F.lit(64))], ["query_id"]):
+        place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), id))
+        found = found.withColumn("rank", place).where(F.col("rank") <= k)
+    return found.select("query_id", id, "score", "rank")
+
+
 def scores(results: DataFrame, query: str, vector: list[float] | None = None, column: str = "embedding") -> DataFrame:
     """Results with score: cosine moved to 0 to 1, or shared tokens where there is no vector."""
     if vector:

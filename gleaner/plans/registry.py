@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import coerce as co
 from gleaner.functions import scalar as sc
 from gleaner.functions import text as tx
+from gleaner.functions.storage import written
 from gleaner.operators import dedup, export, results
 from gleaner.operators import transform as tr
 from gleaner.operators.dataset import Dataset, Field, infer_fields
@@ -36,10 +37,14 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from gleaner.plans import catalog  # noqa: F401  which registers its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from gleaner.plans import catalog  # noqa: F401
+
     return dict(_SQL)
 
 
@@ -315,14 +320,6 @@ def q_dedup_summary(spark, sf_dir):
     return dedup.summary(dedup.analyze(d, ["c_mktsegment", "c_nationkey"], 1.0))
 
 
-@query()
-def q_dedup_likely(spark, sf_dir):
-    """Pages whose titles are nearly the same; held against the sequential rule in tests."""
-    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", r"<title>([^<]*)</title>", 1).alias("title"))
-    d = Dataset.of("pages", "pages", pages, "page_id", [Field("title")])
-    return dedup.analyze(d, ["title"], dedup.BALANCED).select(F.col("_pos").alias("page_id"), "verdict", "duplicate_of", F.round("score", 6).alias("score"))
-
-
 _GRAMS = "list_distinct(list_transform(range(1, length({0}) + 2), lambda i: substr('  ' || {0} || ' ', i, 3)))"
 
 
@@ -330,15 +327,13 @@ _GRAMS = "list_distinct(list_transform(range(1, length({0}) + 2), lambda i: subs
     select a.name as a, b.name as b, round(len(list_intersect(a.grams, b.grams)) / (len(a.grams) + len(b.grams) - len(list_intersect(a.grams, b.grams))), 6) as score
     from g a join g b on a.name < b.name where len(list_intersect(a.grams, b.grams)) / (len(a.grams) + len(b.grams) - len(list_intersect(a.grams, b.grams))) >= 0.4""")
 def q_trigram_pairs(spark, sf_dir):
-    """Distinct names that share a trigram, by overlap: an equi-join on trigrams, no cross join."""
+    """Distinct names by overlap of their trigrams: candidates share one of their rarest."""
     names = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
-    grams = names.withColumn("grams", sc.trigrams("name"))
-    one = grams.select("name", F.explode("grams").alias("gram"))
-    shared = one.alias("a").join(one.alias("b"), "gram").where("a.name < b.name").groupBy(F.col("a.name").alias("a"), F.col("b.name").alias("b")).agg(F.count(F.lit(1)).alias("both"))
-    size = grams.select("name", F.size("grams").alias("n"))
-    pairs = shared.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
-    score = F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
-    return pairs.where(score >= 0.4).select("a", "b", F.round(score, 6).alias("score"))
+    reps = written(names.select(F.monotonically_increasing_id().alias("_pos"), F.array("name").alias("n"), F.array(sc.trigrams("name")).alias("grams")), "names")
+    pairs = dedup.similar(reps, 0.4)
+    side = lambda x: reps.select(F.col("_pos").alias(x), F.col("n")[0].alias(f"n_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.select(F.least("n_a", "n_b").alias("a"), F.greatest("n_a", "n_b").alias("b"), F.round("score", 6).alias("score"))
 
 
 _TOKENS = (
@@ -595,27 +590,6 @@ def q_export_sql(spark, sf_dir):
 # -- stored tables ------------------------------------------------------------------------
 
 
-@query("""select o_custkey as id, count(*) as records, max(o_orderdate) as updated_at from orders group by o_custkey order by updated_at desc, id limit 30""")
-def q_summaries_newest(spark, sf_dir):
-    """Orders as records of datasets, one for each customer: counts beside the newest, from no payload column."""
-    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count(F.lit(1)).alias("records"), F.max("o_orderdate").alias("updated_at"))
-    return o.orderBy(F.desc("updated_at"), "id").limit(30)
-
-
-@query("""select count(*) as total, 500 + 50 < count(*) as has_more, case when 500 + 50 < count(*) then 550 end as next_offset from orders""")
-def q_page_summary(spark, sf_dir):
-    offset, limit = 500, 50
-    n = F.count(F.lit(1))
-    return table(spark, sf_dir, "orders").agg(n.alias("total"), (F.lit(offset + limit) < n).alias("has_more"), F.when(F.lit(offset + limit) < n, F.lit(offset + limit)).alias("next_offset"))
-
-
-@query("""select event_id, event_type from events where event_type in ('view', 'click', 'error') and value < 10""")
-def q_status_interrupted(spark, sf_dir):
-    """Runs whose state is one of the active ones and which have no end: events stand for runs."""
-    runs = table(spark, sf_dir, "events").withColumn("finished_at", F.when(F.col("value") >= 10, F.col("ts")))
-    return runs.where(F.col("event_type").isin("view", "click", "error") & F.col("finished_at").isNull()).select("event_id", "event_type")
-
-
 @query("""select cast(c_custkey as varchar) as c_custkey from customer where c_custkey % 3 <> 0""")
 def q_delete_records(spark, sf_dir):
     d = _dataset(spark, sf_dir, "customer", "c_custkey", only=["c_custkey"])
