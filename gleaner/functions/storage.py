@@ -5,6 +5,8 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,9 +25,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where none is set, as in tests."""
+    """spark.checkpoint.dir; where none is set, a temporary folder if driver and executors are one process, as in tests, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not (spark.sparkContext.master or "").startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="gleaner-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -48,15 +52,36 @@ def scratch_table(spark: SparkSession, name: str) -> tuple[str, str]:
     return _TABLES[-1], path
 
 
-def sweep(spark: SparkSession) -> int:
-    """Remove all tables this process has written to the shared folder, once no DataFrame needs them; how many there were."""
-    n = len(_PATHS)
-    while _TABLES:
-        spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop()}")
-    while _PATHS:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_PATHS.pop())
+def sweep(spark: SparkSession, paths: list[str] | None = None) -> int:
+    """Remove those tables, or all this process has written to the shared folder, once no DataFrame needs them; how many there were."""
+    gone = list(_PATHS) if paths is None else [p for p in paths if p in set(_PATHS)]
+    ends = {p.rsplit("-", 1)[1] for p in gone}
+    for name in [t for t in _TABLES if t.rsplit("_", 1)[1] in ends]:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        _TABLES.remove(name)
+    for p in gone:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    return n
+        _PATHS.remove(p)
+    return len(gone)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables written inside are removed at the end, but for those that the body puts on the list: what its result still reads."""
+    before, keep = set(_PATHS), []
+    yield keep
+    sweep(spark, [p for p in _PATHS if p not in before and p not in keep])
+
+
+def scratch_paths() -> list[str]:
+    """What this process has written and not removed."""
+    return list(_PATHS)
+
+
+def newest() -> str:
+    """The path of the table written last."""
+    return _PATHS[-1]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
