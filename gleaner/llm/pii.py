@@ -14,7 +14,9 @@ from __future__ import annotations
 import bisect
 import datetime
 import hashlib
+import ipaddress
 import re
+import warnings
 from functools import lru_cache
 
 import pyarrow as pa
@@ -27,12 +29,17 @@ BLOCK = 2048
 #: For tests and examples only; pass a secret of your own.
 EXAMPLE_KEY = b"gleaner example key"
 KEY_SETTING = "spark.gleaner.pii.key"
-KINDS = ("email", "card", "account", "phone", "ip", "secret", "date", "national_id")
+KINDS = ("email", "card", "account", "phone", "ip", "secret", "date", "national_id", "iban")
+# English names of months.
+MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
 
 
 def session_key(spark: SparkSession) -> bytes:
-    """The key that the session sets, at most 64 bytes of UTF-8; else the example key."""
-    return (spark.conf.get(KEY_SETTING, None) or EXAMPLE_KEY.decode()).encode()[:64]
+    """The key that the session sets, at most 64 bytes of UTF-8; else the example key, with a warning, as anyone can undo that."""
+    given = spark.conf.get(KEY_SETTING, None)
+    if not given:
+        warnings.warn(f"{KEY_SETTING} is not set: pseudonyms are made with the published example key", stacklevel=2)
+    return (given or EXAMPLE_KEY.decode()).encode()[:64]
 
 
 def _round(key: bytes, tweak: bytes, i: int, value: int, modulus: int) -> int:
@@ -134,6 +141,59 @@ def _date(m: re.Match, key: bytes, back: bool) -> str | None:
     return mark.join(parts[c] for c in order)
 
 
+def _named_date(m: re.Match, key: bytes, back: bool) -> str | None:
+    """A date with its month in words: the name stays whole or short, a day of one digit stays such; days of two digits may begin with a zero."""
+    short = len(m["month"]) == 3 and m["month"] != "May"  # May is both, so it stands for the whole names
+    try:
+        month = next(i for i, name in enumerate(MONTHS, 1) if m["month"] in (name, name[:3]))
+        day = datetime.date(int(m["year"]), month, int(m["day"])).toordinal()
+    except ValueError:
+        return None
+    if not FIRST_DAY <= day <= LAST_DAY:
+        return None
+    one, x = len(m["day"]) == 1, day - FIRST_DAY
+    while True:
+        x = permute_range(x, LAST_DAY - FIRST_DAY + 1, key, "date", back)
+        new = datetime.date.fromordinal(FIRST_DAY + x)
+        if (not one or new.day < 10) and not (short and new.month == 5):
+            break
+    name = MONTHS[new.month - 1]
+    parts = {"day": str(new.day) if one else f"{new.day:02}", "month": name[:3] if short else name, "year": f"{new.year:04}"}
+    at, out = m.start(), []
+    for g in sorted(parts, key=m.start):
+        out += [m.string[at : m.start(g)], parts[g]]
+        at = m.end(g)
+    return "".join([*out, m.string[at : m.end()]])
+
+
+def _ip6(m: re.Match, key: bytes, back: bool) -> str | None:
+    """Hexadecimal digits among such digits; colons stay, so it is still an address. Those of fewer than eight digits name no host."""
+    try:
+        ipaddress.IPv6Address(m[0])
+    except ValueError:
+        return None
+    if len(m[0].replace(":", "")) < 8:
+        return None
+    new = iter(permute_digits(m[0].replace(":", "").lower(), 16, key, "ip6", back))
+    return "".join(c if c == ":" else next(new) for c in m[0])
+
+
+def _iban(found: str, key: bytes, back: bool) -> str | None:
+    """The number that found begins with, replaced: country and layout stay, the account is permuted, and the check digits are those that belong to it."""
+    number = lambda t: int("".join(str(int(c, 36)) for c in t))
+    while True:
+        plain = found.replace(" ", "")
+        if not 15 <= len(plain) <= 34:
+            return None
+        if 2 <= int(plain[2:4]) <= 98 and number(plain[4:] + plain[:4]) % 97 == 1:
+            break
+        found = found.rpartition(" ")[0]  # words in capitals may follow
+    account = _letters(plain[4:], key, f"iban/{plain[:2]}", back)
+    account = account.upper()
+    new = iter(f"{plain[:2]}{98 - number(account + plain[:2] + '00') % 97:02}{account}")
+    return "".join(c if c == " " else next(new) for c in found)
+
+
 def _ip(m: re.Match, key: bytes, back: bool) -> str | None:
     parts = [int(x) for x in m[0].split(".")]
     if max(parts) > 255:
@@ -157,7 +217,8 @@ def _number(m: re.Match, key: bytes, back: bool) -> tuple[str, str]:
         return "account", _filled(form, new + str((luhn(new) + wrong) % 10))
     plus = form.startswith("+")
     if plus or not form.isdigit():
-        return "phone", _filled(form, digits[:-10] + permute_digits(digits[-10:], 10, key, "phone", back))
+        stay = max(0, min(3, len(digits) - 10))  # what may be a country's code
+        return "phone", _filled(form, digits[:stay] + permute_digits(digits[stay:], 10, key, "phone", back))
     return "account", _filled(form, permute_digits(digits, 10, key, "account", back))
 
 
@@ -187,6 +248,11 @@ _NAMED = re.compile(r"""(?i)\b(token|secret|password|passwd|api[_-]?key|access[_
 _KEYED = re.compile(r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk[-_](?:live_|test_)?[0-9A-Za-z]{20,})(?![0-9A-Za-z])")
 _IP = re.compile(r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d.]*\d)")
 _DATE = re.compile(r"(?<![\d/.-])(?:(?P<ymd>\d{4}([-/.])\d{2}\2\d{2})|\d{2}([-/.])\d{2}\3\d{4})(?![\d/-]|\.\d)")
+_MONTH = "|".join((*MONTHS, *(x[:3] for x in MONTHS)))
+_DAY_FIRST = re.compile(rf"(?<![\w/.-])(?P<day>[0-9]{{1,2}}) (?P<month>{_MONTH}),? (?P<year>[0-9]{{4}})(?![\w/-])")
+_MONTH_FIRST = re.compile(rf"(?<!\w)(?P<month>{_MONTH}) (?P<day>[0-9]{{1,2}}),? (?P<year>[0-9]{{4}})(?![\w/-])")
+_IBAN = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]){11,30}(?![0-9A-Za-z])")
+_IP6 = re.compile(r"(?<![0-9A-Za-z:.])[0-9a-f]{0,4}(?::[0-9a-f]{0,4}){2,7}(?![0-9A-Za-z:])")
 _DIGIT = re.compile(r"[0-9]")
 _DIGITS = re.compile(
     r"(?<![\w.])(?:"
@@ -229,10 +295,18 @@ def pseudonyms(text: str, key: bytes = EXAMPLE_KEY, back: bool = False) -> tuple
     if _DIGIT.search(text):
         for m in _HEX.finditer(text):
             take("secret", *m.span(), _secret(m[0], key, back))
+        for m in _IBAN.finditer(text):
+            new = _iban(m[0], key, back)
+            take("iban", m.start(), m.start() + len(new or ""), new)
+        for m in _IP6.finditer(text) if ":" in text else ():
+            take("ip", *m.span(), _ip6(m, key, back))
         for m in _IP.finditer(text):
             take("ip", *m.span(), _ip(m, key, back))
         for m in _DATE.finditer(text):
             take("date", *m.span(), _date(m, key, back))
+        for pattern in (_DAY_FIRST, _MONTH_FIRST):
+            for m in pattern.finditer(text):
+                take("date", *m.span(), _named_date(m, key, back))
         for m in _DIGITS.finditer(text):
             kind, new = _number(m, key, back)
             take(kind, *m.span(), new)
