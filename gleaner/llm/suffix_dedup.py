@@ -13,8 +13,9 @@ most-significant-digit passes, and a pass deals out only what the pass before le
   repeated and are done; one representative of each distinct envelope goes on.
 * The last pass has intervals of one window: its core is the window itself.
 
-Digits are dealt as hashes. The last comparison of any two windows is by 128 bits over their bytes, their length
-and their offset; a 64-bit hash is only ever used to drop what is unique.
+Digits are dealt as hashes, and are not the leading bytes that a textbook's sort deals: a row for each suffix would be
+sixteen times the text for the first digit alone. The comparison that decides is by a 128-bit XXH3 of the bytes
+themselves, with their length and offset; 64-bit polynomials of prefix sums only ever drop what is unique.
 
 Skew: group sizes are counted with map-side partial aggregates, and members meet their group's count in a plain
 equi-join of two written tables, which adaptive execution splits; no task gathers a group. Texts are shuffled once, into a bucketed table
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +40,7 @@ ANCHOR = 32
 #: Bytes of text hashed at once; a longer document is hashed alone.
 BATCH = 1 << 20
 _SEED = 0x5EED
-_B1, _B2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F  # odd, so they have inverses modulo 2**64
+_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _U = np.uint64
 
 
@@ -51,11 +53,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class _Powers:
-    """Powers of the hash bases and their inverses, grown as longer buffers come."""
+    """Powers of the hash base and its inverse, grown as longer buffers come."""
 
     def __init__(self) -> None:
-        rng = np.random.default_rng(_SEED)
-        self.table = [rng.integers(1, 2**63, 256, dtype=np.uint64) | _U(1) for _ in range(2)]
+        self.table = np.random.default_rng(_SEED).integers(1, 2**63, 256, dtype=np.uint64) | _U(1)
         self.n = 0
 
     def upto(self, n: int) -> None:
@@ -68,8 +69,7 @@ class _Powers:
             a[0] = 1
             return np.multiply.accumulate(a)
 
-        self.up = [powers(b) for b in (_B1, _B2)]
-        self.down = [powers(pow(b, -1, 1 << 64)) for b in (_B1, _B2)]
+        self.up, self.down = powers(_BASE), powers(pow(_BASE, -1, 1 << 64))
 
 
 _POWERS = _Powers()
@@ -82,22 +82,21 @@ class Buffer:
         self.lens = np.array([len(t) for t in texts], np.int64)
         self.ends = np.cumsum(self.lens)
         self.base = self.ends - self.lens
-        self.bytes = np.frombuffer(b"".join(texts), np.uint8)
+        self.raw = b"".join(texts)
+        self.bytes = np.frombuffer(self.raw, np.uint8)
         self.n = len(self.bytes)
         _POWERS.upto(self.n)
-        self.known: dict[int, np.ndarray] = {}
+        self.prefix = np.zeros(self.n + 1, np.uint64)
+        np.cumsum(_POWERS.table[self.bytes] * _POWERS.up[: self.n], out=self.prefix[1:])
 
-    def prefix(self, which: int) -> np.ndarray:
-        """Prefix hashes in one of the two bases, made when first asked for."""
-        if which not in self.known:
-            p = np.zeros(self.n + 1, np.uint64)
-            np.cumsum(_POWERS.table[which][self.bytes] * _POWERS.up[which][: self.n], out=p[1:])
-            self.known[which] = p
-        return self.known[which]
+    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (self.prefix[end] - self.prefix[start]) * _POWERS.down[start]
 
-    def hash(self, which: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        p = self.prefix(which)
-        return (p[end] - p[start]) * _POWERS.down[which][start]
+    def digests(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits over the bytes of each slice, as two halves."""
+        raw, digest = self.raw, xxhash.xxh3_128_digest
+        both = np.frombuffer(b"".join([digest(raw[s:e]) for s, e in zip(start.tolist(), end.tolist(), strict=True)]), "<u8").reshape(-1, 2)
+        return both[:, 0], both[:, 1]
 
     def anchors(self, depth: int) -> tuple[np.ndarray, ...]:
         """Runs of windows with one anchor: (document, anchor, first start, last start, anchor's hash); positions in the buffer."""
@@ -105,8 +104,7 @@ class Buffer:
         if self.n < depth:
             return none
         w, m, bits = depth - ANCHOR + 1, self.n - ANCHOR + 1, 32  # the same in every buffer, or the choice would differ
-        p = self.prefix(0)
-        h = _mix((p[ANCHOR:] - p[:-ANCHOR]) * _POWERS.down[0][:m])
+        h = _mix((self.prefix[ANCHOR:] - self.prefix[:-ANCHOR]) * _POWERS.down[:m])
         low = _U((1 << bits) - 1)
         v = (h & ~low) | np.arange(m, dtype=np.uint64)  # least hash, then leftmost
         v = np.concatenate([v, np.full(-m % w, 2**64 - 1, np.uint64)]).reshape(-1, w)
@@ -177,9 +175,10 @@ def _nodes(buffer: Buffer, rows: list, doc, a, lo, hi, width: int, depth: int) -
     first = lo // width * width
     core_from, core_to = a - first, a - np.minimum(first + width, depth - ANCHOR + 1) + 1 + depth
     start, end = a - hi, a - lo + depth
-    c = _mix(buffer.hash(0, core_from, core_to) + first.astype(np.uint64))
+    c = _mix(buffer.hash(core_from, core_to) + first.astype(np.uint64))
     tag = (lo.astype(np.uint64) << _U(32)) | hi.astype(np.uint64)
-    e1, e2 = _mix(buffer.hash(0, start, end) ^ _mix(tag)), _mix(buffer.hash(1, start, end) + tag)
+    one, two = buffer.digests(start, end)
+    e1, e2 = one ^ _mix(tag), two + tag
     k, ids = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
     columns = [_signed(c), _signed(e1), _signed(e2), pa.array(k[doc]), pa.array(ids[doc]), pa.array(a - buffer.base[doc])]
     return pa.RecordBatch.from_arrays(

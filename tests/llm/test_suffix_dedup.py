@@ -58,3 +58,16 @@ def test_other_depth_extra_columns_and_empty(spark):
     df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "'x' as k", "1 as bytes", "2 as n")
     assert remove_repeats(df, 64).count() == 20
     assert remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(21)
+    fresh = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz é", k=n))
+    shared, short = fresh(700), fresh(150)
+    long = fresh(1_500_000) + "#" + shared + "#" + fresh(400_000) + "#" + short
+    rows = [(1, long), (2, "%" + shared + "%" + short), (3, fresh(300) + "&" + short)]
+    got = {r.doc_id: r for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), depth=200).collect()}
+    n = len(shared.encode())
+    assert [(got[i].n_removed, got[i].n_spans) for i in (1, 2, 3)] == [(n, 1), (n, 1), (0, 0)]
+    at = long.encode().index(shared.encode())
+    assert got[1].spans == [[at, at + n]] and got[1].n_bytes == len(long.encode())
