@@ -62,24 +62,27 @@ def date(c: Column) -> Column:
 
 
 def _date_of(t: Column) -> Column:
-    def whole(pattern: str, order: str) -> Column:
-        part = {x: F.regexp_extract(t, pattern, i + 1).try_cast("int") for i, x in enumerate(order)}
-        return F.when(t.rlike(pattern), _iso(part["y"], part["m"], part["d"], True))
-
-    def named(pattern: str, names: tuple[str, ...], name_at: int, day_at: int) -> Column:
-        month = F.array_position(F.array(*map(F.lit, names)), F.regexp_extract(t, pattern, name_at)).cast("int")  # 0 where it is no name
-        return F.when(t.rlike(pattern), _iso(F.regexp_extract(t, pattern, 3).try_cast("int"), month, F.regexp_extract(t, pattern, day_at).try_cast("int"), True))
-
-    short = tuple(m[:3] for m in MONTHS)
-    day_first, month_first = r"\A(\d{1,2}) ([A-Z][a-z]+) (\d{4})\z", r"\A([A-Z][a-z]+) (\d{1,2}), (\d{4})\z"
-    loose = r"(\d{1,2})[/-](\d{1,2})[/-](\d{4})"
-    d, m, y = (F.regexp_extract(t, loose, i).try_cast("int") for i in (1, 2, 3))
+    """Forms of digits are told by the text with every digit as a 9, without a pattern; patterns are run only where none of them is."""
+    mask = F.translate(t, "012345678", "999999999")
+
+    def whole(form: str, order: str) -> Column:
+        at = {x: order.index(x) for x in "ymd"}
+        part = {x: F.substring(t, at[x] + 1, order.count(x)).try_cast("int") for x in "ymd"}
+        return F.when(mask == form, _iso(part["y"], part["m"], part["d"], True))
+
+    def named(pattern: str, name_at: int, day_at: int) -> Column:
+        def of_words(w: Column) -> Column:
+            names = [F.array_position(F.array(*map(F.lit, found)), F.get(w, F.lit(name_at))).cast("int") for found in (MONTHS, [m[:3] for m in MONTHS])]
+            return _iso(F.get(w, F.lit(2)).try_cast("int"), F.greatest(*names), F.get(w, F.lit(day_at)).try_cast("int"), True)  # 0 where it is no name
+
+        return F.when(t.rlike(pattern), tx.let(F.split(t, ",? ", -1), of_words))
+
+    loose = F.split(F.regexp_extract(t, r"\d{1,2}[/-]\d{1,2}[/-]\d{4}", 0), "[/-]", -1)
+    d, m, y = (F.get(loose, F.lit(i)).try_cast("int") for i in range(3))
     iso_like = F.regexp_extract(t, r"\d{4}-\d{2}-\d{2}", 0)
     return F.coalesce(
-        whole(r"\A(\d{4})-(\d{2})-(\d{2})\z", "ymd"), whole(r"\A(\d{2})/(\d{2})/(\d{4})\z", "dmy"), whole(r"\A(\d{2})/(\d{2})/(\d{4})\z", "mdy"),
-        whole(r"\A(\d{2})-(\d{2})-(\d{4})\z", "dmy"),
-        named(day_first, MONTHS, 2, 1), named(day_first, short, 2, 1), named(month_first, MONTHS, 1, 2), named(month_first, short, 1, 2),
-        whole(r"\A(\d{4})/(\d{2})/(\d{2})\z", "ymd"), whole(r"\A(\d{4})\.(\d{2})\.(\d{2})\z", "ymd"),
+        whole("9999-99-99", "yyyy-mm-dd"), whole("99/99/9999", "dd/mm/yyyy"), whole("99/99/9999", "mm/dd/yyyy"), whole("99-99-9999", "dd-mm-yyyy"),
+        named(r"\A\d{1,2} [A-Z][a-z]+ \d{4}\z", 1, 0), named(r"\A[A-Z][a-z]+ \d{1,2}, \d{4}\z", 0, 1), whole("9999/99/99", "yyyy/mm/dd"), whole("9999.99.99", "yyyy.mm.dd"),
         F.when(iso_like != "", iso_like), _iso(y, m, d, False), t,
     )
 

@@ -480,6 +480,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = jobspec.parse(_JOB)
     d = jobspec.to_dataset(spec, jobspec.run(spec, table(spark, sf_dir, "pages")), "page_id")
     d = tr.run(d, tr.standard_cleanup())
+    d = d.having(written(d.df, "cleaned"))  # else pages would be parsed again for each side of the joins below
     repeats = dedup.exact_only(d, ["title"]).select("_id")
     return d.remove(repeats).df.select(F.col("_pos").alias("page_id"), "title", "heading", "link", "lang", "year")
 
