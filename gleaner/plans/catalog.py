@@ -484,14 +484,14 @@ def q_intent_describe(spark, sf_dir):
     return intent.parse(n.select("n_nationkey", raw.alias("raw"))).select("n_nationkey", intent.describe().alias("line"), F.array_join("signals", ";").alias("signals"))
 
 
-@query("""select page_id, 'web' as kind, 'scrape' as action, url, 0.95 as confidence from pages where not regexp_matches(lower(url), '\\.[a-z0-9]{2,5}$')
+@query("""select page_id, 'web' as kind, 'scrape' as action, url, 0.95 as confidence from pages
     union all select page_id + 1000000000, 'document', 'download', concat(url, '/a.PDF'), 0.95 from pages union all select page_id + 2000000000, 'audio', 'download', concat('https://m.example/', cast(page_id as varchar), '.mp3?x=1'), 0.95 from pages
     union all select page_id + 3000000000, 'web', 'scrape', concat('www.p', cast(page_id as varchar), '.example/index.html'), 0.95 from pages""")
 def q_intent_addresses(spark, sf_dir):
     """Addresses decide alone: files are downloads of their kind, other pages are read."""
     p = table(spark, sf_dir, "pages")
     k = F.col("page_id").cast("string")
-    raw = p.where(~F.lower("url").rlike(r"\.[a-z0-9]{2,5}$")).select("page_id", "url").union(p.select(F.col("page_id") + 1_000_000_000, F.concat("url", F.lit("/a.PDF"))))
+    raw = p.select("page_id", "url").union(p.select(F.col("page_id") + 1_000_000_000, F.concat("url", F.lit("/a.PDF"))))
     raw = raw.union(p.select(F.col("page_id") + 2_000_000_000, F.concat(F.lit("https://m.example/"), k, F.lit(".mp3?x=1")))).union(p.select(F.col("page_id") + 3_000_000_000, F.concat(F.lit("www.p"), k, F.lit(".example/index.html"))))
     return intent.parse(raw.select("page_id", F.concat(F.lit("get "), "url").alias("raw"))).select("page_id", "kind", "action", "url", "confidence")
 

@@ -88,9 +88,9 @@ def q_search_blob(spark, sf_dir):
     return _dataset(spark, sf_dir, "part", "p_partkey", only=["p_partkey", "p_name", "p_brand"]).search_blob("R_NG Brand#1").select_fields(["p_partkey"]).values()
 
 
-@query("select event_id, json_extract_string(props, '$.k') as k, 1 as n from events where props is not null")
+@query("select event_id, json_extract_string(props, '$.k') as k, case when props is null then 0 else 1 end as n from events")
 def q_map_json(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("props is not null").select("event_id", sc.decode_map("props").alias("m"))
+    e = table(spark, sf_dir, "events").select("event_id", sc.decode_map("props").alias("m"))
     again = e.select("event_id", sc.decode_map(sc.encode_map("m")).alias("m"))
     return again.select("event_id", F.col("m")["k"].alias("k"), F.size("m").alias("n"))
 
@@ -187,11 +187,11 @@ def q_email_normalize(spark, sf_dir):
     return d.df.select(F.col("_pos").alias("c_custkey"), "email", "other")
 
 
-@query(r"""select doc_id, regexp_extract(lower(text), '[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,}') as email from documents
-    where regexp_matches(lower(text), '[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,}')""")
+@query(r"""with d as (select doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'), ' ')) as t from documents)
+    select doc_id, case when regexp_matches(t, '[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,}') then regexp_extract(t, '[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,}') else t end as email from d""")
 def q_email_extract(spark, sf_dir):
-    df = table(spark, sf_dir, "documents").where(F.lower("text").rlike(r"[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,}"))
-    return df.select("doc_id", co.coerce("text", "email").alias("email"))
+    """The first address in each text; the text itself where there is none."""
+    return table(spark, sf_dir, "documents").select("doc_id", co.coerce("text", "email").alias("email"))
 
 
 @query("""select c_custkey, concat('+880', lpad(cast(c_custkey as varchar), 10, '0')) as phone, 'call us' as other from customer""")
@@ -441,11 +441,10 @@ def q_html_attr(spark, sf_dir):
     return extract_pages(table(spark, sf_dir, "pages"), Plan.of({"lang": "html@lang", "charset": "meta[charset]@charset"})).drop("_row")
 
 
-@query("""select page_id, concat(regexp_extract(url, '^(https?://[^/?#]+)', 1), replace(regexp_extract(html, '<li><a href="([^"]*)"', 1), '&amp;', '&')) as first_link from pages
-    where regexp_matches(html, '<li><a href="/[^"]*"')""")
+@query("""with l as (select page_id, url, replace(regexp_extract(html, '<li><a href="([^"]*)"', 1), '&amp;', '&') as link from pages)
+    select page_id, case when link like '/%' then concat(regexp_extract(url, '^(https?://[^/?#]+)', 1), link) else link end as first_link from l where link <> ''""")
 def q_html_absolute_link(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").where(F.col("html").rlike('<li><a href="/[^"]*"'))
-    return extract_pages(pages, Plan.of({"first_link": "nav li:nth-of-type(1) a@href"})).drop("_row")
+    return extract_pages(table(spark, sf_dir, "pages"), Plan.of({"first_link": "nav li:nth-of-type(1) a@href"})).drop("_row")
 
 
 @query("""select 'heading' as field, count(*) filter (where contains(html, '<h1>')) as filled, 0 as containers, false as dead from pages
@@ -515,11 +514,10 @@ def q_intent_operators(spark, sf_dir):
     return parsed.select("c_custkey", "kind", "action", "count", "site", "export_format", F.when(F.col("confidence") == 1.0, 0.95).otherwise(0.0).alias("confidence"), "subject")
 
 
-@query("""select page_id, 'web' as kind, 'scrape' as action, url, 0.95 as confidence from pages
-    where not regexp_matches(lower(url), '\\.(mp3|pdf|zip|csv|js|ts|py|go|rs|c|ai)($|[?#])')""")
+@query("select page_id, 'web' as kind, 'scrape' as action, url, 0.95 as confidence from pages")
 def q_intent_urls(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").where(~F.lower("url").rlike(r"\.(mp3|pdf|zip|csv|js|ts|py|go|rs|c|ai)($|[?#])"))
-    parsed = intent.parse(pages.select("page_id", F.concat(F.lit("please get "), "url").alias("raw")))
+    """Addresses of pages decide alone; q_intent_addresses has those of files."""
+    parsed = intent.parse(table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("please get "), "url").alias("raw")))
     return parsed.select("page_id", "kind", "action", "url", "confidence")
 
 
