@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import text as tx
 from gleaner.functions.coerce import type_of
+from gleaner.functions.storage import written
 
 SYSTEM = ("_id", "_pos", "_raw", "_source_url", "_collected_at")
 LARGEST = 1.7976931348623157e308
@@ -243,11 +244,10 @@ def dense_positions(rows: DataFrame, *keys: str) -> DataFrame:
     """rows with _pos counting from 0 by the keys' order, without sorting all rows in one task.
 
     Rows are range-partitioned and sorted; each partition counts its rows, and starts where the ones before it end.
-    The sorted rows are checkpointed, as a second sampling of ranges need not agree with the first.
+    The sorted rows are a written table, as a second sampling of ranges need not agree with the first.
     """
     spark: SparkSession = rows.sparkSession
-    ordered = rows.orderBy(*keys).withColumn("_m", F.monotonically_increasing_id())
-    ordered = ordered.checkpoint() if spark.sparkContext.getCheckpointDir() else ordered.persist()
+    ordered = written(rows.orderBy(*keys).withColumn("_m", F.monotonically_increasing_id()), "ordered")
     part, at = F.shiftright("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = sorted((r["p"], r["n"]) for r in ordered.groupBy(part.alias("p")).count().withColumnRenamed("count", "n").collect())  # a row a partition
     starts, total = [], 0

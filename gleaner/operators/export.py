@@ -324,7 +324,11 @@ def render(request: Request) -> Rendered:
 
 
 def submit(request: Request, out: BinaryIO) -> Result:
-    """Check, then write to out in the order of _pos; nothing is written where a check fails."""
+    """Check, then write to out in the order of _pos; nothing is written where a check fails.
+
+    One file means that all lines pass through the driver, a partition at a time; large datasets are for write_parts and
+    write_parquet, which executors write.
+    """
     check = request.validate()
     if not check.ok:
         raise ExportError("; ".join(check.problems))
