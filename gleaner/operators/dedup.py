@@ -84,15 +84,17 @@ def similar(reps: DataFrame, threshold: float) -> DataFrame:
 def _kept(reps: DataFrame, edges: DataFrame) -> DataFrame:
     """_pos of the rows that are kept."""
     later = edges.select(F.col("b").alias("_pos")).distinct()
-    done = written(reps.select("_pos").join(later, "_pos", "left_anti").withColumn("kept", F.lit(True)), "round")
-    left = written(edges.select("a", "b"), "round")
+    decided = written(reps.select("_pos").join(later, "_pos", "left_anti").withColumn("kept", F.lit(True)), "round")
+    left, done = written(edges.select("a", "b"), "round"), decided
     while not left.isEmpty():
-        seen = left.join(done.withColumnRenamed("_pos", "a"), "a", "left")
-        verdict = seen.groupBy("b").agg(F.bool_or(F.coalesce("kept", F.lit(False))).alias("dup"), F.bool_and(F.coalesce(~F.col("kept"), F.lit(False))).alias("free"))
-        decided = written(verdict.where("dup or free").select(F.col("b").alias("_pos"), F.col("free").alias("kept")), "round")
+        # only what the last round decided is new to the edges that are left
+        seen = left.join(decided.withColumnRenamed("_pos", "a"), "a", "left")
+        verdict = seen.groupBy("b").agg(F.bool_or(F.coalesce("kept", F.lit(False))).alias("dup"), F.bool_and(F.col("kept").isNotNull()).alias("told"))
+        verdict = verdict.where("dup or told").select(F.col("b").alias("_pos"), (~F.col("dup")).alias("kept"))
+        decided = written(verdict, "round")
         # rows that are decided ask no more, and duplicates hinder no one
         left = written(seen.where("kept is null").join(decided.select(F.col("_pos").alias("b")), "b", "left_anti").select("a", "b"), "round")
-        done = written(done.unionByName(decided), "round")
+        done = done.unionByName(decided)
     return done.where("kept").select("_pos")
 
 
