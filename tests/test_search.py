@@ -187,3 +187,44 @@ def test_suggested_selectors():
     model = lambda html, fields: {"title": "h1", "price": ".none", "bad": "p[", "other": "p"}
     assert suggested("<h1>x</h1><p>y</p>", ["title", "price", "bad"], model) == {"title": "h1"}
     assert suggested("<h1>x</h1>", ["title"], lambda h, f: 1 / 0) == {}
+
+
+def test_http_over_a_local_server():
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from gleaner.sources.providers import HttpError, http_bytes, http_fetch
+
+    class Answers(BaseHTTPRequestHandler):
+        def answer(self, status, body, **headers):
+            self.send_response(status)
+            for k, v in headers.items():
+                self.send_header(k, v)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def do_GET(self):
+            if self.path == "/moved":
+                self.answer(302, b"", Location="/page")
+            elif self.path == "/page":
+                self.answer(200, "pâge".encode() + b"\xff " + self.headers.get("X-Mine", "").encode())
+            else:
+                self.answer(404, b"gone")
+
+        def do_POST(self):
+            self.answer(200, self.rfile.read(int(self.headers["Content-Length"])))
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Answers)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_port}"
+    try:
+        assert http_fetch(f"{at}/moved", {}) == "pâge\ufffd " and http_bytes(f"{at}/page", headers={"X-Mine": "me"}).endswith(b" me")
+        assert http_fetch(f"{at}/", {"q": "a b&c", "s": "30"}) == "q=a+b%26c&s=30"
+        for path in ("/none", "/nothing"):
+            with pytest.raises(HttpError):
+                http_fetch(f"{at}{path}", {})
+    finally:
+        server.shutdown()
