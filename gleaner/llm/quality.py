@@ -155,8 +155,13 @@ def assess(docs: DataFrame, labels: DataFrame, alpha: float = 0.04, delta: float
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = 0.04, delta: float = 0.05) -> DataFrame:
-    """The rows of docs that assess() keeps, all columns as they were. Features are computed where the row is read, so texts are not shuffled."""
-    f = features(F.col("text").cast("string"))
-    scored = written(docs.select("doc_id", _stratum().alias("stratum"), f.alias("f")), "quality")
-    limits = cutoffs(scored, labels, alpha, delta)
-    return docs.where(_let(f, lambda x: ~base_failed(x) & verdict(_stratum(), x, limits)))
+    """The rows of docs that assess() keeps, all columns as they were.
+
+    Features are computed once, where the row is read, and written beside it, so texts are not shuffled. Null texts,
+    empty ones and null ids as in assess(); of repeated rows all are kept or none; an empty table gives no rows.
+    """
+    of = "_features"
+    scored = written(docs.select("*", _stratum().alias("_stratum"), features(F.col("text").cast("string")).alias(of)), "quality")
+    limits = cutoffs(scored.select("doc_id", F.col("_stratum").alias("stratum"), F.col(of).alias("f")), labels, alpha, delta)
+    f = F.col(of)
+    return scored.where(~base_failed(f) & verdict(F.col("_stratum"), f, limits)).select(*docs.columns)
