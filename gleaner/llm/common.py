@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.functions.storage import scratch, shared_dir, written
+from gleaner.functions.storage import newest, scratch, shared_dir, sweep, written
 
 __all__ = ["WORD", "components", "crc_mod", "partitions", "scratch", "shared_dir", "written"]
 
@@ -44,6 +44,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         # small-star: neighbours at or below a vertex, and the vertex itself, move to the least of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", "m"))
+        old = newest()
         new = written(small.where("a <> b").distinct(), "links")
         # settled when every vertex has one link, and what it links to has none
         state = (
@@ -53,6 +54,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
             .agg(F.max("n").alias("n"), F.count("root").alias("inner"))
             .first()
         )
+        sweep(edges.sparkSession, [old])
         e = new
         if state["n"] == 1 and state["inner"] == 0:
             break

@@ -24,21 +24,31 @@ from gleaner.llm.common import components, partitions, written
 CHUNK = 1 << 16
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """64-bit SimHash of the text's word shingles, each weighed by its repeats; 0 for a text without words."""
+def shingle_hashes(text: str | None, shingle: int = 3) -> np.ndarray:
+    """XXH64 of the text's word shingles in order, repeats included; of fewer words the whole sequence; none without words."""
     words = (text or "").encode("utf-8", "replace").lower().split()  # of bytes: A-Z only, and the six ASCII blanks
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     n = max(1, len(words) - shingle + 1)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.r_[0, ends[:-1] + 1][:n].tolist()
     ends = (ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]).tolist()
-    digest, count = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for at in range(0, n, CHUNK):
-        h = np.fromiter((digest(joined[s:e], 42) for s, e in zip(starts[at : at + CHUNK], ends[at : at + CHUNK], strict=True)), "<u8", min(CHUNK, n - at))
-        count += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * count > n, bitorder="little").view("<u8")[0])
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[s:e], 42) for s, e in zip(starts, ends, strict=True)), "<u8", n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of the hashes: a bit is 1 if set in over half of them; 0 for none."""
+    count = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        count += np.unpackbits(hashes[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * count > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """64-bit SimHash of the text's word shingles, each weighed by its repeats; 0 for a text without words."""
+    return majority(shingle_hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:

@@ -2,8 +2,10 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
-from gleaner.llm.jaccard import bands, near_copies, shingles
+from gleaner.llm.jaccard import bands, near_copies, parity, shingles
 
 
 def plain_set(text):
@@ -42,15 +44,20 @@ def edited():
     return texts
 
 
+def found(df):
+    rows, groups = near_copies(df)
+    return {r.i: r._component for r in rows.join(groups, "_row").collect()}
+
+
 def test_near_copies_against_brute_force(spark):
     texts = edited()
     want = plain_groups(texts)
     assert 15 < len(set(want)) < 100
     df = spark.createDataFrame(list(enumerate(texts)), "i long, text string").repartition(5)
-    got = {r.i: r.component for r in near_copies(df, ["i"]).collect()}
+    got = found(df)
     assert sorted(got) == list(range(len(texts)))
     assert all(got[i] == got[w] for i, w in enumerate(want)) and len(set(got.values())) == len(set(want))
-    assert near_copies(df.limit(0), ["i"]).count() == 0
+    assert len(found(df.limit(0))) == 0
 
 
 def test_large_cluster(spark):
@@ -64,7 +71,7 @@ def test_large_cluster(spark):
         texts.append(" ".join(words))
     want = plain_groups(texts)
     assert 3 < len(set(want)) < 100
-    got = {r.i: r.component for r in near_copies(spark.createDataFrame(list(enumerate(texts)), "i long, text string"), ["i"]).collect()}
+    got = found(spark.createDataFrame(list(enumerate(texts)), "i long, text string"))
     assert all(got[i] == got[w] for i, w in enumerate(want)) and len(set(got.values())) == len(set(want))
 
 
@@ -83,6 +90,14 @@ def test_null_and_equal_ids_in_the_stage(spark):
     assert got == sorted([(None, b), (7, c), (7, d), (-1, a + " z"), rows[7], (None, None)], key=str)
 
 
+def test_bounds_hold():
+    rng = random.Random(2)
+    for _ in range(200):
+        a, b = (shingles(" ".join(f"w{rng.randint(0, 60)}" for _ in range(rng.randint(1, 80))), rng.choice([1, 5])) for _ in "ab")
+        bits = int(np.unpackbits((parity(a) ^ parity(b)).view(np.uint8)).sum())
+        assert bits <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
 def test_pairs_at_the_limit_share_a_key():
     rng = random.Random(6)
     for _ in range(200):
