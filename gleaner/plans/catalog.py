@@ -319,12 +319,12 @@ def q_same_vectors(spark, sf_dir):
 _ONES = "list_transform(range(64), lambda x: 1.0::double)"
 
 
-@query(f"""select vec_id, round((list_cosine_similarity(cast(embedding as double[]), {_ONES}) + 1) / 2, 5) as score, 1.0::double as size, embedding[1] / sqrt(list_dot_product(cast(embedding as double[]), cast(embedding as double[]))) as first from embeddings""")
+@query(f"""select vec_id, round((list_cosine_similarity(cast(embedding as double[]), {_ONES}) + 1) / 2, 5) as score, 1.0::double as size, round(embedding[1] / sqrt(list_dot_product(cast(embedding as double[]), cast(embedding as double[]))), 5) as first from embeddings""")
 def q_vector_scores(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").withColumn("_pos", F.col("vec_id"))
     r = results.scores(_results(e, {"title": F.lit("x")}, ["vec_id", "embedding"]), "x", [1.0] * 64)
     n = sc.normalize("embedding")
-    return r.select("vec_id", F.round("score", 5).alias("score"), F.round(F.sqrt(sc.dot(n, n)), 9).alias("size"), n[0].alias("first"))
+    return r.select("vec_id", F.round("score", 5).alias("score"), F.round(F.sqrt(sc.dot(n, n)), 9).alias("size"), F.round(n[0], 5).alias("first"))
 
 
 @query(f"""select vec_id from embeddings order by round(list_cosine_similarity(cast(embedding as double[]), {_ONES}), 12) desc, vec_id limit 25""")
