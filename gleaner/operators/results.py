@@ -6,6 +6,8 @@ list, at most its limit from each source, so the order-dependent semantic pass m
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -121,45 +123,67 @@ def scores(results: DataFrame, query: str, vector: list[float] | None = None, co
     return results.withColumn("score", sc.token_similarity(fingerprint(), F.lit(query)))
 
 
-def _better(a: pd.Series, b: pd.Series) -> pd.Series:
-    use = lambda r: pd.notna(r["direct_url"]) or pd.notna(r["magnet"])
-    size = lambda r: r["size_bytes"] if pd.notna(r["size_bytes"]) else 0
-    if use(a) != use(b):
-        return a if use(a) else b
-    if size(a) != size(b):
-        return a if size(a) > size(b) else b
-    return a if len(a["title"]) >= len(b["title"]) else b
+class _Kept:
+    """What a list has kept so far: unit vectors by length, and tokens by word, so that a result is compared with those alone that can be like it."""
+
+    def __init__(self, threshold: float) -> None:
+        self.threshold, self.tokens, self.has_vector = threshold, [], []
+        self.by_token: dict[str, set[int]] = {}
+        self.by_dim: dict[int, tuple[np.ndarray, list[int]]] = {}
+
+    def first_like(self, tokens: frozenset, v: np.ndarray | None) -> int | None:
+        hits = []
+        if v is not None and len(v) in self.by_dim:
+            held, at = self.by_dim[len(v)]
+            found = np.flatnonzero(held[: len(at)] @ v >= self.threshold)
+            hits += [at[found[0]]] if len(found) else []
+        shared = Counter(k for t in tokens for k in self.by_token.get(t, ()) if v is None or not self.has_vector[k])
+        hits += [k for k, both in shared.items() if both / (len(tokens) + len(self.tokens[k]) - both) >= SAME_TOKENS]
+        return min(hits, default=None)
+
+    def add(self, tokens: frozenset, v: np.ndarray | None) -> None:
+        k = len(self.tokens)
+        self.tokens.append(frozenset())
+        self.has_vector.append(v is not None)
+        self.renew(k, tokens)
+        if v is not None:
+            held, at = self.by_dim.setdefault(len(v), (np.zeros((16, len(v)), np.float32), []))
+            if len(at) == len(held):
+                held = np.concatenate([held, np.zeros_like(held)])
+                self.by_dim[len(v)] = held, at
+            held[len(at)] = v
+            at.append(k)
+
+    def renew(self, k: int, tokens: frozenset) -> None:
+        """Other tokens for a place; its vector stays."""
+        for t in self.tokens[k]:
+            self.by_token[t].discard(k)
+        for t in tokens:
+            self.by_token.setdefault(t, set()).add(k)
+        self.tokens[k] = tokens
 
 
 def _semantic(column: str | None, threshold: float, names: list[str]):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[pd.Series] = []
-        tokens: list[frozenset] = []
-        vectors: list[np.ndarray | None] = []
-        for _, row in pdf.sort_values("_pos").iterrows():
-            v = row[column] if column else None
+        pdf = pdf.sort_values("_pos").reset_index(drop=True)
+        # of two, the one that can be downloaded, else the larger, else the one with the longer title, else the first
+        use = list(zip((pdf["direct_url"].notna() | pdf["magnet"].notna()).tolist(), pdf["size_bytes"].fillna(0).tolist(), pdf["title"].str.len().tolist(), strict=True))
+        kept, row_of, places = _Kept(threshold), [], []
+        for i, words in enumerate(pdf["_tokens"]):
+            v = pdf[column].iat[i] if column else None
             v = None if v is None or len(v) == 0 else np.asarray(v, np.float32)
             if v is not None and (n := float(np.linalg.norm(v))) > 0:
                 v = v / np.float32(n)
-            mine, hit = frozenset(row["_tokens"]), -1
-            for j in range(len(kept)):
-                if v is not None and vectors[j] is not None:
-                    same = v.shape == vectors[j].shape and float(v @ vectors[j]) >= threshold
-                else:
-                    both = len(mine & tokens[j])
-                    same = bool(mine) and bool(tokens[j]) and both / (len(mine) + len(tokens[j]) - both) >= SAME_TOKENS
-                if same:
-                    hit = j
-                    break
-            if hit < 0:
-                kept.append(row)
-                tokens.append(mine)
-                vectors.append(v)
-            else:
-                place, kept[hit] = kept[hit]["_pos"], _better(kept[hit], row)
-                if kept[hit] is row:
-                    row["_pos"], tokens[hit] = place, mine  # the vector of the place stays
-        return pd.DataFrame(kept)[names] if kept else pdf.iloc[:0][names]
+            words = frozenset(words)
+            hit = kept.first_like(words, v)
+            if hit is None:
+                kept.add(words, v)
+                row_of.append(i)
+                places.append(pdf["_pos"].iat[i])
+            elif use[i] > use[row_of[hit]]:
+                kept.renew(hit, words)
+                row_of[hit] = i
+        return pdf.iloc[row_of].assign(_pos=places)[names]
 
     return run
 
