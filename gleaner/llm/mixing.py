@@ -173,7 +173,7 @@ _WORD = re.compile(WORD)
 def _copies(schema: pa.Schema):
     def run(batches):
         for batch in batches:
-            text, passes, spans, at = batch.column("text"), batch.column("_passes"), batch.column("_spans"), []
+            text, passes, spans, at = batch.column("text"), batch.column("_mix_passes"), batch.column("_mix_spans"), []
             texts = []
             for i in range(batch.num_rows):
                 t = text[i].as_py() or ""
@@ -204,9 +204,10 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    known = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-1)).alias("_id")
-    taken = mix(docs, **how).where("taken > 0").select(known("doc_id"), F.col("k").alias("_k"), F.col("passes").alias("_passes"), F.col("spans").alias("_spans"))
+    known = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-1)).alias("_mix_id")
+    of = F.xxhash64(F.col("source").cast("string")).alias("_mix_s")
+    taken = mix(docs, **how).where("taken > 0").select(known("doc_id"), F.col("k").alias("_mix_k"), of, F.col("passes").alias("_mix_passes"), F.col("spans").alias("_mix_spans"))
     # equal rows give one text here, as taken has a row for each of them
-    keyed = docs.select("*", known("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("_k")).dropDuplicates(["_id", "_k"])
-    both = keyed.join(taken, ["_id", "_k"])
-    return both.select(*docs.columns, "_passes", "_spans").mapInArrow(_copies(to_arrow_schema(docs.schema)), docs.schema)
+    keyed = docs.select("*", known("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("_mix_k"), of).dropDuplicates(["_mix_id", "_mix_k", "_mix_s"])
+    both = keyed.join(taken, ["_mix_id", "_mix_k", "_mix_s"])
+    return both.select(*docs.columns, "_mix_passes", "_mix_spans").mapInArrow(_copies(to_arrow_schema(docs.schema)), docs.schema)

@@ -160,8 +160,11 @@ def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = 0.04, delta: fl
     Features are computed once, where the row is read, and written beside it, so texts are not shuffled. Null texts,
     empty ones and null ids as in assess(); of repeated rows all are kept or none; an empty table gives no rows.
     """
-    of = "_features"
-    scored = written(docs.select("*", _stratum().alias("_stratum"), features(F.col("text").cast("string")).alias(of)), "quality")
-    limits = cutoffs(scored.select("doc_id", F.col("_stratum").alias("stratum"), F.col(of).alias("f")), labels, alpha, delta)
-    f = F.col(of)
-    return scored.where(~base_failed(f) & verdict(F.col("_stratum"), f, limits)).select(*docs.columns)
+    of = "_judged"
+    while of in docs.columns:
+        of += "_"
+    judged = F.struct(_stratum().alias("stratum"), features(F.col("text").cast("string")).alias("f"))
+    scored = written(docs.select("*", judged.alias(of)), "quality")
+    limits = cutoffs(scored.select("doc_id", f"{of}.stratum", f"{of}.f"), labels, alpha, delta)
+    f = F.col(of)["f"]
+    return scored.where(~base_failed(f) & verdict(F.col(of)["stratum"], f, limits)).select(*docs.columns)

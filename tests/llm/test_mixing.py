@@ -111,8 +111,8 @@ def test_mixed_texts(spark):
     plan = defaultdict(int)
     for r in mix(df).collect():
         plan[r.doc_id] += r.taken
-    out = mixed(df)
-    assert out.columns == df.columns
+    out = mixed(df.selectExpr("*", "1 as _id", "2 as _k", "3 as _passes", "4 as k", "5 as copies")).select(*df.columns)
+    assert mixed(df).columns == df.columns
     found = defaultdict(int)
     texts = {r[0]: r[1] for r in rows}
     for r in out.collect():

@@ -102,7 +102,7 @@ def edges():
     return [(d, t, "en" if i % 3 else None, ["a", "b", None][i % 3], len(t or ""), i, i, i, i) for i, (d, t) in enumerate(rows)]
 
 
-MORE = "doc_id long, text string, lang string, source string, n_chars long, k long, _row long, f long, copies long"
+MORE = "doc_id long, text string, lang string, source string, n_chars long, _judged long, _row long, f long, copies long"
 
 
 @pytest.mark.parametrize("number", range(5))
