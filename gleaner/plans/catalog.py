@@ -39,11 +39,11 @@ def _store(spark) -> st.Store:
 
 
 @query("""select cast(c_custkey as varchar) as c_custkey, c_name, concat('people-', cast(c_custkey + 1 as varchar)) as id, c_custkey as place, concat('https://c.example/', cast(c_custkey as varchar)) as source_url,
-    'People' as dataset, 'number,text,currency' as types, 'job/j1' as source, 7 as updated_at from customer""")
+    'Folk' as dataset, 'number,text,currency' as types, 'job/j1' as source, 7 as updated_at from customer""")
 def q_store_load(spark, sf_dir):
-    """Saved and loaded again: rows, order, types and provenance."""
+    """Renamed, saved and loaded again: rows, order, types and provenance."""
     s = _store(spark)
-    d = s.load(s.save(_people(spark, sf_dir, 7)))
+    d = s.load(s.save(_people(spark, sf_dir, 7).rename("Folk")))
     return d.df.select(
         "c_custkey", "c_name", F.col("_id").alias("id"), F.col("_pos").alias("place"), F.col("_source_url").alias("source_url"), F.lit(d.name).alias("dataset"),
         F.lit(",".join(f.type for f in d.fields)).alias("types"), F.lit(f"{d.source.kind}/{d.source.job_id}").alias("source"), F.lit(d.updated_at).alias("updated_at"),
