@@ -250,66 +250,96 @@ class Chain:
         at = np.zeros((steps, n), np.int64)
         for i, s in enumerate(sequences):
             at[: len(s), i] = s
-        active = np.searchsorted(-lens, -np.arange(steps), "left")
-        alpha, scale = np.zeros((steps, n, k)), np.ones((steps, n))
-        for t in range(steps):
-            m = active[t]
-            before = alpha[t - 1, :m] if t else first[:m]
-            a = (before @ self.move if t or moved else before) * self.emit[at[t, :m]]
-            scale[t, :m] = a.sum(axis=1)
-            alpha[t, :m] = a / scale[t, :m, None]
-        beta, moves = np.ones((n, k)), np.zeros((k, k))
+        active = np.searchsorted(-lens, -np.arange(steps), "left").tolist()
+        alpha, scale, one = np.zeros((steps, n, k)), np.ones((steps, n)), np.ones(k)
+        before = first
+        for t, m in enumerate(active):
+            a = alpha[t, :m]
+            if t or moved:
+                np.matmul(before[:m], self.move, out=a)
+            else:
+                a[:] = before[:m]
+            a *= self.emit.take(at[t, :m], axis=0)
+            np.matmul(a, one, out=scale[t, :m])
+            a /= scale[t, :m, None]
+            before = a
+        beta, moves, back = np.ones((n, k)), np.zeros((k, k)), np.ascontiguousarray(self.move.T)
         if last is not None:
             beta = last / (alpha[lens - 1, np.arange(n)] * last).sum(axis=1, keepdims=True)
         for t in range(steps - 1, -1, -1):
             m = active[t]
             if t < steps - 1 and active[t + 1]:
                 r = active[t + 1]
-                ahead = self.emit[at[t + 1, :r]] * beta[:r] / scale[t + 1, :r, None]
+                ahead = self.emit.take(at[t + 1, :r], axis=0)
+                ahead *= beta[:r]
+                ahead /= scale[t + 1, :r, None]
                 moves += alpha[t, :r].T @ ahead
-                beta[:r] = ahead @ self.move.T
+                np.matmul(ahead, back, out=beta[:r])
             if not t and moved:
                 moves += first.T @ (self.emit[at[0]] * beta / scale[0, :, None])
             alpha[t, :m] *= beta[:m]
-        inside = np.arange(steps)[:, None] < lens
-        gamma, symbols = alpha[inside], at[inside]
-        emits = np.stack([np.bincount(symbols, gamma[:, s], len(self.emit)) for s in range(k)], axis=1)
+        flat, gamma = at.ravel(), alpha.reshape(-1, k)  # past a sequence's end its weights are 0
+        emits = np.stack([np.bincount(flat, gamma[:, s], len(self.emit)) for s in range(k)], axis=1)
         return np.zeros(k) if moved else alpha[0].sum(axis=0), moves * self.move, emits, float(np.log(scale).sum())
 
-    def expected_long(self, s: np.ndarray) -> Iterator[tuple]:
-        """Expected counts of one long sequence, whole: what its stretches make of every state is chained both ways, then they run side by side."""
+    def transfers(self, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """For each part and state before it: the last state's probabilities, and the part's likelihood up to a factor for the part."""
+        k, lens = len(self.start), np.array([len(p) for p in parts])
+        ends, weights = np.zeros((len(parts), k, k)), np.ones((len(parts), k))
+        for n in np.unique(lens):  # all but a text's last part are of one length
+            mine = np.flatnonzero(lens == n)
+            at, a = np.stack([parts[i] for i in mine], axis=1).astype(np.int64), np.tile(np.eye(k), (len(mine), 1, 1))
+            for t in range(n):
+                a = (a.reshape(-1, k) @ self.move).reshape(-1, k, k)
+                a *= self.emit.take(at[t], axis=0)[:, None, :]
+                if t % 8 == 7:  # by one factor for all states, long before numbers grow too small
+                    a /= a.max(axis=(1, 2), keepdims=True)
+            sums = a.sum(axis=2)
+            ends[mine], weights[mine] = a / sums[:, :, None], sums / sums.max(axis=1, keepdims=True)
+        return ends, weights
+
+    def expected_long(self, sequences: list[np.ndarray]) -> Iterator[tuple]:
+        """Expected counts of long sequences, whole: what their stretches make of every state is chained both ways, then all stretches run side by side."""
         k = len(self.start)
-        parts = [s[b : b + STRETCH] for b in range(STRETCH, len(s), STRETCH)]
-        ends, weights = np.zeros((len(parts), k, k)), np.zeros((len(parts), k))
-        for b in range(0, len(parts), 256):
-            some = parts[b : b + 256]
-            a, log = self.forward([p for p in some for _ in range(k)], np.tile(np.eye(k), (len(some), 1)), moved=True)
-            log = log.reshape(-1, k)
-            ends[b : b + 256], weights[b : b + 256] = a.reshape(-1, k, k), np.exp(log - log.max(axis=1, keepdims=True))
-        before, after = np.zeros((len(parts), k)), np.ones((len(parts) + 1, k))
-        v = self.forward([s[:STRETCH]], self.start[None])[0][0]
-        for p in range(len(parts)):
-            before[p] = v
-            w = v * weights[p]
-            v = w @ ends[p] / w.sum()
-        for p in range(len(parts) - 1, -1, -1):
-            x = weights[p] * (ends[p] @ after[p + 1])
-            after[p] = x / x.max()
-        yield self.expected([s[:STRETCH]], self.start[None], after[:1])
-        for b in range(0, len(parts), 1024):
-            yield self.expected(parts[b : b + 1024], before[b : b + 1024], after[b + 1 : b + 1025], moved=True)
+        heads = [s[:STRETCH] for s in sequences]
+        parts = [[s[b : b + STRETCH] for b in range(STRETCH, len(s), STRETCH)] for s in sequences]
+        flat = [p for mine in parts for p in mine]
+        ends, weights = np.zeros((len(flat), k, k)), np.zeros((len(flat), k))
+        for b in range(0, len(flat), 1024):
+            ends[b : b + 1024], weights[b : b + 1024] = self.transfers(flat[b : b + 1024])
+        before, after, follows, at = np.zeros((len(flat), k)), np.ones((len(flat), k)), np.ones((len(sequences), k)), 0
+        for i, (v, mine) in enumerate(zip(self.forward(heads, np.tile(self.start, (len(heads), 1)))[0], parts, strict=True)):
+            for p in range(at, at + len(mine)):
+                before[p] = v
+                w = v * weights[p]
+                v = w @ ends[p] / w.sum()
+            x = np.ones(k)
+            for p in range(at + len(mine) - 1, at - 1, -1):
+                after[p] = x
+                x = weights[p] * (ends[p] @ x)
+                x /= x.max()
+            follows[i] = x
+            at += len(mine)
+        for b in range(0, len(heads), 1024):
+            yield self.expected(heads[b : b + 1024], np.tile(self.start, (len(heads[b : b + 1024]), 1)), follows[b : b + 1024])
+        order = sorted(range(len(flat)), key=lambda p: -len(flat[p]))
+        for b in range(0, len(order), 1024):
+            some = order[b : b + 1024]
+            yield self.expected([flat[p] for p in some], before[some], after[some], moved=True)
 
     def expectations(self, sequences: list[np.ndarray]) -> Iterator[tuple]:
         """Expected counts of whole sequences, in groups of like length whose padded times fit in memory."""
         short = sorted((s for s in sequences if len(s) <= LONG), key=len, reverse=True)
         at = 0
         while at < len(short):
-            n = max(1, min(1024, len(short) - at, 400_000 // max(1, len(short[at]))))
+            n = max(1, min(4096, len(short) - at, 1_000_000 // max(1, len(short[at]))))
             yield self.expected(short[at : at + n])
             at += n
-        for s in sequences:
-            if len(s) > LONG:
-                yield from self.expected_long(s)
+        long, at = [s for s in sequences if len(s) > LONG], 0
+        while at < len(long):  # some millions of times together
+            n = 1 + int(np.searchsorted(np.cumsum([len(s) for s in long[at + 1 :]]), 4_000_000))
+            yield from self.expected_long(long[at : at + n])
+            at += n
 
 
 def _sequences(batches, end: int) -> Iterator[tuple[list[np.ndarray], pa.RecordBatch]]:
