@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from gleaner.llm.embedding_dedup import miss_rate, near_duplicates
+from gleaner.llm.embedding_dedup import agree_rate, layout, miss_rate, near_duplicates
 
 
 def brute(rows, threshold):
@@ -53,3 +53,10 @@ def test_against_brute_force(spark):
 
 def test_miss_rate():
     assert miss_rate(0.93, 2.0, 8, 28) < 2e-4 and miss_rate(0.99, 2.0, 8, 28) < miss_rate(0.93, 2.0, 8, 28) and miss_rate(1.0, 2, 8, 28) == 0
+
+
+def test_layout():
+    for n in (1, 100, 10_000, 10**9):
+        projections, tables = layout(n, 0.93, 2.0)
+        assert miss_rate(0.93, 2.0, projections, tables) < 2e-4 and n * agree_rate(0.0, 2.0) ** projections <= 0.1 + 1e-9
+    assert layout(10**9, 0.93, 2.0)[1] < 10 * layout(10**5, 0.93, 2.0)[1]
