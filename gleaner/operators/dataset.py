@@ -6,7 +6,6 @@ order-sensitive operator sorts by; _raw maps a field to the value it had before
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession

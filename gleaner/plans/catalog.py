@@ -6,11 +6,9 @@ They go through the operators that users call, on whole tables; registry.queries
 from __future__ import annotations
 
 import io
-import re
 from dataclasses import replace
 from urllib.parse import quote
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import coerce as co
@@ -674,10 +672,3 @@ def q_export_checks(spark, sf_dir):
         assert written == v.ok and bool(out.getvalue()) == written
         rows.append((name, len(v.problems), len(v.warnings), v.ok))
     return spark.createDataFrame(rows, "case string, problems int, warnings int, ok boolean")
-
-
-def all_names() -> list[str]:
-    return [n for n, f in globals().items() if re.match("q_", n) and callable(f)]
-
-
-__all__ = ["DataFrame", "all_names"]
