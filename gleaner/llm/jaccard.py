@@ -176,7 +176,7 @@ def _grouped(rows: DataFrame, size: int, parts: tuple[int, int], radius: int, ce
         outside = opened.where("c <> main").drop("main")
         if m:
             draw = lambda i: F.xxhash64("sig", F.lit(100 * turn + i)) if turn else F.col("place") / F.col("n")
-            row = [F.struct(draw(i).alias("draw"), *index.columns) for i in range(m)]
+            row = [F.struct(draw(i).alias("draw"), "sig") for i in range(m)]
             inside = opened.where("c = main").groupBy("h", "c").agg(F.array_distinct(F.array(*[F.min(r).getField("sig") for r in row])).alias("sigs"))
             inside = inside.select("h", "c", F.explode("sigs").alias("sig")).join(placed, ["h", "c", "sig"])
         else:
