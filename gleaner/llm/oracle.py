@@ -50,6 +50,24 @@ select page_id, octet_length(payload) as payload_bytes,
     if(winner = page_id, 'response', 'revisit') as record_type, if(winner = page_id, null, winner) as refers_to from w
 """
 
+EXACT = r"""
+with d as (select doc_id, length(coalesce(text, '')) as n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as t from documents)
+select doc_id, first_value(doc_id) over w as keep_id, count(*) over (partition by t) as group_size, row_number() over w = 1 as kept, sha256(t) as text_sha256
+from d window w as (partition by t order by n desc, doc_id nulls last)
+"""
+
+FILL_IN_MIDDLE = r"""
+with d as (select doc_id, coalesce(text, '') as t, sha256('42:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+u as (select *, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as units,
+    list_transform([1, 9, 17, 25], lambda i: cast('0x' || substr(h, i, 8) as bigint)) as r from d),
+c as (select *, len(units) as n, least(r[1] % (n + 1), r[2] % (n + 1)) as lo, greatest(r[1] % (n + 1), r[2] % (n + 1)) as hi,
+    case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or r[3] % 100 >= 50 then 'plain' when r[4] % 100 < 80 then 'spm' else 'psm' end as form from u),
+p as (select *, array_to_string(units[1:lo], '') as prefix, array_to_string(units[lo + 1:hi], '') as middle, array_to_string(units[hi + 1:], '') as suffix from c)
+select doc_id, n, form, if(form = 'plain', null, length(prefix)) as prefix_chars, if(form = 'plain', null, length(middle)) as middle_chars,
+    sha256(case form when 'plain' then t when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+    sha256(t) as restored_sha256 from p
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": QUALITY, "op8_embedding_near_dedup": EMBEDDINGS, "op10_warc_archives": ARCHIVES}
+    return {"op11_exact_dedup": EXACT, "op12_fill_in_middle": FILL_IN_MIDDLE, "op5_quality_rules": QUALITY, "op8_embedding_near_dedup": EMBEDDINGS, "op10_warc_archives": ARCHIVES}

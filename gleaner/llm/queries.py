@@ -73,6 +73,25 @@ def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleaner.llm.exact_dedup import dedup
+
+    return dedup(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleaner.llm.fill_in_middle import fill_in_middle, restored_sha256
+
+    found = fill_in_middle(_table(spark, sf_dir, "documents").select("doc_id", "text"), seed=42, rate=50, spm=80)
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", restored_sha256(found.output, found.form).alias("restored_sha256"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleaner.llm.token_alignment import agreement
+
+    return agreement(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -91,6 +110,9 @@ def queries():
         "op8_embedding_near_dedup": op8_embedding_near_dedup,
         "op9_hidden_markov_scores": op9_hidden_markov_scores,
         "op10_warc_archives": op10_warc_archives,
+        "op11_exact_dedup": op11_exact_dedup,
+        "op12_fill_in_middle": op12_fill_in_middle,
+        "op13_token_alignment": op13_token_alignment,
         "pipeline": pipeline,
     }
 
