@@ -67,6 +67,8 @@ class Dataset:
     created_at: int = 0
     updated_at: int = 0
     partial: Partial | None = None
+    #: The version of a store that it was loaded from.
+    version: int | None = None
 
     # -- making --------------------------------------------------------------
 

@@ -1,0 +1,87 @@
+"""Queries of what the engine does at size: versions, deep pages and the trigram index of stored datasets."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gleaner.functions.storage import scratch
+from gleaner.operators.dataset import Dataset, Field
+from gleaner.plans import store as st
+from gleaner.plans.registry import query, table
+
+#: Rows of a stored file in these queries, so that the test tables have several.
+FILE_ROWS = 2_000
+
+
+def _store(spark) -> st.Store:
+    return st.Store(spark, scratch(spark, "store"), FILE_ROWS)
+
+
+def _customers(spark, sf_dir) -> Dataset:
+    df = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal")
+    return Dataset.of("customers", "Customers", df, "c_custkey", [Field("c_custkey", "number"), Field("c_name"), Field("c_mktsegment"), Field("c_acctbal", "currency")])
+
+
+def _orders(spark, sf_dir) -> Dataset:
+    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    return Dataset.of("orders", "Orders", df, "o_orderkey", [Field("o_orderkey", "number"), Field("o_orderstatus"), Field("o_totalprice", "currency")])
+
+
+# -- the store: versions, pages, search -------------------------------------------------
+
+
+@query("""select 1 as version, cast(c_custkey as varchar) as c_custkey, c_name, (select count(*) from customer) as noted from customer
+    union all select 2, cast(c_custkey as varchar), c_name, (select count(*) from customer where c_custkey % 7 <> 0) from customer where c_custkey % 7 <> 0
+    union all select 3, cast(c_custkey as varchar), c_name, (select count(*) from customer where c_custkey % 7 <> 0 and c_acctbal > 0) from customer where c_custkey % 7 <> 0 and c_acctbal > 0""")
+def q_store_versions(spark, sf_dir):
+    """Three versions of a dataset, each loaded before the next commit and read after the last: removed rows, then a filter saved; a writer that comes late is refused."""
+    s = _store(spark)
+    s.save(_customers(spark, sf_dir))
+    first = s.load("customers")
+    s.delete_records("customers", first.df.where(F.col("_pos") % 7 == 0).select("_id"))
+    second = s.load("customers")
+    s.save(second.filter(F.col("c_acctbal").cast("double") > 0))
+    third, out = s.load("customers"), None
+    for late in (first, second):
+        try:
+            s.save(late)
+        except st.Conflict:
+            continue
+        raise AssertionError("a version that was not seen was replaced")
+    for d in (first, second, third):
+        noted = s.files.get(s._log("customers", d.version))["records"]
+        rows = d.df.select(F.lit(d.version).alias("version"), "c_custkey", "c_name", F.lit(noted).cast("long").alias("noted"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("""with o as (select o_orderkey, o_totalprice, row_number() over (order by o_orderkey) - 1 as place, count(*) over () as n from orders where o_orderkey % 5 <> 0)
+    select cast(o_orderkey as varchar) as o_orderkey, o_totalprice, n as total, true as few_files from o where place >= floor(n * 9 / 10) and place < floor(n * 9 / 10) + 40""")
+def q_store_deep_page(spark, sf_dir):
+    """Forty records from nine tenths of a stored table on, a fifth of whose rows are removed: one or two of its files are read."""
+    s = _store(spark)
+    d = _orders(spark, sf_dir)
+    s.save(d)
+    s.delete_records("orders", d.df.where(F.col("_pos") % 5 == 0).select("_id"))
+    total = s.summary("orders").records
+    page = s.page("orders", total * 9 // 10, 40)
+    read = sum("/files-" in f for f in page.items.inputFiles())
+    return page.items.select("o_orderkey", F.col("o_totalprice").cast("double").alias("o_totalprice"), F.lit(page.total).cast("long").alias("total"), F.lit(read in (1, 2)).alias("few_files"))
+
+
+@query("""select 'key' as search, cast(o_orderkey as varchar) as o_orderkey, o_orderkey as place from orders
+        where contains(cast(o_orderkey as varchar), (select cast(max(o_orderkey) as varchar) from orders)) or contains(cast(o_totalprice as varchar), (select cast(max(o_orderkey) as varchar) from orders))
+    union all select 'state', cast(o_orderkey as varchar), o_orderkey from orders where contains(lower(o_orderstatus), 'f')
+    union all select 'across', cast(o_orderkey as varchar), o_orderkey from orders where (cast(o_orderkey as varchar) || ' ' || lower(o_orderstatus) || ' ' || cast(o_totalprice as varchar)) like '%7 f 1%'""")
+def q_store_search_index(spark, sf_dir):
+    """Searches of a stored table by its trigram index: the largest key, a letter (too short for the index), and a pattern over cells."""
+    s = _store(spark)
+    d = _orders(spark, sf_dir)
+    s.save(d)
+    s.index("orders")
+    key = str(d.df.agg(F.max("_pos")).first()[0])
+    out = None
+    for name, found in (("key", s.search("orders", key)), ("state", s.search("orders", "F")), ("across", s.search_blob("orders", "7 F 1"))):
+        rows = found.df.select(F.lit(name).alias("search"), "o_orderkey", F.col("_pos").alias("place"))
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -37,13 +37,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from gleaner.plans import catalog  # noqa: F401  which registers its own
+    from gleaner.plans import catalog, catalog_scale  # noqa: F401  which register their own
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from gleaner.plans import catalog  # noqa: F401
+    from gleaner.plans import catalog, catalog_scale  # noqa: F401
 
     return dict(_SQL)
 
