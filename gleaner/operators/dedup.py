@@ -7,8 +7,8 @@ independent set of the graph of equal keys and similar rows, which depends on or
 1. Only the first row of a key can be kept, so one row stands for each key.
 2. A mean similarity of t needs some column of similarity t or more. For each column, rows that can reach it share one
    of their rarest trigrams (prefix filter) and are of like size; candidates are an equi-join, then checked in full.
-3. A row is a duplicate once an earlier neighbour is kept, and kept once all its earlier neighbours are duplicates;
-   rounds of joins decide rows from the front until none is open. Each round is a written table.
+3. A row is a duplicate if an earlier neighbour is kept, and kept if all its earlier neighbours are duplicates: decided
+   component by component (functions/graph.py), in order within one, so that a long chain takes few passes.
 4. Targets: the kept row with the best score that comes before, the earliest of equals.
 """
 
@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from gleaner.functions import coerce as co
 from gleaner.functions import scalar as sc
 from gleaner.functions import text as tx
-from gleaner.functions.storage import written
+from gleaner.functions.graph import first_come
+from gleaner.functions.storage import newest, passing, written
 from gleaner.operators.dataset import Dataset
 
 LOOSE, BALANCED, STRICT = 0.60, 0.80, 0.95
@@ -82,20 +83,12 @@ def similar(reps: DataFrame, threshold: float) -> DataFrame:
 
 
 def _kept(reps: DataFrame, edges: DataFrame) -> DataFrame:
-    """_pos of the rows that are kept."""
-    later = edges.select(F.col("b").alias("_pos")).distinct()
-    decided = written(reps.select("_pos").join(later, "_pos", "left_anti").withColumn("kept", F.lit(True)), "round")
-    left, done = written(edges.select("a", "b"), "round"), decided
-    while not left.isEmpty():
-        # only what the last round decided is new to the edges that are left
-        seen = left.join(decided.withColumnRenamed("_pos", "a"), "a", "left")
-        verdict = seen.groupBy("b").agg(F.bool_or(F.coalesce("kept", F.lit(False))).alias("dup"), F.bool_and(F.col("kept").isNotNull()).alias("told"))
-        verdict = verdict.where("dup or told").select(F.col("b").alias("_pos"), (~F.col("dup")).alias("kept"))
-        decided = written(verdict, "round")
-        # rows that are decided ask no more, and duplicates hinder no one
-        left = written(seen.where("kept is null").join(decided.select(F.col("_pos").alias("b")), "b", "left_anti").select("a", "b"), "round")
-        done = done.unionByName(decided)
-    return done.where("kept").select("_pos")
+    """_pos of the rows that are kept, as a written table."""
+    with passing(reps.sparkSession) as keep:
+        gone = first_come(edges.select("a", "b")).where("not kept")
+        kept = written(reps.select("_pos").join(gone.select("_pos"), "_pos", "left_anti"), "kept")
+        keep.append(newest())
+    return kept
 
 
 def analyze(d: Dataset, keys: list[str] | None = None, threshold: float = BALANCED) -> DataFrame:
@@ -112,7 +105,7 @@ def analyze(d: Dataset, keys: list[str] | None = None, threshold: float = BALANC
     grams = F.transform("n", lambda x: F.when(tx.is_blank(x), F.array().cast("array<string>")).otherwise(sc.trigrams(x)))
     reps = written(rows.where("_pos = rep").select("_pos", "_id", "n", grams.alias("grams")), "reps")
     edges = written(similar(reps, threshold), "edges")
-    kept = written(_kept(reps, edges), "kept").withColumn("kept", F.lit(True))
+    kept = _kept(reps, edges).withColumn("kept", F.lit(True))
     links = edges.select(F.col("a").alias("rep"), F.col("b").alias("to"), "score").unionByName(edges.select(F.col("b").alias("rep"), F.col("a").alias("to"), "score"))
     links = links.join(kept.select(F.col("_pos").alias("to")), "to", "left_semi")
     rows = rows.join(kept.withColumnRenamed("_pos", "rep"), "rep", "left")

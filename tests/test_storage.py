@@ -1,3 +1,4 @@
+import threading
 import types
 
 import pytest
@@ -22,6 +23,44 @@ def test_tables_pass_but_for_what_is_kept(spark):
     assert storage.sweep(spark, keep) == 1 and storage.sweep(spark, keep) == 0
 
 
+def test_threads_keep_their_tables(spark):
+    """A block that ends removes what its own thread wrote in it, and nothing that another has written meanwhile."""
+    inside, outside, found = threading.Event(), threading.Event(), {}
+
+    def other():
+        inside.wait(60)
+        with storage.scope() as mine:
+            found["df"], found["newest"] = storage.written(spark.range(7), "other"), storage.newest()
+            outside.set()
+            done.wait(60)
+            found["rows"] = found["df"].count()
+            found["removed"] = mine.remove(spark)
+
+    done, t = threading.Event(), threading.Thread(target=other)
+    t.start()
+    with storage.passing(spark) as keep:
+        storage.written(spark.range(3), "gone")
+        first = storage.newest()
+        inside.set()
+        outside.wait(60)
+        assert storage.newest() == first != found["newest"] and keep == []
+    done.set()
+    t.join()
+    assert found["rows"] == 7 and found["removed"] == 1
+
+
+def test_a_failed_body_leaves_no_tables(spark):
+    before = storage.scratch_paths()
+    with pytest.raises(ZeroDivisionError), storage.passing(spark) as keep:
+        storage.written(spark.range(3), "gone")
+        path = storage.newest()
+        keep.append(path)
+        1 / 0
+    assert storage.scratch_paths() == before
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        spark.read.parquet(path)
+
+
 def test_a_cluster_needs_a_shared_folder():
     context = types.SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
     session = types.SimpleNamespace(conf={}, sparkContext=context)
