@@ -26,6 +26,10 @@ from gleaner.llm.packing import _plain, _ranks
 
 A_END, B_END, BOTH = 1, 2, 3
 SPAN = re.compile(rb"[^\x03]*\x03")
+#: A word with the blanks before it.
+WORD = re.compile(r" +[^ ]*")
+#: Words whose ids a worker keeps.
+WORDS = 300_000
 PROBE = "An idea: it's 42 naïve wörds\n\n  in <|endoftext|> “quotes” — ñandú 東京  \t end  "
 #: Texts of so many links together make a batch of results.
 CHUNK = 500_000
@@ -60,15 +64,17 @@ class ByteLevel:
         tokenizer = _whole(self.name)
         return tokenizer.encode(text, add_special_tokens=False).ids
 
-    def __call__(self, text: str) -> np.ndarray:
-        """As tokenizers gives them; the same vocabulary as ranks is faster, and encodes where a probe has found it to agree."""
+    def __call__(self, text: str) -> np.ndarray | None:
+        """As tokenizers gives them; the same vocabulary as ranks is faster, and encodes where a probe has found it to agree. None where the tokens' bytes are not the text's."""
         if self.fast is not None:
             try:
-                return self.fast.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
+                ids = self.fast.encode_ordinary(text)
+                return np.array(ids, np.int64) if self.fast.decode_bytes(ids) == text.encode() else None
             except BaseException as e:  # the library's own panic is no Exception
                 if type(e).__name__ != "PanicException" and not isinstance(e, ValueError):
                     raise
-        return np.array(self._plain(text), np.int64)
+        ids = self._plain(text)
+        return np.array(ids, np.int64) if b"".join(map(self.bytes.__getitem__, ids)) == text.encode() else None
 
 
 @lru_cache(maxsize=2)
@@ -81,8 +87,28 @@ def _whole(name: str):
     return found
 
 
+class _Words(dict):
+    """Ids of words that begin with a blank, as bytes of 32-bit numbers, None where their pieces are not the word; the first WORDS are kept."""
+
+    def __init__(self, model, pieces: list[bytes]) -> None:
+        self.model, self.pieces, self.blank = model, pieces, model.piece_to_id("▁")
+
+    def __missing__(self, word: str) -> bytes | None:
+        # the model adds the first blank by itself, but not to an empty text
+        ids = self.model.encode(word[1:], num_threads=1) if len(word) > 1 else [self.blank]
+        same = b"".join(map(self.pieces.__getitem__, ids)) == word.encode()
+        found = np.array(ids, np.int32).tobytes() if same else None
+        if len(self) < WORDS and len(word) <= 40:
+            self[word] = found
+        return found
+
+
 class Pieces:
-    """A sentencepiece model: ids of a text, and the bytes of each piece."""
+    """A sentencepiece model: ids of a text, and the bytes of each piece.
+
+    Where no piece has a blank behind another character, no merge crosses the place before a blank, so a text's ids are
+    those of its words in order, and a word's are found once.
+    """
 
     def __init__(self, name: str) -> None:
         import public_tokenizers as public
@@ -93,9 +119,21 @@ class Pieces:
         for i in range(self.model.get_piece_size()):
             piece = self.model.id_to_piece(i)
             self.bytes.append(bytes([int(piece[3:5], 16)]) if self.model.is_byte(i) else piece.replace("▁", " ").encode())
+        apart = not any(re.search("[^▁]▁", self.model.id_to_piece(i)) for i in range(len(self.bytes)))
+        self.words = _Words(self.model, self.bytes) if apart else None
+        if apart and self(PROBE).tolist() != self.whole(PROBE).tolist():
+            self.words = None
 
-    def __call__(self, text: str) -> np.ndarray:
-        return np.array(self.model.encode(text, num_threads=1), np.int64)
+    def whole(self, text: str) -> np.ndarray | None:
+        ids = self.model.encode(text, num_threads=1)
+        return np.array(ids, np.int64) if b"".join(map(self.bytes.__getitem__, ids)) == b" " + text.encode() else None
+
+    def __call__(self, text: str) -> np.ndarray | None:
+        """None where the pieces' bytes are not those of a blank and the text."""
+        if self.words is None:
+            return self.whole(text)
+        found = [*map(self.words.__getitem__, WORD.findall(" " + text))]
+        return None if None in found else np.frombuffer(b"".join(found), np.int32).astype(np.int64)
 
 
 @lru_cache(maxsize=2)
@@ -111,18 +149,16 @@ class Aligner:
         na, nb = len(self.a.bytes), len(self.b.bytes)
         self.na, self.nb = na, nb
         self.len_a, self.len_b = (np.array([len(x) for x in t.bytes], np.int64) for t in (self.a, self.b))
-        # how each id is written inside its side of a group, and at its end
-        self.shown = [f"{i}{end}" for n, ends in ((na, ",|"), (nb, ",;")) for end in ends for i in range(n)]
+        # how each id is written inside its side of a group, and at its end; shorter ones end in zero bytes
+        self.shown = np.array([f"{i}{end}".encode() for n, ends in ((na, ",|"), (nb, ",;")) for end in ends for i in range(n)])
 
     def ids(self, text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
         """A's ids of a blank and the text, and B's of the text; None if there is no text or either side's bytes are others."""
         if not text:
             return None
-        data = b" " + text.encode()
         a, b = self.a(" " + text), self.b(text)
-        for ids, table in ((a, self.a.bytes), (b, self.b.bytes)):
-            if b"".join(map(table.__getitem__, ids.tolist())) != data:
-                return None
+        if a is None or b is None:
+            return None
         return a, b
 
     def labels(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -148,16 +184,19 @@ class Aligner:
         pairs, times = np.unique(a[ends_a - is_a] * self.nb + b[ends_b - is_b], return_counts=True)
 
         last = np.searchsorted(at, spans - 1)  # the boundary at which each span ends
-        size_a, size_b = np.diff(ends_a[last], prepend=0), np.diff(ends_b[last], prepend=0)
+        upto_a, upto_b = ends_a[last], ends_b[last]
+        size_a, size_b = upto_a.copy(), upto_b.copy()
+        size_a[1:] -= upto_a[:-1]
+        size_b[1:] -= upto_b[:-1]
         order = np.empty(len(a) + len(b), np.int64)
         starts = np.cumsum(size_a + size_b) - size_a - size_b
         group_a, group_b = np.repeat(np.arange(len(last)), size_a), np.repeat(np.arange(len(last)), size_b)
         shown_a, shown_b = a.copy(), b + 2 * self.na
-        shown_a[ends_a[last] - 1] += self.na
-        shown_b[ends_b[last] - 1] += self.nb
-        order[starts[group_a] + np.arange(len(a)) - (ends_a[last] - size_a)[group_a]] = shown_a
-        order[(starts + size_a)[group_b] + np.arange(len(b)) - (ends_b[last] - size_b)[group_b]] = shown_b
-        text_of = "".join(map(self.shown.__getitem__, order.tolist()))[:-1]
+        shown_a[upto_a - 1] += self.na
+        shown_b[upto_b - 1] += self.nb
+        order[(starts - upto_a + size_a)[group_a] + np.arange(len(a))] = shown_a
+        order[(starts + size_a - upto_b + size_b)[group_b] + np.arange(len(b))] = shown_b
+        text_of = self.shown[order].tobytes().replace(b"\0", b"")[:-1].decode()
         return len(a), len(b), len(last), len(at), text_of, pairs, times
 
 

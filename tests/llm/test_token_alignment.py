@@ -1,10 +1,14 @@
 import hashlib
 import random
 from collections import Counter
+from functools import lru_cache
 
 import pytest
 
-from gleaner.llm.token_alignment import Aligner, agreement, alignments, linked
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from gleaner.llm.token_alignment import Aligner, Pieces, agreement, alignments, linked
 
 SCHEMA = "doc_id long, text string, pairs string"
 
@@ -109,6 +113,20 @@ def test_long_text_and_no_rows(spark, libraries):
     assert agreement(empty).count() == 0 and alignments(empty).count() == 0
 
 
+@settings(max_examples=500, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from(" \t\n▁abthe é東🙂\x00\u00a0\u3000\u200b"), st.characters(codec="utf-8")), min_size=1, max_size=40))
+def test_words_apart_have_the_ids_of_the_whole(text):
+    pieces = _pieces()
+    assert pieces.words is not None
+    apart, whole = pieces(text), pieces.whole(text)
+    assert (apart is None) == (whole is None) and (whole is None or apart.tolist() == whole.tolist())
+
+
+@lru_cache(maxsize=1)
+def _pieces():
+    return Pieces("piece_bpe_32k")
+
+
 def test_counts_and_ties(spark):
     rows = spark.createDataFrame([([10, 11, 25],), ([11, 25],), ([10],)], "pairs array<long>")
     assert {tuple(r) for r in linked(rows, 10).collect()} == {(10, 2, True), (11, 2, True), (25, 2, True)}
