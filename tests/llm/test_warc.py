@@ -1,12 +1,15 @@
 import hashlib
 import base64
 import gzip
+import io
 import random
 import zlib
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from gleaner.llm.warc import EMPTY, Capture, arc_file, archive, base32_sha1, convert_arcs, read_arc, read_back, read_warc, warc_record
+from gleaner.llm.warc import EMPTY, Capture, Damage, arc_file, archive, base32_sha1, convert_arcs, full_date, read_arc, read_back, read_warc, scan_arc, warc_record
 
 
 @pytest.mark.parametrize("version", [1, 2])
@@ -121,4 +124,85 @@ def test_convert_files_by_path(spark, tmp_path):
             n += len(found)
         assert n
     again = list(read_warc(b"".join(gzip.decompress(f.read_bytes()) for f in files)))
-    assert len(again) == 9 and all(b.count(b"HTTP/1.1") == 1 for _, b in again)
+    assert len(again) == 11 and all(b.count(b"HTTP/1.1") == 1 for h, b in again if h["warc-type"] != "warcinfo")
+    assert sorted(h["warc-filename"] for h, _ in again if h["warc-type"] == "warcinfo") == ["a.arc", "b.arc"]
+
+
+ODD = b"""filedesc://odd.arc 0.0.0.0 19960923142103 text/plain 65
+1 0 Odd
+URL IP-address Archive-date Content-type Archive-length
+
+http://a/b c 192.0.2.1 20000103110102 text/html 5
+12345
+http://a/type 192.0.2.1 20000103110102 text/html; charset=x 5
+12345
+http://a/early 192.0.2.1 199609231421 text/html 5
+12345
+dns:a.example 192.0.2.9 20000103110104 text/dns 20
+a.example. A 192.0.2
+ftp://f/x - 20000103 application/octet-stream 3
+abc
+http://a/bad 192.0.2.1 20001303110102 text/html 5
+12345
+http://a/wrong 192.0.2.1 20000103110102 text/html 3
+12345
+more of it
+http://a/next 2001:db8::1 20000103110102 text/html 5
+12345
+http://a/cut 192.0.2.1 20000103110102 text/html 500
+123"""
+
+
+def test_lines_that_crawls_have():
+    found = list(scan_arc(io.BytesIO(ODD)))
+    good, bad = [c for c in found if not isinstance(c, Damage)], [c for c in found if isinstance(c, Damage)]
+    assert [(c.url, c.date, c.mime, c.kind) for c in good] == [
+        ("filedesc://odd.arc", "19960923142103", "application/warc-fields", "warcinfo"), ("http://a/b c", "20000103110102", "text/html", "response"),
+        ("http://a/type", "20000103110102", "text/html; charset=x", "response"), ("http://a/early", "19960923142100", "text/html", "response"),
+        ("dns:a.example", "20000103110104", "text/dns", "resource"), ("ftp://f/x", "20000103000000", "application/octet-stream", "resource"),
+        ("http://a/wrong", "20000103110102", "text/html", "response"), ("http://a/next", "20000103110102", "text/html", "response"),
+    ]
+    assert [d.reason.split(":")[0] for d in bad] == ["no date", "no header line", "500 bytes declared, 3 left"]
+    assert bad[1].n_bytes == len(b"45\nmore of it\n") and ODD[bad[1].offset :].startswith(b"45\nmore of it\n")
+    ((h, block),) = read_warc(warc_record(good[4], 1) + b"\r\n\r\n")
+    assert h["warc-type"] == "resource" and h["content-type"] == "text/dns" and block == b"a.example. A 192.0.2" and h["warc-payload-digest"] == h["warc-block-digest"]
+    ((h, block),) = read_warc(warc_record(good[0], 0) + b"\r\n\r\n")
+    assert h["warc-type"] == "warcinfo" and b"publisher: Odd\r\n" in block and "warc-target-uri" not in h
+    ((h, _),) = read_warc(warc_record(good[3], 1) + b"\r\n\r\n")
+    assert h["warc-date"] == "1996-09-23T14:21:00Z"
+
+
+@pytest.mark.parametrize(("date", "want"), [("1996", "19960101000000"), ("199612", "19961201000000"), ("2000022910", "20000229100000"), ("20000103110102123", "20000103110102"), ("19970229", None), ("199", None), ("20000103110199", None)])
+def test_dates(date, want):
+    if want is None:
+        with pytest.raises(ValueError, match="no date"):
+            full_date(date)
+    else:
+        assert full_date(date) == want
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.data())
+def test_no_bytes_end_the_scan(data):
+    """Whatever is done to a file, scanning it ends, and its captures before the damage are there."""
+    sound = arc_file([Capture(f"http://h/{i}", "192.0.2.1", "20010203040506", "text/html", b"x" * i) for i in range(8)], data.draw(st.sampled_from([1, 2])))
+    at = data.draw(st.integers(0, len(sound)))
+    broken = sound[:at] + data.draw(st.binary(max_size=60)) + sound[data.draw(st.integers(at, len(sound))) :]
+    before = [c for c in read_arc(sound) if sound.index(c.url.encode() + b" ") + 200 < at]
+    found = [c for c in scan_arc(io.BytesIO(broken)) if isinstance(c, Capture) and c.kind != "warcinfo"]
+    assert found[: len(before)] == before
+
+
+def test_damaged_files_do_not_end_a_job(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "odd.arc").write_bytes(ODD)
+    (tmp_path / "in" / "none.arc").write_bytes(b"")
+    (tmp_path / "in" / "junk.arc").write_bytes(b"\x00\xff" * 500)
+    packed = gzip.compress(arc_file([Capture("http://g/1", "192.0.2.1", "20010203040506", "text/html", b"12345"), Capture("http://g/2", "192.0.2.1", "20010203040506", "text/html", random.Random(1).randbytes(9000))], 1, "g.arc"))
+    (tmp_path / "in" / "g.arc.gz").write_bytes(packed[:4000])
+    aside = convert_arcs(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out").collect()
+    assert sorted((r.file, r.reason.split(":")[0]) for r in aside) == [
+        ("g.arc.gz", "cannot be unpacked"), ("junk.arc", "no header line"), ("odd.arc", "500 bytes declared, 3 left"), ("odd.arc", "no date"), ("odd.arc", "no header line"),
+    ]
+    got = {r.url: r.record_type for r in read_back(spark, f"file://{tmp_path}/out").collect()}
+    assert len(got) == 8 and got["dns:a.example"] == got["ftp://f/x"] == "resource" and sum(t == "response" for t in got.values()) == 2
