@@ -306,7 +306,8 @@ def remove_repeats(docs: DataFrame, depth: int = 200, widths: tuple[int, ...] =
     found = marks[0]
     for m in marks[1:]:
         found = found.union(m)
-    found = found.groupBy(*key).agg(F.collect_list(F.struct("s", "e")).alias("marks"))
+    # a set: all of several equal rows have one key, and each brings the same marks
+    found = found.groupBy(*key).agg(F.collect_set(F.struct("s", "e")).alias("marks"))
     cut = texts.select("bytes", *key, "id").join(found, key, "left").select("bytes", F.col("id").alias("doc_id"), "marks").mapInArrow(_cut, RESULT)
     # documents without any tied anchor have nothing to remove
     return cut.unionByName(_untouched(docs, texts, key))

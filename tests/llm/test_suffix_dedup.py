@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 from collections import Counter
 
 from gleaner.llm.suffix_dedup import merged, remove_repeats
@@ -71,3 +72,15 @@ def test_very_long_texts(spark):
     assert [(got[i].n_removed, got[i].n_spans) for i in (1, 2, 3)] == [(n, 1), (n, 1), (0, 0)]
     at = long.encode().index(shared.encode())
     assert got[1].spans == [[at, at + n]] and got[1].n_bytes == len(long.encode())
+
+
+def test_many_equal_rows(spark):
+    """Costs grow with the rows, not with the square of equal ones."""
+    rng = random.Random(8)
+    same = "".join(rng.choices("abcdefgh ", k=10_000))
+    other = "".join(rng.choices("ijklmnop ", k=900))
+    rows = [(7, same)] * 2000 + [(1, other + same[500:800]), (2, other[100:350])]
+    started = time.monotonic()
+    got = remove_repeats(spark.createDataFrame(rows, SCHEMA).repartition(4)).select("doc_id", "n_bytes", "n_removed", "n_spans").collect()
+    assert time.monotonic() - started < 120
+    assert Counter(map(tuple, got)) == {(7, 10_000, 10_000, 1): 2000, (1, 1200, 550, 2): 1, (2, 250, 250, 1): 1}
