@@ -6,12 +6,13 @@ stage's docs. All but the last return the columns of documents. Counted as part
 
 from __future__ import annotations
 
+import threading
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.functions.storage import scratch_paths, sweep
+from gleaner.functions.storage import Scope, scope
 from gleaner.llm.common import written
 from gleaner.llm.jaccard import near_copies
 from gleaner.llm.mixing import mixed
@@ -20,22 +21,30 @@ from gleaner.llm.pii import pseudonymise, session_key
 from gleaner.llm.quality import keep_good
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Tables that earlier stages have written for their results to read.
-_HELD: list[str] = []
+_THREAD = threading.local()
+
+
+def _held() -> Scope:
+    """What the stages that this thread runs have written for their results to read."""
+    if not hasattr(_THREAD, "held"):
+        _THREAD.held = Scope()
+    return _THREAD.held
+
+
+def release(spark: SparkSession) -> int:
+    """Removes what this thread's stages still hold, once the last result has been used; how many tables."""
+    return _held().remove(spark)
 
 
 def _stage(f):
-    """The stage f, which begins by removing what earlier ones have written, unless the docs given still read it: each result is written before the next stage begins."""
+    """The stage f, which begins by removing what earlier ones of its thread have written, unless the docs given still read it: each result is written before the next stage begins."""
 
     @wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         read = " ".join(docs.inputFiles())
-        done = [p for p in _HELD if p.rsplit("/", 1)[-1] not in read]
-        sweep(spark, done)
-        before = set(scratch_paths())
-        out = f(spark, docs, sf_dir)
-        _HELD[:] = [p for p in _HELD if p not in done] + [p for p in scratch_paths() if p not in before]
-        return out
+        _held().remove(spark, [p for p in _held().paths if p.rsplit("/", 1)[-1] not in read])
+        with scope(_held()):
+            return f(spark, docs, sf_dir)
 
     return run_stage
 
@@ -110,9 +119,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; release() removes what the result reads once it has been used."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
-            docs = written(docs, "stage")
+            with scope(_held()):
+                docs = written(docs, "stage")
     return docs

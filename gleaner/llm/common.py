@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.functions.storage import newest, scratch, shared_dir, sweep, written
+from gleaner.functions.graph import components
+from gleaner.functions.storage import scratch, shared_dir, written
 
 __all__ = ["WORD", "components", "crc_mod", "partitions", "scratch", "shared_dir", "written"]
 
@@ -21,43 +22,3 @@ def partitions(spark: SparkSession) -> int:
 def crc_mod(column, n: int):
     """crc32 of a column's text, modulo n: the fixed folds of labelled and training rows."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % F.lit(n)
-
-
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """Connected components of edges (a, b long): rows (v, c), c the smallest vertex reachable from v.
-
-    Alternates large-star and small-star: each round replaces edges by edges to smaller vertices, so the
-    number of edges never grows beyond the input's and the number of rounds grows with its logarithm. A star's
-    minimum comes from a pre-aggregated groupBy that is joined back, so a vertex with very many neighbours needs
-    no task that holds all of them. Every round is a written table: a lost executor costs one round.
-    """
-    e = written(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links"
-    )
-    if e.isEmpty():
-        return edges.select(F.col("a").alias("v"), F.col("a").alias("c")).where("false")
-    for _ in range(rounds):
-        both = e.union(e.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("lo")).select("a", F.least("a", "lo").alias("m"))
-        # large-star: neighbours above a vertex move to the least vertex of its star
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        # small-star: neighbours at or below a vertex, and the vertex itself, move to the least of them
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", "m"))
-        old = newest()
-        new = written(small.where("a <> b").distinct(), "links")
-        # settled when every vertex has one link, and what it links to has none
-        state = (
-            new.groupBy("a")
-            .agg(F.count(F.lit(1)).alias("n"))
-            .join(new.select(F.col("b").alias("a")).distinct().withColumn("root", F.lit(1)), "a", "left")
-            .agg(F.max("n").alias("n"), F.count("root").alias("inner"))
-            .first()
-        )
-        sweep(edges.sparkSession, [old])
-        e = new
-        if state["n"] == 1 and state["inner"] == 0:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return e.select(F.col("a").alias("v"), F.col("b").alias("c")).union(e.select("b", "b").distinct())

@@ -143,3 +143,28 @@ def test_edges_of_each_stage(spark, tmp_path, number):
     if number < 4:
         assert all(set(r.asDict()) == set(COLUMNS) for r in got)
     assert stage(spark, spark.read.parquet(f"{tmp_path}/in").limit(0), str(tmp_path)).count() == 0
+
+
+def test_two_runs_in_one_driver(spark, tmp_path):
+    """Each thread removes its own tables only, and leaves none."""
+    import threading
+    from pathlib import Path
+
+    root = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before, counts, errors = set(os.listdir(root)) if root.exists() else set(), [], []
+
+    def one(k):
+        try:
+            corpus_pipeline.run(spark, SF).write.parquet(f"{tmp_path}/{k}")
+            corpus_pipeline.release(spark)
+            counts.append(spark.read.parquet(f"{tmp_path}/{k}").count())
+        except Exception as e:
+            errors.append(e)
+
+    threads = [threading.Thread(target=one, args=(k,)) for k in range(2)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert not errors and len(set(counts)) == 1 and len(counts) == 2
+    assert set(os.listdir(root)) == before
