@@ -1,7 +1,7 @@
 """Search results: dropping repeats, ranking by use, and by meaning.
 
-Results have _pos and, where they answer several queries, a column that says which (by). A query's results are a short
-list, at most its limit from each source, so the order-dependent semantic pass may hold one list at a time.
+Results have _pos and, where they answer several queries, a column that says which (by). A query's results are mostly a short
+list, at most its limit from each source, which one task goes through in order; longer ones are resolved by operators/meaning.py.
 """
 
 from __future__ import annotations
@@ -16,12 +16,16 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import scalar as sc
 from gleaner.functions import text as tx
+from gleaner.functions.storage import written
+from gleaner.operators.meaning import drop_in_long_lists
 
 SCHEMA = (
     "title string, url string, kind string, provider string, snippet string, direct_url string, magnet string, size_bytes long, mime_type string, "
     "format string, duration_sec long, published string, author string, license string, extra map<string,string>, _pos long"
 )
 SAME_MEANING, SAME_TOKENS, DEFAULT_LIMIT = 0.86, 0.82, 50
+#: Results of a list that one task goes through.
+LIST = 20_000
 
 
 def is_downloadable() -> Column:
@@ -147,7 +151,7 @@ class _Kept:
         self.has_vector.append(v is not None)
         self.renew(k, tokens)
         if v is not None:
-            held, at = self.by_dim.setdefault(len(v), (np.zeros((16, len(v)), np.float32), []))
+            held, at = self.by_dim.setdefault(len(v), (np.zeros((16, len(v))), []))
             if len(at) == len(held):
                 held = np.concatenate([held, np.zeros_like(held)])
                 self.by_dim[len(v)] = held, at
@@ -167,13 +171,13 @@ def _semantic(column: str | None, threshold: float, names: list[str]):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_pos").reset_index(drop=True)
         # of two, the one that can be downloaded, else the larger, else the one with the longer title, else the first
-        use = list(zip((pdf["direct_url"].notna() | pdf["magnet"].notna()).tolist(), pdf["size_bytes"].fillna(0).tolist(), pdf["title"].str.len().tolist(), strict=True))
+        use = list(zip((pdf["direct_url"].notna() | pdf["magnet"].notna()).tolist(), pdf["size_bytes"].fillna(0).tolist(), pdf["title"].str.len().fillna(0).tolist(), strict=True))
         kept, row_of, places = _Kept(threshold), [], []
         for i, words in enumerate(pdf["_tokens"]):
             v = pdf[column].iat[i] if column else None
-            v = None if v is None or len(v) == 0 else np.asarray(v, np.float32)
+            v = None if v is None or len(v) == 0 else np.asarray(v, np.float64)
             if v is not None and (n := float(np.linalg.norm(v))) > 0:
-                v = v / np.float32(n)
+                v = v / n
             words = frozenset(words)
             hit = kept.first_like(words, v)
             if hit is None:
@@ -188,11 +192,18 @@ def _semantic(column: str | None, threshold: float, names: list[str]):
     return run
 
 
-def drop_same_meaning(results: DataFrame, by: tuple[str, ...] = (), column: str | None = None, threshold: float = SAME_MEANING) -> DataFrame:
+def drop_same_meaning(results: DataFrame, by: tuple[str, ...] = (), column: str | None = None, threshold: float = SAME_MEANING, most: int = LIST) -> DataFrame:
     """Each list (by) without results that mean what an earlier kept one does: by cosine of a vector column, or by shared tokens where a side has no vector.
 
-    A repeat replaces the kept result, at its place, where it is of more use: downloadable, larger, longer title.
+    A repeat replaces the kept result, at its place, where it is of more use: downloadable, larger, longer title. Lists
+    of up to ``most`` results are gone through by a task each, longer ones never are.
     """
     names = results.columns
-    rows = results.withColumn("_tokens", sc.tokens(fingerprint())).withColumn("_list", F.lit(0))
-    return rows.groupBy(*(by or ("_list",))).applyInPandas(_semantic(column, threshold, names), results.schema)
+    rows = results.withColumn("_tokens", sc.tokens(fingerprint())).withColumn("_list", F.struct(*by) if by else F.struct(F.lit(0).alias("all")))
+    longer = rows.groupBy("_list").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("_list")
+    short = lambda df: df.drop("_list").withColumn("_all", F.lit(0)).groupBy(*(by or ("_all",))).applyInPandas(_semantic(column, threshold, names), results.schema)
+    if longer.isEmpty():
+        return short(rows)
+    longer = written(longer, "longer")
+    rest = drop_in_long_lists(rows.join(longer, "_list", "left_semi"), column, threshold, SAME_TOKENS, lambda: _Kept(threshold))
+    return short(rows.join(longer, "_list", "left_anti")).unionByName(rest)
