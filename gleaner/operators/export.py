@@ -1,7 +1,8 @@
 """Exports of datasets as text: each row is rendered to a line on the executors, byte for byte as its format wants it.
 
-A format is a header, a line for each row, what stands between lines, and a footer. A file is written on the driver
-from lines that come in order, a partition at a time; a folder of parts is written by Spark's text sink.
+A format is a header, a line for each row, what stands between lines, and a footer. write_file has executors write a
+file side by side, and Spark's text sink writes folders of parts; submit writes to a stream of the driver, from lines that
+come in order, a partition at a time.
 """
 
 from __future__ import annotations
@@ -11,10 +12,12 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from typing import BinaryIO
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as tx
+from gleaner.functions.files import join_files
+from gleaner.functions.storage import scope, scratch
 from gleaner.operators.dataset import Dataset
 
 BOM = "\ufeff"
@@ -43,6 +46,7 @@ class Rendered:
     lines: DataFrame  # _pos, line
     joint: str  # between lines
     footer: str
+    end: str = ""  # the last character of every line, if it is known
 
 
 @dataclass(frozen=True)
@@ -89,7 +93,7 @@ def _separated(tab: bool):
         by = "\t" if tab else o.delimiter
         line = F.concat(_joined([csv_cell(_cell(d, f, o), by) for f in fields], by), F.lit("\r\n"))
         header = by.join(_csv_text(f, by) for f in fields) + "\r\n" if o.header else ""
-        return Rendered(header, _lines(d, line), "", "")
+        return Rendered(header, _lines(d, line), "", "", "\n")
 
     return render
 
@@ -140,11 +144,11 @@ def _json(d: Dataset, fields: list[str], o: Options, n: int | None) -> Rendered:
     if o.metadata:
         types = f",{nl}".join(f"{pad}{pad}{_json_text(f)}: {_json_text(d.type_of(f))}" for f in fields)
         head += f'{pad}"dataset": {_json_text(d.name)},{nl}{pad}"records": {n},{nl}{pad}"schema": {{{nl}{types}{nl}{pad}}},{nl}'
-    return Rendered(f'{head}{pad}"data": [{nl}', _lines(d, F.concat(F.lit(pad * 2), _object(d, fields, o))), f",{nl}", f"{nl}{pad}]{nl}}}")
+    return Rendered(f'{head}{pad}"data": [{nl}', _lines(d, F.concat(F.lit(pad * 2), _object(d, fields, o))), f",{nl}", f"{nl}{pad}]{nl}}}", "}")
 
 
 def _ndjson(d: Dataset, fields: list[str], o: Options, n: int | None) -> Rendered:
-    return Rendered("", _lines(d, F.concat(_object(d, fields, o), F.lit("\n"))), "", "")
+    return Rendered("", _lines(d, F.concat(_object(d, fields, o), F.lit("\n"))), "", "", "\n")
 
 
 # -- YAML, Markdown, HTML, SQL -----------------------------------------------------
@@ -171,7 +175,7 @@ def _yaml_text(v: str) -> str:
 def _yaml(d: Dataset, fields: list[str], o: Options, n: int | None) -> Rendered:
     parts = [F.concat(F.lit(("  - " if i == 0 else "    ") + f"{f}: "), yaml_value(_cell(d, f, o)), F.lit("\n")) for i, f in enumerate(fields)]
     head = f"dataset: {_yaml_text(d.name)}\nrecords: {n}\n" if o.metadata else ""
-    return Rendered(head + "data:\n", _lines(d, F.concat(*parts) if parts else F.lit("  - {}\n")), "", "")
+    return Rendered(head + "data:\n", _lines(d, F.concat(*parts) if parts else F.lit("  - {}\n")), "", "", "\n")
 
 
 def markdown_cell(c: Column) -> Column:
@@ -183,7 +187,7 @@ def _markdown(d: Dataset, fields: list[str], o: Options, n: int | None) -> Rende
     head = f"# {d.name}\n\n" + (f"{n} records · {len(fields)} fields\n\n" if o.metadata else "")
     head += "| " + " | ".join(map(esc, fields)) + " |\n|" + "|".join("---" for _ in fields) + "|\n"
     line = F.concat(F.lit("| "), _joined([markdown_cell(_cell(d, f, o)) for f in fields], " | "), F.lit(" |\n"))
-    return Rendered(head, _lines(d, line), "", "")
+    return Rendered(head, _lines(d, line), "", "", "\n")
 
 
 def html_cell(c: Column) -> Column:
@@ -207,7 +211,7 @@ def _html(d: Dataset, fields: list[str], o: Options, n: int | None) -> Rendered:
         F.when(tx.is_blank(f"`{f}`"), F.lit(f'<td class="empty">{_html_text(o.null)}</td>')).otherwise(F.concat(F.lit("<td>"), html_cell(F.col(f"`{f}`")), F.lit("</td>")))
         for f in fields
     ]
-    return Rendered(head, _lines(d, F.concat(F.lit("<tr>"), *cells, F.lit("</tr>\n"))), "", "</tbody></table></body></html>\n")
+    return Rendered(head, _lines(d, F.concat(F.lit("<tr>"), *cells, F.lit("</tr>\n"))), "", "</tbody></table></body></html>\n", "\n")
 
 
 def sql_literal(c: Column, ftype: str) -> Column:
@@ -224,7 +228,7 @@ def _sql(d: Dataset, fields: list[str], o: Options, n: int | None) -> Rendered:
     head += ",\n".join(f"  {name(f)} {kind(d.type_of(f))}" for f in fields) + "\n);\n\n"
     into = f"INSERT INTO {name(o.table)} ({', '.join(map(name, fields))}) VALUES ("
     line = F.concat(F.lit(into), _joined([sql_literal(F.col(f"`{f}`"), d.type_of(f)) for f in fields], ", "), F.lit(");\n"))
-    return Rendered(head, _lines(d, line), "", "")
+    return Rendered(head, _lines(d, line), "", "", "\n")
 
 
 FORMATS: dict[str, Format] = {}
@@ -326,8 +330,8 @@ def render(request: Request) -> Rendered:
 def submit(request: Request, out: BinaryIO) -> Result:
     """Check, then write to out in the order of _pos; nothing is written where a check fails.
 
-    One file means that all lines pass through the driver, a partition at a time; large datasets are for write_parts and
-    write_parquet, which executors write.
+    A stream of the driver means that all lines pass through it, a partition at a time; large datasets are for write_file,
+    write_parts and write_parquet, which executors write.
     """
     check = request.validate()
     if not check.ok:
@@ -342,6 +346,42 @@ def submit(request: Request, out: BinaryIO) -> Result:
     return Result(f.id, size, n, tuple(request.fields()), request.filename or filename(request.dataset.name, f.extension))
 
 
+def _end(request: Request, r: Rendered) -> str:
+    """The character that every line ends with: known of the formats that are here from the start, else looked up."""
+    if r.end:
+        return r.end
+    last = F.right("line", F.lit(1))
+    found = r.lines.agg(F.min(last).alias("a"), F.max(last).alias("b"), F.min(F.length("line")).alias("n")).first()
+    if not found["n"] or found["a"] != found["b"]:
+        raise ExportError(f"lines of {request.format} do not all end alike: submit() writes them")
+    return found["a"]
+
+
+def write_file(request: Request, path: str) -> Result:
+    """Check, then write one file at path, byte for byte as submit() would; nothing is written where a check fails.
+
+    Executors write the sorted lines as parts, and put the parts together (functions/files.py); no line comes to the
+    driver, and the file is there whole or not at all.
+    """
+    check = request.validate()
+    if not check.ok:
+        raise ExportError("; ".join(check.problems))
+    f, r = format_of(request.format), render(request)
+    spark, end, lines, seen = r.lines.sparkSession, _end(request, r), r.lines, Observation()
+    if r.joint:  # before each line but the first
+        first = lines.agg(F.min("_pos")).first()[0]
+        lines = lines.select("_pos", F.when(F.col("_pos") == first, F.col("line")).otherwise(F.concat(F.lit(r.joint), "line")).alias("line"))
+    # the text sink ends each line with a separator: here with the line's own last character
+    value = F.substring("line", F.lit(1), F.length("line") - 1)
+    with scope() as held:
+        folder = scratch(spark, "export")
+        ordered = lines.orderBy("_pos").observe(seen, F.count(F.lit(1)).alias("n")).select(value.alias("value"))
+        ordered.write.option("lineSep", end).option("compression", "none").text(folder)
+        size = join_files(spark, r.header.encode(), folder, r.footer.encode(), path)
+        held.remove(spark)
+    return Result(f.id, size, seen.get["n"], tuple(request.fields()), request.filename or filename(request.dataset.name, f.extension))
+
+
 def write_parts(request: Request, path: str) -> None:
     """The lines alone as ordered part files, for line formats: executors write, the driver holds nothing."""
     r = render(request)

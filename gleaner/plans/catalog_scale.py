@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gleaner.functions.storage import scratch
+from gleaner.operators import export, results
 from gleaner.operators.dataset import Dataset, Field
+from gleaner.plans import catalog  # noqa: F401  whose SQL is used again
 from gleaner.plans import store as st
-from gleaner.plans.registry import query, table
+from gleaner.plans.registry import _SQL, _results, _suppliers, query, table
 
 #: Rows of a stored file in these queries, so that the test tables have several.
 FILE_ROWS = 2_000
@@ -85,3 +87,54 @@ def q_store_search_index(spark, sf_dir):
         rows = found.df.select(F.lit(name).alias("search"), "o_orderkey", F.col("_pos").alias("place"))
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+# -- results of one meaning ---------------------------------------------------------------
+
+
+def same_meaning_sql(threshold: float, list_: str, title: str, size: str) -> str:
+    """SQL of the rule itself, over embeddings: each result of a list, in order, against every place kept before it."""
+    better = "struct_pack(s := t.size, l := length(t.title)) > struct_pack(s := k.s, l := k.l)"
+    return f"""with recursive e as (select vec_id, {list_} as list, {title} as title, {size} as size, cast(embedding as double[]) as e from embeddings),
+    t as (select *, row_number() over (partition by list order by vec_id) as i, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) as u from e),
+    r(list, i, kept) as (
+        select distinct list, cast(0 as bigint), cast([] as struct(p bigint, b bigint, t varchar, s bigint, l bigint, u double[])[]) from t
+        union all
+        select r.list, t.i, case when hit.p is null then list_append(kept, struct_pack(p := t.vec_id, b := t.vec_id, t := t.title, s := cast(t.size as bigint), l := length(t.title), u := t.u))
+            else list_transform(kept, lambda k: if(k.p = hit.p and {better}, struct_pack(p := k.p, b := t.vec_id, t := t.title, s := cast(t.size as bigint), l := length(t.title), u := k.u), k)) end
+        from r join t on t.list = r.list and t.i = r.i + 1, lateral (select min(p) as p from (select unnest(kept, recursive := true)) where list_dot_product(u, t.u) >= {threshold}) hit),
+    f as (select list, unnest(kept) as k from r join (select list as l, max(i) as m from r group by list) on list = l and i = m) """
+
+
+_SQL["q_semantic_dedup"] = same_meaning_sql(0.86, "label", "concat('vector ', cast(vec_id as varchar))", "0") + "select list as label, k.p as vec_id, k.t as title from f"
+
+
+@query(same_meaning_sql(0.2, "label", "concat('vector ', cast(vec_id as varchar))", "vec_id % 5") + "select list as label, k.p as place, k.b as vec_id, k.t as title from f")
+def q_meaning_lists(spark, sf_dir):
+    """Lists of results, one a label, at a loose threshold: of two alike the larger stays, then the one with the longer title, at the place of the first."""
+    e = table(spark, sf_dir, "embeddings").withColumn("_pos", F.col("vec_id"))
+    title = F.concat(F.lit("vector "), F.col("vec_id").cast("string"))
+    r = _results(e, {"title": title, "size_bytes": F.col("vec_id") % 5}, ["label", "vec_id", "embedding"])
+    return results.drop_same_meaning(r, ("label",), "embedding", 0.2).select("label", F.col("_pos").alias("place"), "vec_id", "title")
+
+
+@query(same_meaning_sql(0.3, "0", "'a'", "vec_id % 7") + "select k.p as place, k.b as vec_id from f")
+def q_meaning_whole(spark, sf_dir):
+    """All results as one list, longer than a task may hold here: by blocks of places."""
+    e = table(spark, sf_dir, "embeddings").withColumn("_pos", F.col("vec_id"))
+    r = _results(e, {"title": F.lit("a"), "size_bytes": F.col("vec_id") % 7}, ["vec_id", "embedding"])
+    return results.drop_same_meaning(r, (), "embedding", 0.3, most=100).select(F.col("_pos").alias("place"), "vec_id")
+
+
+# -- whole files by executors --------------------------------------------------------------
+
+
+@query(_SQL["q_export_files"])
+def q_export_written(spark, sf_dir):
+    """Whole files of all formats, put together by executors, and read again."""
+    folder, told, out = scratch(spark, "files"), [], None
+    for kind in ("csv", "tsv", "json", "ndjson", "yaml", "md", "html", "sql"):
+        r = export.write_file(export.Request(_suppliers(spark, sf_dir), kind), f"{folder}/{kind}")
+        told.append((r.format, r.bytes, r.records, r.filename))
+    files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("format"), F.decode("content", "UTF-8").alias("body"))
+    return files.join(spark.createDataFrame(told, "format string, bytes long, records long, filename string"), "format")

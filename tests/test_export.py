@@ -97,3 +97,47 @@ def test_own_format_and_parts(spark, d, tmp_path):
         ex.write_parts(ex.Request(d, "json"), path)
     ex.write_parquet(d, str(tmp_path / "parquet"))
     assert spark.read.parquet(str(tmp_path / "parquet")).columns == ["name", "price", "ok", "note"]
+
+
+@pytest.mark.parametrize("kind", list(ex.FORMATS))
+def test_a_file_written_by_executors(d, tmp_path, kind):
+    """Byte for byte what the driver would have written."""
+    for options in ({}, {"metadata": True, "bom": False, "pretty": False, "null": "-"}, {"record_ids": frozenset(("c-2",))}):
+        request = ex.Request(d, kind, ex.Options(**options))
+        text, want = written(d, kind, **options)
+        got = ex.write_file(request, f"file://{tmp_path}/out/a.{kind}")
+        assert (tmp_path / "out" / f"a.{kind}").read_bytes() == text.encode() and got == want
+    assert [p.name for p in (tmp_path / "out").iterdir() if not p.name.endswith(".crc")] == [f"a.{kind}"]
+
+
+def test_a_large_file(spark, tmp_path):
+    df = spark.range(60_000).selectExpr("id", "concat('line ', id, ' é\n', repeat('x', cast(id % 50 as int))) as text").repartition(7)
+    big = Dataset.of("b", "Big", df, "id", [Field("text")])
+    for kind in ("json", "csv"):
+        text, want = written(big, kind)
+        assert ex.write_file(ex.Request(big, kind), f"file://{tmp_path}/b") == want and (tmp_path / "b").read_bytes() == text.encode()
+
+
+def test_files_joined_through_a_stream(spark, d, tmp_path, monkeypatch):
+    """As on a file system that can neither be written at an offset nor join files."""
+    from gleaner.functions import files
+
+    made = files._FileSystem.__init__
+    monkeypatch.setattr(files._FileSystem, "__init__", lambda self, *a: (made(self, *a), setattr(self, "local", False))[0])
+    text, want = written(d, "json")
+    assert ex.write_file(ex.Request(d, "json"), f"file://{tmp_path}/c") == want and (tmp_path / "c").read_bytes() == text.encode()
+
+
+def test_own_formats_and_refusals_by_executors(d, tmp_path):
+    own = lambda line: ex.Format("own", "Own", "txt", "text/plain", lambda d, f, o, n: ex.Rendered("<", ex._lines(d, line(d)), "|", ">"), bom=False)
+    try:
+        ex.register(own(lambda d: ex.F.concat(d.cells()[0], ex.F.lit("é"))))
+        assert written(d, "own")[0].encode() == (ex.write_file(ex.Request(d, "own"), f"file://{tmp_path}/o"), (tmp_path / "o").read_bytes())[1]
+        ex.register(own(lambda d: d.cells()[0]))
+        with pytest.raises(ex.ExportError, match="end alike"):
+            ex.write_file(ex.Request(d, "own"), f"file://{tmp_path}/p")
+    finally:
+        ex.FORMATS.pop("own")
+    with pytest.raises(ex.ExportError):
+        ex.write_file(ex.Request(d, "xlsx"), f"file://{tmp_path}/p")
+    assert not (tmp_path / "p").exists()
