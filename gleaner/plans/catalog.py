@@ -21,8 +21,8 @@ from gleaner.plans import intent
 from gleaner.plans import store as st
 from gleaner.plans.registry import _JOB, _NAME, _NORM, _SQL, _TOKENS, _dataset, _results, _suppliers, query, table
 from gleaner.sources import jobspec
-from gleaner.sources.extract import Plan, extract_pages, suggested
-from gleaner.sources.providers import HtmlProvider, Registry, SearchQuery, WebIndex
+from gleaner.sources.extract import Plan, extract_pages, suggestions
+from gleaner.sources.providers import TRUST, HtmlProvider, Registry, SearchQuery, WebIndex
 
 # -- the store: datasets ---------------------------------------------------------------
 
@@ -414,29 +414,50 @@ def q_search_ranked(spark, sf_dir):
     return spark.createDataFrame(rows, "title string, place int")
 
 
-@query("""select * from (values ('6 pdf of zebra', 'document', 'zebra', 6, 'east,west,down', '', 'pdf', ''), ('songs by nobody', 'audio', 'songs by nobody', 50, 'songs', '', '', ''),
-    ('fonts from type.example.com', 'font', 'fonts', 50, '', 'west', '', 'type.example.com'), ('news today', 'news', 'news today', 50, '', 'west', '', ''), ('pdf', 'document', 'pdf', 50, 'east,west,down', '', 'pdf', ''))
-    t(text, kind, asks, wanted, providers, fallback, formats, site)""")
+def _nation_registry(spark, sf_dir) -> Registry:
+    """A source for each nation: what it serves goes by its region, how it came to be known by its key."""
+    kinds = (("document", "web"), ("document",), ("audio",), ("font", "audio"), ("web",))
+    rows = table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()  # twenty-five rows
+    make = lambda r: HtmlProvider(r["n_name"].lower(), r["n_name"], kinds[r["n_regionkey"]], "https://x.example/?q={query}", "li", {"title": "b"}, TRUST[r["n_nationkey"] % 4])
+    return Registry(*map(make, rows))
+
+
+_SERVES = "case n_regionkey when 0 then ['document', 'web'] when 1 then ['document'] when 2 then ['audio'] when 3 then ['font', 'audio'] else ['web'] end"
+_ASKED = """select n_nationkey as k, 'document' as kind, concat(cast(n_nationkey + 1 as varchar), ' pdf of ', n_name) as text, n_name as asks, n_nationkey + 1 as wanted, 'pdf' as formats, '' as site from nation
+    union all select n_nationkey, 'font', concat(n_name, ' fonts from n', cast(n_nationkey as varchar), '.example.com'), concat(n_name, ' fonts'), 50, '', concat('n', cast(n_nationkey as varchar), '.example.com') from nation
+    union all select n_nationkey, 'news', concat('news of ', n_name), concat('news ', n_name), 50, '', '' from nation"""
+
+
+@query(f"""with a as ({_ASKED}), p as (select lower(n_name) as id, {_SERVES} as serves, n_nationkey as k from nation)
+    select text, kind, asks, wanted, coalesce((select string_agg(id, ',' order by 3 - k % 4, k) from p where list_contains(serves, a.kind)), '') as providers,
+        case when exists (select 1 from p where list_contains(serves, a.kind)) then '' else (select string_agg(id, ',' order by k) from p where list_contains(serves, 'web')) end as fallback, formats, site from a""")
 def q_search_plan(spark, sf_dir):
-    registry, _ = _nation_sources(spark, sf_dir)
-    rows = []
-    for text in ("6 pdf of zebra", "songs by nobody", "fonts from type.example.com", "news today", "pdf"):
-        p = intent.plan(spark, text, registry)
+    """Texts about each nation read and planned: what is asked of which sources, the most local first, and of which others where none serves the kind."""
+    registry, rows = _nation_registry(spark, sf_dir), []
+    k, name = F.col("n_nationkey").cast("string"), F.col("n_name")
+    texts = F.array(F.concat((F.col("n_nationkey") + 1).cast("string"), F.lit(" pdf of "), name), F.concat(name, F.lit(" fonts from n"), k, F.lit(".example.com")), F.concat(F.lit("news of "), name))
+    for r in intent.parse(table(spark, sf_dir, "nation").select(F.explode(texts).alias("raw"))).collect():  # seventy-five rows
+        p = intent.plan_of(r.asDict(), r["raw"], registry)
         f = p.query.filters
-        rows.append((text, p.intent["kind"], p.query.text, p.query.limit, ",".join(x.id for x in p.providers), ",".join(x.id for x in p.fallback), f.get("formats", ""), f.get("site", "")))
+        rows.append((r["raw"], p.intent["kind"], p.query.text, p.query.limit, ",".join(x.id for x in p.providers), ",".join(x.id for x in p.fallback), f.get("formats", ""), f.get("site", "")))
     return spark.createDataFrame(rows, "text string, kind string, asks string, wanted int, providers string, fallback string, formats string, site string")
 
 
-@query("""select * from (values ('kinds', 'audio,document,web'), ('audio', 'songs'), ('document', 'west,down,east'), ('enabled', 'east'), ('removed', 'west,east,songs'), ('get', 'East'), ('none', ''))
-    t(asked, found)""")
+@query(f"""with p as (select lower(n_name) as id, n_name as name, {_SERVES} as serves, n_nationkey as k from nation), s as (select *, unnest(serves) as kind from p),
+    l as (select * from (values ('audio', 'Music & audio'), ('document', 'Documents & books'), ('font', 'Fonts'), ('web', 'Web pages')) l(kind, label))
+    select 'kinds' as asked, (select string_agg(kind, ',' order by label) from l where kind in (select kind from s)) as found
+    union all select kind, string_agg(id, ',' order by k) from s group by kind
+    union all select 'enabled', string_agg(id, ',' order by k) from s where kind = 'document' and k % 2 = 0 union all select 'get', max(name) from p where k = (select max(k) from p)
+    union all select 'none', '' union all select 'removed', string_agg(id, ',' order by k) from p where k % 3 > 0""")
 def q_search_registry(spark, sf_dir):
-    registry, _ = _nation_sources(spark, sf_dir)
+    """Sources by kind, by id, as enabled, and after some are removed, in the order they were added."""
+    registry = _nation_registry(spark, sf_dir)
     ids = lambda ps: ",".join(p.id for p in ps)
-    rows = [
-        ("kinds", ",".join(sorted(registry.kinds()))), ("audio", ids(registry.for_kind("audio"))), ("document", ids(registry.for_kind("document"))),
-        ("enabled", ids(registry.candidates(SearchQuery("x", frozenset(("document",))), {"east", "songs"}))), ("get", registry.get("east").name), ("none", "" if registry.get("x") is None else "x"),
-    ]
-    registry.unregister("down")
+    every = registry.all()
+    rows = [("kinds", ",".join(registry.kinds())), *((k, ids(registry.for_kind(k))) for k in registry.kinds())]
+    rows += [("enabled", ids(registry.candidates(SearchQuery("x", frozenset(("document",))), {p.id for p in every[::2]}))), ("get", registry.get(every[-1].id).name), ("none", "" if registry.get("x") is None else "x")]
+    for p in every[::3]:
+        registry.unregister(p.id)
     return spark.createDataFrame([*rows, ("removed", ids(registry.all()))], "asked string, found string")
 
 
@@ -494,27 +515,35 @@ def q_intent_addresses(spark, sf_dir):
     return intent.parse(raw.select("page_id", F.concat(F.lit("get "), "url").alias("raw"))).select("page_id", "kind", "action", "url", "confidence")
 
 
-@query("""select * from (values ('surer', 'audio', 0.9), ('less sure', 'web', 0.35), ('unknown kind', 'web', 0.35), ('fails', 'web', 0.35), ('nothing', 'web', 0.35), ('not asked', 'document', 0.95)) t("case", kind, confidence)""")
+@query("""select c_custkey, case when c_custkey % 7 = 6 then 'document' when c_custkey % 7 = 0 then 'audio' else 'web' end as kind,
+    case when c_custkey % 7 = 6 then 0.95 when c_custkey % 7 = 0 then 0.9 else 0.35 end as confidence, case when c_custkey % 7 = 0 then concat('tunes of ', c_name) else c_name end as subject from customer""")
 def q_intent_refined(spark, sf_dir):
-    """A model's reading of an ambiguous text stands only if it is of a known kind and surer."""
+    """A model's reading of an ambiguous text stands only if it is of a known kind and surer; texts that are plain are not shown to it."""
 
-    def fails(raw, found):
-        raise OSError("no model")
+    def model(raw, found):
+        k = int(raw.split("#")[1].split()[0]) % 7
+        if k in (5, 6):
+            raise OSError("no model")
+        return ({"kind": "audio", "confidence": 0.9, "subject": f"tunes of {raw}"}, {"kind": "audio", "confidence": 0.2}, {"kind": "zoo", "confidence": 0.9}, {}, None)[k]
 
-    first = intent.parse(spark.createDataFrame([("zebra",), ("zebra pdf",)], "raw string")).collect()
-    vague, sure = (r.asDict() for r in first)
-    cases = [
-        ("surer", vague, lambda r, f: {"kind": "audio", "confidence": 0.9}), ("less sure", vague, lambda r, f: {"kind": "audio", "confidence": 0.2}), ("unknown kind", vague, lambda r, f: {"kind": "zoo", "confidence": 0.9}),
-        ("fails", vague, fails), ("nothing", vague, lambda r, f: None), ("not asked", sure, fails),
-    ]
-    rows = [(name, got["kind"], got["confidence"]) for name, found, assist in cases for got in [intent.refined(found, "zebra", assist)]]
-    return spark.createDataFrame(rows, "case string, kind string, confidence double")
+    raw = F.when(F.col("c_custkey") % 7 == 6, F.concat("c_name", F.lit(" pdf"))).otherwise(F.col("c_name"))
+    parsed = intent.parse(table(spark, sf_dir, "customer").select("c_custkey", raw.alias("raw")))
+    return intent.refine(parsed, model).select("c_custkey", "kind", "confidence", "subject")
 
 
-@query("""select * from (values ('{"a": 1}', '{"a": 1}'), ('say {"a": {"b": 2}} and {"c": 3}', '{"a": {"b": 2}}'), ('{"open": 1', null), ('none', null), ('} {x}', '{x}')) t(answer, object)""")
+@query("""with a as (select conv_id, turn, concat(case turn % 4 when 0 then '} ' when 1 then '{"open": [' else '' end, text, case turn % 4 when 1 then '{}' when 2 then '' else concat(' {"turn": ', cast(turn as varchar), ', "of": {"id": ', cast(conv_id as varchar), '}} and {}') end) as answer
+        from conversations),
+    c as (select *, instr(answer, '{') as start, unnest(range(1, length(answer) + 1)) as i from a),
+    d as (select conv_id, turn, i, sum(case substr(answer, i, 1) when '{' then 1 when '}' then -1 else 0 end) over (partition by conv_id, turn order by i) as depth from c where start > 0 and i >= start),
+    e as (select conv_id, turn, min(i) as stop from d where depth = 0 group by conv_id, turn)
+    select a.conv_id, a.turn, case when stop is not null then substr(answer, instr(answer, '{'), stop - instr(answer, '{') + 1) end as object from a left join e using (conv_id, turn)""")
 def q_first_object(spark, sf_dir):
-    texts = ['{"a": 1}', 'say {"a": {"b": 2}} and {"c": 3}', '{"open": 1', "none", "} {x}"]
-    return spark.createDataFrame([(t, intent.first_object(t)) for t in texts], "answer string, object string")
+    """The first balanced object of answers: behind a stray bracket, inside one that stays open, nested, none."""
+    turn, c = F.col("turn"), table(spark, sf_dir, "conversations")
+    before = F.when(turn % 4 == 0, "} ").when(turn % 4 == 1, '{"open": [').otherwise("")
+    nested = F.concat(F.lit(' {"turn": '), turn.cast("string"), F.lit(', "of": {"id": '), F.col("conv_id").cast("string"), F.lit("}} and {}"))
+    answer = F.concat(before, F.col("text"), F.when(turn % 4 == 1, "{}").when(turn % 4 == 2, "").otherwise(nested))
+    return c.select("conv_id", "turn", intent.first_objects(answer).alias("object"))
 
 
 # -- pages, jobs ------------------------------------------------------------------------------------
@@ -534,15 +563,22 @@ def q_html_limit(spark, sf_dir):
     return extract_pages(table(spark, sf_dir, "pages"), plan)
 
 
-@query(r"""select * from (values (0, 'title', 'title', 'text', true, null, null), (1, 'heading', 'article h1', 'text', false, null, null), (2, 'link', 'nav a@href', 'url', false, null, null),
-    (3, 'lang', 'html@lang', 'text', false, null, null), (4, 'year', 'footer', 'number', false, '(\d{4})', 'none')) t(place, name, selector, type, required, regex, "default")""")
+@query(r"""with s as (select *, case s_nationkey % 3 when 0 then 'number' when 1 then 'url' else 'text' end as kind from supplier)
+    select s_suppkey, 0 as place, s_name as name, 'title' as selector, 'text' as type, true as required, null as regex, null as "default" from s
+    union all select s_suppkey, 1, concat('f', cast(s_nationkey as varchar)), concat('nav a:nth-of-type(', cast(s_nationkey + 1 as varchar), ')@href'), kind, false, null, 'none "of" it' from s
+    union all select s_suppkey, 2, 'year', 'footer', 'number', false, '(\d{4})', null from s where s_suppkey % 2 = 0""")
 def q_job_round_trip(spark, sf_dir):
-    """A job written as JSON and read again."""
-    spec = jobspec.parse(_JOB)
-    again = jobspec.parse(spec.to_json())
-    assert again == spec
-    rows = [(i, f.name, f.selector, f.type, f.required, f.regex, f.default) for i, f in enumerate(again.fields)]
-    return spark.createDataFrame(rows, "place int, name string, selector string, type string, required boolean, regex string, default string")
+    """Jobs, one a supplier, read from JSON, written anew and read again, field by field."""
+    key, shown = F.col("s_suppkey"), lambda c: F.to_json(F.struct(c.alias("x")))
+    quoted = lambda c: F.substring(shown(c), F.lit(6), F.length(shown(c)) - 6)
+    kind = F.when(F.col("s_nationkey") % 3 == 0, "number").when(F.col("s_nationkey") % 3 == 1, "url").otherwise("text")
+    second = F.concat(F.lit('{"name": "f'), F.col("s_nationkey").cast("string"), F.lit('", "selector": "nav a:nth-of-type('), (F.col("s_nationkey") + 1).cast("string"), F.lit(')@href", "type": "'), kind, F.lit('", "default": "none \\"of\\" it"}'))
+    third = F.when(key % 2 == 0, F.lit(', {"name": "year", "selector": "footer", "type": "number", "regex": "(\\\\d{4})"}')).otherwise("")
+    job = F.concat(
+        F.lit('{"spec_version": 1, "name": '), quoted(F.col("s_name")), F.lit(', "source": {"url": "https://s.example/'), key.cast("string"), F.lit('"}, "extract": {"fields": [{"name": '), quoted(F.col("s_name")),
+        F.lit(', "selector": "title", "required": true}, '), second, third, F.lit("]}}"),
+    )
+    return jobspec.fields_of(table(spark, sf_dir, "supplier").select("s_suppkey", job.alias("job")), "job", "s_suppkey")
 
 
 @query(r"""select page_id, trim(replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&amp;', '&'), '&quot;', '"')) as heading,
@@ -554,11 +590,21 @@ def q_job_fields(spark, sf_dir):
     return jobspec.run(spec, table(spark, sf_dir, "pages")).select("page_id", "heading", "link", "year")
 
 
-@query("""select * from (values ('title', 'h1'), ('none', '')) t(field, selector) where selector <> ''""")
+@query(r"""select page_id, 'heading' as field, 'article h1' as selector from pages where trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)) <> ''
+    union all select page_id, 'language', 'html@lang' from pages where regexp_extract(html, '<html lang="([^"]*)"', 1) <> ''
+    union all select page_id, 'entry', concat('nav li:nth-of-type(', cast(length(url) % 9 + 1 as varchar), ')') from pages
+        where len(regexp_extract_all(html, '<li><a href="[^"]*">([^<]*[^<\s][^<]*)</a>', 1)) >= length(url) % 9 + 1""")
 def q_suggested_selectors(spark, sf_dir):
-    """Of what a model suggests, only selectors that find something on the page."""
-    found = suggested("<h1>x</h1><p>y</p>", ["title", "price", "bad"], lambda html, fields: {"title": "h1", "price": ".none", "bad": "p[", "other": "p"})
-    return spark.createDataFrame(list(found.items()), "field string, selector string")
+    """Of what a model suggests for each page, only selectors of wanted fields that find something there."""
+
+    def model(html, fields):
+        if "lang=" not in html:
+            raise OSError("no model")
+        url = html.split("\x00", 1)[0]
+        return {"heading": "article h1", "language": "html@lang", "entry": f"nav li:nth-of-type({len(url) % 9 + 1})", "price": ".none", "bad": "p[", "other": "p"}
+
+    pages = table(spark, sf_dir, "pages").withColumn("html", F.concat("url", F.lit("\x00"), "html"))
+    return suggestions(pages, ["heading", "language", "entry", "price", "bad"], model)
 
 
 # -- transforms and coercion ---------------------------------------------------------------------------

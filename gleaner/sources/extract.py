@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from urllib.parse import urljoin, urlsplit
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -179,3 +180,15 @@ def suggested(html: str, fields: list[str], model: Callable[[str, list[str]], di
             if rows:
                 kept[name] = selector
     return kept | (container if kept else {})
+
+
+def suggestions(pages: DataFrame, fields: list[str], model: Callable[[str, list[str]], dict[str, str]], keep: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """suggested() for each page, on the executors: keep, field, selector."""
+
+    def run(frames):
+        for pdf in frames:
+            out = [(k, f, s) for k, u, h in zip(pdf[keep], pdf["_url"], pdf["_html"], strict=True) for f, s in suggested(h, fields, model, u).items()]
+            yield pd.DataFrame(out, columns=[keep, "field", "selector"])
+
+    cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(n) for c, n in ((url, "_url"), (html, "_html"))]
+    return pages.select(keep, *cells).mapInPandas(run, f"`{keep}` {pages.schema[keep].dataType.simpleString()}, field string, selector string")

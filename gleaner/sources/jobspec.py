@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -124,6 +126,26 @@ def parse(text: str) -> JobSpec:
     )
 
 
+FIELDS = "place int, name string, selector string, type string, required boolean, regex string, `default` string"
+
+
+def fields_of(jobs: DataFrame, column: str, keep: str) -> DataFrame:
+    """The fields of each job that a column holds as JSON, after it has been written anew and read again: keep, and FIELDS; no rows for what is no job."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for k, text in zip(pdf[keep], pdf[column], strict=True):
+                try:
+                    again = parse(parse(text).to_json())
+                except (ConfigError, TypeError):
+                    continue
+                out += [(k, i, f.name, f.selector, f.type, f.required, f.regex, f.default) for i, f in enumerate(again.fields)]
+            yield pd.DataFrame(out, columns=[keep, "place", "name", "selector", "type", "required", "regex", "default"])
+
+    return jobs.select(keep, column).mapInPandas(run, f"`{keep}` {jobs.schema[keep].dataType.simpleString()}, {FIELDS}")
+
+
 def run(spec: JobSpec, pages: DataFrame, url: str = "url", html: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """The job's rows from pages: extracted, coerced to their fields' types, without those that lack a required field. Lazy."""
     rows = extract_pages(pages, spec.plan(), url, html, keep)
