@@ -15,8 +15,10 @@ import bisect
 import datetime
 import hashlib
 import ipaddress
+import math
 import re
 import warnings
+from collections.abc import Callable
 from functools import lru_cache
 
 import pyarrow as pa
@@ -30,8 +32,16 @@ BLOCK = 2048
 EXAMPLE_KEY = b"gleaner example key"
 KEY_SETTING = "spark.gleaner.pii.key"
 KINDS = ("email", "card", "account", "phone", "ip", "secret", "date", "national_id", "iban")
-# English names of months.
+# Names of months.
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+OTHER_MONTHS = {
+    "de": ("januar", "februar", "märz", "april", "mai", "juni", "juli", "august", "september", "oktober", "november", "dezember"),
+    "fr": ("janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août", "septembre", "octobre", "novembre", "décembre"),
+    "es": ("enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre"),
+}
+# Names under which many people have their mail; they name no one.
+SECOND = frozenset(("co", "com", "org", "net", "ac", "gov", "edu"))
+PROVIDERS = frozenset(("example", "gmail", "googlemail", "outlook", "hotmail", "live", "yahoo", "icloud", "aol", "gmx", "web", "t-online", "orange", "free", "laposte", "wanadoo", "telefonica", "proton", "protonmail", "mail"))
 
 
 def session_key(spark: SparkSession) -> bytes:
@@ -87,7 +97,7 @@ def permute_digits(digits: str, radix: int, key: bytes, tweak: str, back: bool =
 
 def permute_range(x: int, size: int, key: bytes, tweak: str, back: bool = False) -> int:
     """Keyed permutation of range(size), by walking the cycle of a slightly larger one."""
-    low = int(size**0.5) + 1
+    low = math.isqrt(size) + 1
     high = -(-size // low)
     x = feistel(x, low, high, key, tweak.encode(), back)
     while x >= size:
@@ -113,32 +123,81 @@ def _filled(form: str, digits: str) -> str:
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
+#: Years of two digits are those from 1950 to 2049.
+_CENTURY = 50
+
+
+def _moved_day(day: datetime.date, key: bytes, back: bool, fits: Callable[[datetime.date], bool], tweak: str = "date", first: int = FIRST_DAY, last: int = LAST_DAY) -> datetime.date | None:
+    """The day's pseudonym among those that fit, by walking the cycle; None outside the years that are permuted."""
+    x = day.toordinal() - first
+    if not 0 <= x <= last - first:
+        return None
+    while True:
+        x = permute_range(x, last - first + 1, key, tweak, back)
+        new = datetime.date.fromordinal(first + x)
+        if fits(new):
+            return new
+
+
 def _date(m: re.Match, key: bytes, back: bool) -> str | None:
+    """A date in digits: order, separator and the width of each part stay."""
     form = m[0]
-    if m["ymd"]:
-        y, mo, d = re.split(r"[-/.]", form)
-        order = "ymd"
+    mark = re.search(r"[-/.]", form)[0]
+    parts = form.split(mark)
+    order = "ymd" if len(parts[0]) == 4 else "mdy" if int(parts[1]) > 12 else "dmy"
+    of = dict(zip(order, parts, strict=True))
+    short = len(of["y"]) == 2
+    year = int(of["y"]) + (1900 if int(of["y"]) >= _CENTURY else 2000) * short
+    try:
+        day = datetime.date(year, int(of["m"]), int(of["d"]))
+    except ValueError:
+        return None
+    # days after the 12th go to such days, others to others: so what told month from day still does
+    late, narrow = int(of["d"]) > 12, {c: len(of[c]) == 1 for c in "md"}
+    fits = lambda new: (new.day > 12) == late and (not narrow["d"] or new.day < 10) and (not narrow["m"] or new.month < 10)
+    if short:
+        new = _moved_day(day, key, back, fits, "date/2", datetime.date(1900 + _CENTURY, 1, 1).toordinal(), datetime.date(1999 + _CENTURY, 12, 31).toordinal())
     else:
-        d, mo, y = re.split(r"[-/.]", form)
-        order = "dmy"
-        if int(mo) > 12:
-            d, mo, order = mo, d, "mdy"
+        new = _moved_day(day, key, back, fits)
+    if new is None:
+        return None
+    shown = {"y": f"{new.year % 100:02}" if short else f"{new.year:04}", "m": str(new.month) if narrow["m"] else f"{new.month:02}", "d": str(new.day) if narrow["d"] else f"{new.day:02}"}
+    return mark.join(shown[c] for c in order)
+
+
+def _language(name: str, dotted: bool, of: bool) -> str | None:
+    """Whose name of a month it is: what stands around it decides, then where it is a name at all."""
+    found = [x for x in ("de", "fr", "es") if name.lower() in OTHER_MONTHS[x]]
+    if dotted:
+        return "de" if "de" in found else found[0] if found else None
+    if of:
+        return "es" if "es" in found else None
+    if name in MONTHS:  # English, and no other language's alone
+        return None
+    return ("fr" if "fr" in found and not (name == "Mai") else found[0]) if found else None
+
+
+def _foreign_date(m: re.Match, key: bytes, back: bool) -> str | None:
+    """A date with a German, French or Spanish month: language, case, marks and the day's width stay."""
+    name, dotted, of = m["month"], m["mark"] == ".", bool(m["of"])
+    language = _language(name, dotted, of)
+    if language is None:
+        return None
+    case = str.lower if name.islower() else str.upper if name.isupper() else str.capitalize
     try:
-        day = datetime.date(int(y), int(mo), int(d)).toordinal()
+        day = datetime.date(int(m["year"]), OTHER_MONTHS[language].index(name.lower()) + 1, int(m["day"]))
     except ValueError:
         return None
-    if not FIRST_DAY <= day <= LAST_DAY:
+    one, shown = len(m["day"]) == 1, lambda d: case(OTHER_MONTHS[language][d.month - 1])
+    new = _moved_day(day, key, back, lambda d: (not one or d.day < 10) and _language(shown(d), dotted, of) == language)
+    if new is None:
         return None
-    # days after the 12th go to such days, others to others: so what told month from day still does
-    late, x = int(d) > 12, day - FIRST_DAY
-    while True:
-        x = permute_range(x, LAST_DAY - FIRST_DAY + 1, key, "date", back)
-        new = datetime.date.fromordinal(FIRST_DAY + x)
-        if (new.day > 12) == late:
-            break
-    parts = {"y": f"{new.year:04}", "m": f"{new.month:02}", "d": f"{new.day:02}"}
-    mark = re.search(r"[-/.]", form)[0]
-    return mark.join(parts[c] for c in order)
+    parts = {"day": str(new.day) if one else f"{new.day:02}", "month": shown(new), "year": f"{new.year:04}"}
+    at, out = m.start(), []
+    for g in ("day", "month", "year"):
+        out += [m.string[at : m.start(g)], parts[g]]
+        at = m.end(g)
+    return "".join([*out, m.string[at : m.end()]])
 
 
 def _named_date(m: re.Match, key: bytes, back: bool) -> str | None:
@@ -174,7 +233,8 @@ def _ip6(m: re.Match, key: bytes, back: bool) -> str | None:
         return None
     if len(m[0].replace(":", "")) < 8:
         return None
-    new = iter(permute_digits(m[0].replace(":", "").lower(), 16, key, "ip6", back))
+    new = permute_digits(m[0].replace(":", "").lower(), 16, key, "ip6", back)
+    new = iter(new.upper() if m[0].isupper() else new)
     return "".join(c if c == ":" else next(new) for c in m[0])
 
 
@@ -188,8 +248,8 @@ def _iban(found: str, key: bytes, back: bool) -> str | None:
         if 2 <= int(plain[2:4]) <= 98 and number(plain[4:] + plain[:4]) % 97 == 1:
             break
         found = found.rpartition(" ")[0]  # words in capitals may follow
-    account = _letters(plain[4:], key, f"iban/{plain[:2]}", back)
-    account = account.upper()
+    account = _letters(plain[4:], key, f"iban/{plain[:2].upper()}", back)
+    account = account.lower() if plain.islower() else account.upper()
     new = iter(f"{plain[:2]}{98 - number(account + plain[:2] + '00') % 97:02}{account}")
     return "".join(c if c == " " else next(new) for c in found)
 
@@ -215,6 +275,8 @@ def _number(m: re.Match, key: bytes, back: bool) -> tuple[str, str]:
         wrong = (int(digits[-1]) - luhn(digits[:-1])) % 10
         new = permute_digits(digits[:-1], 10, key, f"account/{wrong}", back)
         return "account", _filled(form, new + str((luhn(new) + wrong) % 10))
+    if _NATIONAL.fullmatch(form):  # the first digit is what makes it such a number
+        return "phone", _filled(form, digits[0] + permute_digits(digits[1:], 10, key, f"phone/{digits[0]}", back))
     plus = form.startswith("+")
     if plus or not form.isdigit():
         stay = max(0, min(3, len(digits) - 10))  # what may be a country's code
@@ -242,22 +304,50 @@ def _letters(text: str, key: bytes, tweak: str, back: bool) -> str:
     return "".join(out)
 
 
+def _mixed(text: str, key: bytes, tweak: str, back: bool) -> str:
+    """ASCII letters and digits permuted together, as one number whose digits are of two radices: texts that differ in one place differ in all."""
+    places = [i for i, c in enumerate(text) if c.isascii() and c.isalnum()]
+    if not places or len(places) > 256:
+        return _letters(text, key, tweak, back)
+    radices = [10 if text[i].isdigit() else 26 for i in places]
+    x = 0
+    for i, r in zip(places, radices, strict=True):
+        x = x * r + (int(text[i]) if r == 10 else ord(text[i].lower()) - 97)
+    x = permute_range(x, math.prod(radices), key, f"{tweak}/{''.join('d' if r == 10 else 'l' for r in radices)}", back)
+    out = list(text)
+    for i, r in zip(reversed(places), reversed(radices), strict=True):
+        x, d = divmod(x, r)
+        out[i] = str(d) if r == 10 else chr(97 + d).upper() if text[i].isupper() else chr(97 + d)
+    return "".join(out)
+
+
 _EMAIL = re.compile(r"(?<![\w.+-])([\w.+-]++)@((?:[\w-]++\.)+[A-Za-z]{2,})")
 _HEX = re.compile(r"(?<![0-9A-Za-z])(?=[0-9A-Fa-f]*[0-9])(?=[0-9A-Fa-f]*[A-Fa-f])[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])")
-_NAMED = re.compile(r"""(?i)\b(token|secret|password|passwd|api[_-]?key|access[_-]?key)(["']?\s{0,3}[=:]\s{0,3}["']?)([A-Za-z0-9_/+.-]{8,}+)""")
+_NAMED = re.compile(r"""(?i)\b(token|secret|password|passwd|passwort|kennwort|pwd|contraseña|mot de passe|mdp|api[_-]?key|access[_-]?key)(["']?\s{0,3}[=:]\s{0,3}["']?)([A-Za-z0-9_/+.-]{8,}+)""")
+_BEARER = re.compile(r"(?i)\bbearer\s{1,3}(?=[^\s0-9]{0,200}[0-9])([A-Za-z0-9_/+.=~-]{16,}+)")
 _KEYED = re.compile(r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk[-_](?:live_|test_)?[0-9A-Za-z]{20,})(?![0-9A-Za-z])")
 _IP = re.compile(r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d.]*\d)")
-_DATE = re.compile(r"(?<![\d/.-])(?:(?P<ymd>\d{4}([-/.])\d{2}\2\d{2})|\d{2}([-/.])\d{2}\3\d{4})(?![\d/-]|\.\d)")
+_DATE = re.compile(
+    r"(?<![\d/.-])(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4}|\d{1,2}/\d{1,2}/\d{2}|\d{2}([.-])\d{2}\3\d{2})(?![\d/-]|\.\d)"
+)
 _MONTH = "|".join((*MONTHS, *(x[:3] for x in MONTHS)))
 _DAY_FIRST = re.compile(rf"(?<![\w/.-])(?P<day>[0-9]{{1,2}}) (?P<month>{_MONTH}),? (?P<year>[0-9]{{4}})(?![\w/-])")
 _MONTH_FIRST = re.compile(rf"(?<!\w)(?P<month>{_MONTH}) (?P<day>[0-9]{{1,2}}),? (?P<year>[0-9]{{4}})(?![\w/-])")
-_IBAN = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]){11,30}(?![0-9A-Za-z])")
-_IP6 = re.compile(r"(?<![0-9A-Za-z:.])[0-9a-f]{0,4}(?::[0-9a-f]{0,4}){2,7}(?![0-9A-Za-z:])")
+_OTHER = "|".join(sorted({x for names in OTHER_MONTHS.values() for x in names}, key=len, reverse=True))
+_FOREIGN = re.compile(rf"(?i)(?<![\w/.-])(?P<day>[0-9]{{1,2}})(?P<mark>\.|er|º)? (?P<of>de )?(?P<month>{_OTHER})(?: del?)? (?P<year>[0-9]{{4}})(?![\w/-])")
+# in small letters those alone whose accounts are digits: words may follow
+_IBAN = re.compile(r"(?<![0-9A-Za-z])(?:[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]){11,30}|[a-z]{2}[0-9]{2}(?: ?[0-9]{4}){3,7}(?: ?[0-9]{1,3})?)(?![0-9A-Za-z])")
+_IP6 = re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9a-f]{0,4}(?::[0-9a-f]{0,4}){2,7}|[0-9A-F]{0,4}(?::[0-9A-F]{0,4}){2,7})(?![0-9A-Za-z:])")
+#: German (0171 2345678, 089/123456), French (01 23 45 67 89) and Spanish (612 345 678, 91 123 45 67) numbers as they are dialled at home.
+_HOME = r"0\d{2,4}[ /-]\d{5,8}|0\d(?:[ .]\d{2}){4}|[679]\d{2}(?:[ .-]\d{3}){2}|9\d[ .]\d{3}(?:[ .]\d{2}){2}"
+_NATIONAL = re.compile(_HOME)
+_SOCIAL = re.compile(r"(?i)\b(?:ssn|social security(?: (?:number|no\.?))?)[:# ]{1,3}([0-9]{3} [0-9]{2} [0-9]{4})(?!\d)")
 _DIGIT = re.compile(r"[0-9]")
 _DIGITS = re.compile(
     r"(?<![\w.])(?:"
     r"\d{3}-\d{2}-\d{4}|\d{13,}+|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5}"  # national ids, cards, accounts
-    r"|(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}|\d{3}[ .-]\d{3}[ .-]\d{4}"  # phones
+    r"|(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}|\+\d{1,3}[ .-]\d(?:[ .-]\d{2}){4}|\d{3}[ .-]\d{3}[ .-]\d{4}"  # phones
+    rf"|{_HOME}"
     r"|\d{9,12})(?!\w|[.-]\d)"
 )
 
@@ -287,9 +377,11 @@ def pseudonyms(text: str, key: bytes = EXAMPLE_KEY, back: bool = False) -> tuple
 
     if "@" in text:
         for m in _EMAIL.finditer(text):
-            take("email", *m.span(), f"{_letters(m[1], key, 'email', back)}@{_domain(m[2], key, back)}")
+            take("email", *m.span(), f"{_mixed(m[1], key, 'email', back)}@{_domain(m[2], key, back)}")
     for m in _NAMED.finditer(text):
         take("secret", *m.span(3), _secret(m[3], key, back))
+    for m in _BEARER.finditer(text):
+        take("secret", *m.span(1), _secret(m[1], key, back))
     for m in _KEYED.finditer(text):
         take("secret", *m.span(), m[0][:4] + _letters(m[0][4:], key, "secret", back))
     if _DIGIT.search(text):
@@ -307,6 +399,10 @@ def pseudonyms(text: str, key: bytes = EXAMPLE_KEY, back: bool = False) -> tuple
         for pattern in (_DAY_FIRST, _MONTH_FIRST):
             for m in pattern.finditer(text):
                 take("date", *m.span(), _named_date(m, key, back))
+        for m in _FOREIGN.finditer(text):
+            take("date", *m.span(), _foreign_date(m, key, back))
+        for m in _SOCIAL.finditer(text):
+            take("national_id", *m.span(1), _filled(m[1], permute_digits(m[1].replace(" ", ""), 10, key, "national_id", back)))
         for m in _DIGITS.finditer(text):
             kind, new = _number(m, key, back)
             take(kind, *m.span(), new)
@@ -318,9 +414,19 @@ def pseudonyms(text: str, key: bytes = EXAMPLE_KEY, back: bool = False) -> tuple
 
 
 def _domain(name: str, key: bytes, back: bool) -> str:
-    """A host's own labels are permuted; the last two, which name no person, stay."""
+    """Labels are permuted, but for the last and for names that very many people have their mail under, with the second-level labels (co.uk) before them."""
     labels = name.split(".")
-    return ".".join([*(_letters(x, key, "host", back) for x in labels[:-2]), *labels[-2:]])
+    own = len(labels) - 1 - (len(labels) > 2 and labels[-2].lower() in SECOND)
+
+    def moved(label: str) -> str:
+        if label.lower() in PROVIDERS or label.lower() in SECOND:
+            return label
+        while True:  # what is no such name stays none
+            label = _letters(label, key, "host", back)
+            if label.lower() not in PROVIDERS and label.lower() not in SECOND:
+                return label
+
+    return ".".join([*map(moved, labels[:own]), *labels[own:]])
 
 
 def pseudonymise(docs: DataFrame, key: bytes = EXAMPLE_KEY, back: bool = False) -> DataFrame:
