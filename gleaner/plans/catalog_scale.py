@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from gleaner.functions.storage import scratch
@@ -10,6 +12,7 @@ from gleaner.operators.dataset import Dataset, Field
 from gleaner.plans import catalog  # noqa: F401  whose SQL is used again
 from gleaner.plans import store as st
 from gleaner.plans.registry import _SQL, _results, _suppliers, query, table
+from gleaner.sources.datasource import SearchSource
 
 #: Rows of a stored file in these queries, so that the test tables have several.
 FILE_ROWS = 2_000
@@ -138,3 +141,37 @@ def q_export_written(spark, sf_dir):
         told.append((r.format, r.bytes, r.records, r.filename))
     files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("format"), F.decode("content", "UTF-8").alias("body"))
     return files.join(spark.createDataFrame(told, "format string, bytes long, records long, filename string"), "format")
+
+
+# -- a search as a table -------------------------------------------------------------------
+
+
+def nation_page(url: str, form: dict[str, str]) -> str:
+    """A fetch that executors make: a page of two nations of a region, from the table that the address names; one region doesn't answer."""
+    import pyarrow.parquet as pq
+
+    path, _, asked = url.partition("?")
+    region, _, page = (x.split("=")[1] for x in asked.split("&"))
+    if region == "4":
+        raise OSError("no answer")
+    rows = sorted((r["n_nationkey"], r["n_name"]) for r in pq.read_table(path).to_pylist() if str(r["n_regionkey"]) == region)
+    some = rows[2 * int(page) - 2 : 2 * int(page)]
+    return "<ul>" + "".join(f'<li><b>{name}</b><a href="https://n{k % 2}.example/{k}">x</a><i>{"PDF" if k % 3 == 0 else ""}</i></li>' for k, name in some) + "</ul>"
+
+
+@query("""with n as (select *, (row_number() over (partition by n_regionkey order by n_nationkey) - 1) // 2 + 1 as page from nation)
+    select concat('region-', cast(n_regionkey as varchar)) as provider, page, n_name as title, concat('https://n', cast(n_nationkey % 2 as varchar), '.example/', cast(n_nationkey as varchar)) as url,
+        case when n_nationkey % 3 = 0 then 'PDF' end as format, null as error from n where n_regionkey in (0, 2) and page <= 2 and n_nationkey % 2 = 1
+    union all select 'region-4', page, null, null, null, 'OSError: no answer' from (select unnest([1, 2]) as page)""")
+def q_search_source(spark, sf_dir):
+    """A source for each region, asked by executors, a task a page: filters on kind and page leave requests out, the one on the site is checked behind; who does not answer is a row."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(SearchSource)
+    regions = sorted(r[0] for r in table(spark, sf_dir, "region").select("r_regionkey").collect())  # five rows
+    providers = [
+        {"id": f"region-{r}", "kind": "document" if r % 2 == 0 else "audio", "search_url": f"{sf_dir}/nation.parquet?region={r}&q={{query}}&page={{page}}", "container": "li", "fields": {"title": "b", "url": "a@href", "format": "i"}}
+        for r in regions
+    ]
+    found = spark.read.format("gleaner_search").options(providers=json.dumps(providers), fetch="gleaner.plans.catalog_scale:nation_page", query="all", pages=3).load()
+    found = found.where("kind = 'document' and page <= 2 and (site = 'n1.example' or error is not null)")
+    return found.select("provider", "page", "title", F.when(F.col("error").isNull(), F.col("url")).alias("url"), "format", "error")

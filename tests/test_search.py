@@ -181,6 +181,41 @@ def test_data_source(spark):
     assert [tuple(r) for r in df.orderBy("page").collect()] == [(i, 0, "p", "web", f"T{i}", f"https://p.example/x{i}", "", {"note": "e"}) for i in (1, 2)]
 
 
+def fetch_recorded(url, form):
+    if "down" in url:
+        raise OSError("no answer")
+    site = "a.org" if "site%3Aa.org" in url else "b.org"
+    return "".join(f"<li><b>{url}</b><a href='https://{site}/{i}'>l</a><i>{'PDF' if i % 2 else 'TXT'}</i></li>" for i in range(4))
+
+
+@pytest.fixture()
+def pushdown(spark):
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    yield
+    spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_search_source_asks_what_filters_leave(spark, pushdown):
+    import json
+
+    from gleaner.sources.datasource import SearchSource
+
+    spark.dataSource.register(SearchSource)
+    make = lambda id, kind, **more: {"id": id, "kind": kind, "search_url": f"https://{id}.example/?q={{query}}&p={{page}}", "container": "li", "fields": {"title": "b", "url": "a@href", "format": "i"}} | more
+    providers = [make("one", "web", asks=["site", "format"]), make("two", "document"), make("down", "document")]
+    df = spark.read.format("gleaner_search").options(providers=json.dumps(providers), fetch="tests.test_search:fetch_recorded", query="rice", pages=3).load()
+    assert df.rdd.getNumPartitions() == 9 and df.count() == 27  # a row for each page that failed
+    assert {(r.provider, r.page, r.error, r.title) for r in df.where("error is not null").collect()} == {("down", i, "OSError: no answer", None) for i in (1, 2, 3)}
+    some = df.where("provider in ('one', 'two') and page <= 2 and kind = 'web'")
+    assert some.rdd.getNumPartitions() == 2 and some.count() == 8
+    assert "Filter (" not in some._jdf.queryExecution().executedPlan().toString()  # all of it is the source's
+    sited = df.where("site = 'a.org' and format = 'PDF' and page = 1")
+    rows = sited.collect()
+    assert {r.url for r in rows} == {"https://a.org/1", "https://a.org/3"} and all("rice%20site%3Aa.org%20filetype%3Apdf" in r.title for r in rows)
+    paced = spark.read.format("gleaner_search").options(providers=json.dumps(providers[:2]), fetch="tests.test_search:fetch_recorded", query="rice", pages=3, pace=0.05).load()
+    assert paced.rdd.getNumPartitions() == 2 and paced.count() == 24
+
+
 def test_suggested_selectors():
     from gleaner.sources.extract import suggested
 
