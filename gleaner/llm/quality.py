@@ -145,7 +145,7 @@ def assess(docs: DataFrame, labels: DataFrame, alpha: float = 0.04, delta: float
     """doc_id, the five counts, the four ratios, base_failed and kept for each row of docs (doc_id, text, lang).
 
     labels: doc_id, quality (1 good, 0 bad; null rows are ignored; of several for one document the least counts).
-    A null text counts as empty and fails the base; a null lang is a stratum of its own; a null doc_id is never
+    A null text counts as empty and fails the base; a null lang counts as an empty one, a stratum of its own; a null doc_id is never
     labelled; repeated rows get the same answer; an empty table gives no rows; without labels only the base rejects.
     """
     scored = written(docs.select(F.col("doc_id"), _stratum().alias("stratum"), features(F.col("text").cast("string")).alias("f")), "quality")
