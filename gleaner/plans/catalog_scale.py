@@ -12,6 +12,7 @@ from gleaner.operators.dataset import Dataset, Field
 from gleaner.plans import catalog  # noqa: F401  whose SQL is used again
 from gleaner.plans import store as st
 from gleaner.plans.registry import _SQL, _results, _suppliers, query, table
+from gleaner.sources import tablefunction
 from gleaner.sources.datasource import SearchSource
 
 #: Rows of a stored file in these queries, so that the test tables have several.
@@ -175,3 +176,14 @@ def q_search_source(spark, sf_dir):
     found = spark.read.format("gleaner_search").options(providers=json.dumps(providers), fetch="gleaner.plans.catalog_scale:nation_page", query="all", pages=3).load()
     found = found.where("kind = 'document' and page <= 2 and (site = 'n1.example' or error is not null)")
     return found.select("provider", "page", "title", F.when(F.col("error").isNull(), F.col("url")).alias("url"), "format", "error")
+
+
+# -- extraction in SQL ---------------------------------------------------------------------
+
+
+@query(_SQL["q_html_links"])
+def q_html_table_function(spark, sf_dir):
+    """The links of each page, by a table function in SQL."""
+    tablefunction.register(spark)
+    table(spark, sf_dir, "pages").createOrReplaceTempView("gleaner_pages")
+    return spark.sql("""select * from extract_html(table(gleaner_pages), '{"container": "nav ul > li", "text": "a"}', 'page_id')""")
