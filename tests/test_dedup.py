@@ -77,3 +77,31 @@ def test_blank_keys_and_low_threshold(spark):
     assert verdicts(both.select_fields(["a"]), 0.9) == ["UNIQUE", "UNIQUE", "UNIQUE", "UNIQUE"]
     assert verdicts(both, 0.0) == ["UNIQUE", "EXACT", "LIKELY", "LIKELY"]
     assert dedup.analyze(both.filter(both.df["_pos"] < 0)).count() == 0
+
+
+def _reps(spark, texts):
+    rows = [(i, [t], [sorted(grams(t))]) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "_pos long, n array<string>, grams array<array<string>>")
+
+
+def test_unlike_rows_with_a_rare_run_are_not_compared_in_full(spark, monkeypatch):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(300)]
+    texts = [" ".join([*rng.sample(words, 5), "zq"]) for _ in range(300)]
+    texts += [t + "x" for t in texts[:10]]
+    monkeypatch.setattr(dedup, "similarity", lambda *_: dedup.F.lit(1.0))
+    assert 10 <= dedup.similar(_reps(spark, texts), 0.6).count() < 100
+
+
+@pytest.mark.parametrize("threshold", [0.2, 0.6, 0.8, 0.95, 1.0])
+def test_long_lists_fall_into_blocks(spark, monkeypatch, threshold):
+    """Lists of more than a block, and short, long and equal rows in them: all pairs, each once."""
+    monkeypatch.setattr(dedup, "BLOCK", 7)
+    monkeypatch.setattr(dedup, "ENTRIES", 50)
+    monkeypatch.setattr(dedup, "AT_ONCE", 16)
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcd") for _ in range(4)) for _ in range(12)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.choice([1, 3, 4, 5, 40]))) for _ in range(60)] + ["a", "", "aaaa aaaa", "aaaa"]
+    want = sorted((i, j, round(s, 9)) for j in range(len(texts)) for i in range(j) if (s := like([texts[i]], [texts[j]])) >= threshold and texts[j])
+    got = sorted((r.a, r.b, round(r.score, 9)) for r in dedup.similar(_reps(spark, texts), threshold).collect())
+    assert got == [w for w in want if texts[w[0]]]
