@@ -11,7 +11,7 @@ from gleaner.operators import export, results
 from gleaner.operators.dataset import Dataset, Field
 from gleaner.plans import catalog  # noqa: F401  whose SQL is used again
 from gleaner.plans import store as st
-from gleaner.plans.registry import _SQL, _results, _suppliers, query, table
+from gleaner.plans.registry import _SQL, _results, _suppliers, closed, query, table
 from gleaner.sources import tablefunction
 from gleaner.sources.datasource import SearchSource
 
@@ -185,5 +185,5 @@ def q_search_source(spark, sf_dir):
 def q_html_table_function(spark, sf_dir):
     """The links of each page, by a table function in SQL."""
     tablefunction.register(spark)
-    table(spark, sf_dir, "pages").createOrReplaceTempView("gleaner_pages")
+    closed(table(spark, sf_dir, "pages")).createOrReplaceTempView("gleaner_pages")
     return spark.sql("""select * from extract_html(table(gleaner_pages), '{"container": "nav ul > li", "text": "a"}', 'page_id')""")
