@@ -29,6 +29,8 @@ BUCKET, BITMAP = 32_768, 4_096
 #: Bitmaps of a version are broadcast up to so many bytes, and joined beyond.
 BROADCAST = 64 << 20
 HASH = "_digest"
+#: Files of a folder that are looked up by name at most, if they are most of it.
+FEW = 32
 
 
 def row_hash(df: DataFrame) -> Column:
@@ -58,6 +60,28 @@ class Versions:
         paths = [f"{self.root}/{p}" for p in paths]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
+    def _of(self, schema: StructType, listed: list, columns: list[Column]) -> DataFrame:
+        """The columns of those files' rows (folder, file). Where these are most files of a folder, it is listed at once and the others are left out; else each file is looked up by its name."""
+        folders: dict[str, set[str]] = {}
+        for r in listed:
+            folders.setdefault(r["folder"], set()).add(r["file"])
+        named, parts = [], []
+        for folder, names in folders.items():
+            if len(names) > FEW:
+                rows = self._read(schema, [folder])
+                there = {f.rsplit("/", 1)[1] for f in rows.inputFiles()}
+                others = sorted(there - names)
+                if names <= there and len(others) * 4 <= len(there):  # a file that is gone is looked up, so that Spark says so
+                    parts.append((rows.where(~F.col("_metadata.file_name").isin(others)) if others else rows).select(*columns))
+                    continue
+            named += [f"{folder}/{n}" for n in sorted(names)]
+        if named:
+            parts.append(self._read(schema, named).select(*columns))
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
     # -- writing -----------------------------------------------------------------
 
     def write(self, df: DataFrame) -> tuple[str, list[str]]:
@@ -131,7 +155,7 @@ class Versions:
         def scan(some: list) -> DataFrame:
             if not some:
                 return self.spark.createDataFrame([], none)
-            return self._read(schema, [f"{r['folder']}/{r['file']}" for r in some]).select(*names, *place)
+            return self._of(schema, some, [*names, *place])
 
         whole, cut = [r for r in listed if not r["buckets"]], [r for r in listed if r["buckets"]]
         if not cut:
@@ -180,9 +204,9 @@ class Versions:
 
     def index(self, manifest: str, schema: StructType, names: list[str]) -> str:
         """Which trigrams the cells of each file have, sorted by trigram: the folder. Removed rows count, so the index outlives removals."""
-        name, listed = self._new("index"), [f"{r[0]}/{r[1]}" for r in self.files(manifest).select("folder", "file").collect()]
+        name, listed = self._new("index"), self.files(manifest).select("folder", "file").collect()  # a row a file
         runs = F.array_distinct(F.regexp_extract_all(self.blob(names), F.lit("(?s)(?=(.{3}))"), F.lit(1)))
-        found = self._read(schema, listed).select(F.col("_metadata.file_name").alias("file"), F.explode(runs).alias("gram")) if listed else self.spark.createDataFrame([], "file string, gram string")
+        found = self._of(schema, listed, [F.col("_metadata.file_name").alias("file"), F.explode(runs).alias("gram")]) if listed else self.spark.createDataFrame([], "file string, gram string")
         found.distinct().orderBy("gram").write.parquet(f"{self.root}/{name}")
         return name
 

@@ -197,3 +197,25 @@ def test_no_rows(spark, s):
     assert s.delete_records("a", ["a-1", "a-2", "a-3"]) == 3 and s.load("a").count() == 0 and s.page("a").total == 0
     s.compact("a")
     assert s.load("a").count() == 0 and s.verify() == []
+
+
+def test_many_files_are_listed_by_folder(spark, s, small_files, monkeypatch):
+    """Whole, with removed rows, without the files that a search leaves out, and with a file that is gone."""
+    s.save(people(spark, 4_000))
+    s.index("a")
+    asked, read = [], vs.Versions._read
+    monkeypatch.setattr(vs.Versions, "_read", lambda self, schema, paths: asked.append(list(paths)) or read(self, schema, asked[-1]))
+    assert s.load("a").count() == 4_000 and max(map(len, asked)) == 1
+    v = s._versions("a")
+    manifest = s._meta("a")["manifest"]
+    listed = sorted(v.files(manifest).select("folder", "file", "first", "last").collect(), key=lambda r: r["first"])
+    assert len(listed) >= 40
+    most = v._of(s.load("a").df.schema, listed[3:], [F.col("_pos")])
+    assert sorted(r[0] for r in most.collect()) == list(range(listed[3]["first"], 4_000)) and max(map(len, asked)) == 1
+    few = v._of(s.load("a").df.schema, listed[:2], [F.col("_pos")])
+    assert few.count() == listed[1]["last"] + 1 and max(map(len, asked)) == 2
+    assert s.delete_records("a", ["a-1", "a-4000"]) == 2
+    assert s.load("a").count() == 3_998 and names(s.search("a", "person 3998").df) == ["Person 3998"]
+    os.remove(f"{s.root.removeprefix('file://')}/data/a/{listed[5]['folder']}/{listed[5]['file']}")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        s.load("a").count()
