@@ -51,7 +51,7 @@ CUT = ["q_html_title", "q_job_fields", "q_job_run"]
 def test_cut_references(spark, tmp_path, name):
     """Titles and headings that end within a character reference, and an & that begins none."""
     said = ["a &amp; b&amp", "R&D&quot;s", "x&amp;amp", "y &qu", "z&&amp;&quot", "plain"]
-    rows = [(i, f"https://e.example/{i}?a=1&b=2", f'<html lang="en"><title>{t}</title><ul><li><a href="/p?a=1&amp;b=2">{t}</a></ul><article><h1>{t}</h1></article></html>') for i, t in enumerate(said)]
+    rows = [(i, f"https://e.example/{i}?a=1&b=2", f'<html lang="en"><title>{t}</title><nav><ul><li><a href="/p?a=1&amp;b=2">{t}</a></li></ul></nav><article><h1>{t}</h1></article></html>') for i, t in enumerate(said)]
     spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
     c = duckdb.connect()
     c.sql(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
